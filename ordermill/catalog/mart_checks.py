@@ -60,7 +60,7 @@ _DAILY_SQL = """
   SELECT CAST(order_purchase_timestamp AS DATE) AS sale_date, count(order_id) AS total_orders,
          CAST(sum(price + freight_value) AS DECIMAL(15,2)) AS total_revenue,
          count(DISTINCT customer_id) AS unique_customers,
-         CAST(sum(price + freight_value) AS DOUBLE) / count(price + freight_value)
+         CAST(sum(price + freight_value) * 100 AS DOUBLE) / (count(price + freight_value) * 100)
            AS avg_order_value,
          CAST(sum(price + freight_value) * 100 AS HUGEINT) AS cents,
          count(price + freight_value) AS priced
@@ -78,7 +78,7 @@ _PRODUCT_SQL = """
 , sold AS (
   SELECT product_id, CAST(sum(order_item_id) AS BIGINT) AS total_quantity_sold,
          CAST(sum(price) AS DECIMAL(15,2)) AS total_revenue,
-         CAST(sum(price) AS DOUBLE) / count(price) AS avg_price,
+         CAST(sum(price) * 100 AS DOUBLE) / (count(price) * 100) AS avg_price,
          count(DISTINCT order_id) AS total_orders,
          CAST(sum(price) * 100 AS HUGEINT) AS cents, count(price) AS priced
   FROM t_lines GROUP BY product_id

@@ -298,8 +298,8 @@ def distinct_customers_per_day(t):
 @check(
     "avg_by_key",
     """
-SELECT product_id, CAST(sum(price) AS DOUBLE) / count(price) AS avg_price,
-       CAST(sum(price + freight_value) AS DOUBLE) / count(price + freight_value) AS avg_amount
+SELECT product_id, CAST(sum(price) * 100 AS DOUBLE) / (count(price) * 100) AS avg_price,
+       CAST(sum(price + freight_value) * 100 AS DOUBLE) / (count(price + freight_value) * 100) AS avg_amount
 FROM t_items_gaps GROUP BY product_id
 """,
 )
@@ -333,7 +333,7 @@ _CUSTOMER_TOTALS_SQL = """
 ), customer_totals AS (
   SELECT customer_id, count(order_id) AS total_orders,
          CAST(sum(order_total) AS DECIMAL(15,2)) AS total_spent,
-         CAST(sum(order_total) AS DOUBLE) / count(order_total) AS avg_order_value,
+         CAST(sum(order_total) * 100 AS DOUBLE) / (count(order_total) * 100) AS avg_order_value,
          CAST(min(order_time) AS DATE) AS first_order_date,
          CAST(max(order_time) AS DATE) AS last_order_date,
          CAST(date_diff('day', CAST(min(order_time) AS DATE), CAST(max(order_time) AS DATE))
@@ -360,7 +360,7 @@ def two_level_customer_totals(t):
 SELECT product_id, count(DISTINCT order_id) AS total_orders,
        CAST(sum(order_item_id) AS BIGINT) AS total_quantity_sold,
        CAST(sum(price) AS DECIMAL(15,2)) AS total_revenue,
-       CAST(sum(price) AS DOUBLE) / count(price) AS avg_price
+       CAST(sum(price) * 100 AS DOUBLE) / (count(price) * 100) AS avg_price
 FROM t_items GROUP BY product_id
 """,
 )

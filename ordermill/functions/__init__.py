@@ -1,11 +1,25 @@
 """Column expressions shared by operators and marts."""
 
 from ordermill.functions.columns import (
+    cents,
     days_between,
     line_amount,
+    line_cents,
     mean,
+    mean_of_cents,
     money,
+    money_of_cents,
     sale_date,
 )
 
-__all__ = ["days_between", "line_amount", "mean", "money", "sale_date"]
+__all__ = [
+    "cents",
+    "days_between",
+    "line_amount",
+    "line_cents",
+    "mean",
+    "mean_of_cents",
+    "money",
+    "money_of_cents",
+    "sale_date",
+]

@@ -1,7 +1,14 @@
-"""Small expressions over order columns; all of them stay inside generated code."""
+"""Small expressions over order columns; all of them stay inside generated code.
+
+Totals that feed a shuffle are summed as whole cents: a bigint buffer is half the size of
+the wide decimal that ``sum`` of a decimal needs, and stays in Spark's fast hash map. The
+declared DECIMAL(15,2) of every total is exceeded long before a bigint of cents is.
+"""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,17 +18,37 @@ def line_amount() -> Column:
     return F.col("price") + F.col("freight_value")
 
 
+def cents(column: str) -> Column:
+    """A declared DECIMAL(10,2) value as whole cents."""
+    return (F.col(column).cast("decimal(10,2)") * 100).cast("bigint")
+
+
+def line_cents() -> Column:
+    """Price plus freight of one line in cents; null when either is null."""
+    return cents("price") + cents("freight_value")
+
+
 def money(value: Column) -> Column:
     """Declared type of a total."""
     return value.cast("decimal(15,2)")
 
 
-def mean(total: Column, n: Column) -> Column:
-    """Average from an exact decimal total and its non-null count; null when there is none.
+def money_of_cents(total: Column) -> Column:
+    return money(total.cast("decimal(20,0)") * F.lit(Decimal("0.01")))
+
+
+def mean_of_cents(total: Column, n: Column) -> Column:
+    """Average in currency units of ``n`` values that sum to ``total`` cents; null for none.
 
-    One division of exact operands gives the same double on any partitioning.
+    Both operands are whole numbers, exact as doubles, so their one division is the
+    double nearest to the true average, on any partitioning.
     """
-    return total.cast("double") / F.nullif(n, F.lit(0))
+    return total.cast("double") / F.nullif(n * 100, F.lit(0))
+
+
+def mean(total: Column, n: Column) -> Column:
+    """As ``mean_of_cents``, from a decimal total with two places."""
+    return mean_of_cents(total * 100, n)
 
 
 def sale_date() -> Column:

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordermill.functions import days_between, line_amount, mean, money
+from ordermill.functions import (
+    cents,
+    days_between,
+    line_amount,
+    line_cents,
+    mean,
+    mean_of_cents,
+    money,
+    money_of_cents,
+)
 
 
 def order_totals(lines: DataFrame) -> DataFrame:
@@ -47,15 +56,15 @@ def category_counts(details: DataFrame) -> DataFrame:
 
 
 def amounts_per_order(items: DataFrame) -> DataFrame:
-    """Line count, amount and priced-line count per order, before any join.
+    """Line count, amount in cents and priced-line count per order, before any join.
 
     Joining these instead of the raw items moves at most one row per order, however
     many items one order holds.
     """
     return items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("line_count"),
-        F.sum(line_amount()).alias("amount"),
-        F.count(line_amount()).alias("priced_lines"),
+        F.sum(line_cents()).alias("cents"),
+        F.count(line_cents()).alias("priced_lines"),
     )
 
 
@@ -67,15 +76,15 @@ def product_totals(items: DataFrame) -> DataFrame:
     """
     per_product = items.groupBy("product_id").agg(
         F.sum("order_item_id").alias("total_quantity_sold"),
-        F.sum("price").alias("revenue"),
+        F.sum(cents("price")).alias("cents"),
         F.count("price").alias("priced_lines"),
         F.count_distinct("order_id").alias("total_orders"),
     )
     return per_product.select(
         "product_id",
         "total_quantity_sold",
-        money(F.col("revenue")).alias("total_revenue"),
-        mean(F.col("revenue"), F.col("priced_lines")).alias("avg_price"),
+        money_of_cents(F.col("cents")).alias("total_revenue"),
+        mean_of_cents(F.col("cents"), F.col("priced_lines")).alias("avg_price"),
         "total_orders",
     )
 

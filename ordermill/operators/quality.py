@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, DoubleType
+from pyspark.sql.types import DecimalType
 
 from ordermill.contracts import TableContract
 
@@ -167,17 +167,13 @@ def decimal_violations(
 def conform(df: DataFrame, contract: TableContract) -> DataFrame:
     """Shape a frame as its contract declares: renamed, cast, ordered and stamped.
 
-    Doubles are rounded half up on their decimal digits before they become decimals; the
-    bare cast would round on the binary value and lose half cents.
+    A double that becomes a decimal is rounded half up on its decimal digits.
     """
     source = {contract.renames.get(c, c): c for c in df.columns}
-    doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType)}
     columns = []
     for f in contract.schema.fields:
         if f.name in source:
             value = F.col(source[f.name])
-            if source[f.name] in doubles and isinstance(f.dataType, DecimalType):
-                value = F.round(value, f.dataType.scale)
             if f.name in contract.stamped:
                 value = F.coalesce(value.cast(f.dataType), F.current_timestamp())
         elif f.name in contract.stamped:

@@ -9,7 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordermill.functions import days_between, line_amount, mean, money, sale_date
+from ordermill.functions import (
+    days_between,
+    line_cents,
+    mean_of_cents,
+    money_of_cents,
+    sale_date,
+)
 from ordermill.operators.aggregates import amounts_per_order, product_totals
 from ordermill.operators.relational import (
     DELIVERED,
@@ -36,7 +42,7 @@ def customer_metrics(
             delivered(orders, status).select(
                 "order_id", "customer_id", "order_purchase_timestamp"
             ),
-            items.select("order_id", "product_id", line_amount().alias("amount")),
+            items.select("order_id", "product_id", line_cents().alias("cents")),
         ),
         products.select("product_id", F.col("product_category_name").alias("category")),
     )
@@ -45,7 +51,7 @@ def customer_metrics(
         [[customer, order], [customer, category]], customer, order, category
     ).agg(
         F.grouping(category).alias("is_order"),
-        F.sum("amount").alias("amount"),
+        F.sum("cents").alias("cents"),
         F.min("order_purchase_timestamp").alias("order_time"),
         F.count(F.lit(1)).alias("line_count"),
     )
@@ -53,8 +59,8 @@ def customer_metrics(
     preference = F.struct(-F.col("line_count"), category.isNull(), category)
     per_customer = parts.groupBy("customer_id").agg(
         F.count_if(is_order).alias("total_orders"),
-        F.sum(F.when(is_order, F.col("amount"))).alias("spent"),
-        F.count(F.when(is_order, F.col("amount"))).alias("priced_orders"),
+        F.sum(F.when(is_order, F.col("cents"))).alias("spent"),
+        F.count(F.when(is_order, F.col("cents"))).alias("priced_orders"),
         F.to_date(F.min(F.when(is_order, F.col("order_time")))).alias("first_order_date"),
         F.to_date(F.max(F.when(is_order, F.col("order_time")))).alias("last_order_date"),
         F.min_by(category, F.when(~is_order, preference)).alias("favorite_category"),
@@ -62,8 +68,8 @@ def customer_metrics(
     return per_customer.select(
         "customer_id",
         "total_orders",
-        money(F.col("spent")).alias("total_spent"),
-        mean(F.col("spent"), F.col("priced_orders")).alias("avg_order_value"),
+        money_of_cents(F.col("spent")).alias("total_spent"),
+        mean_of_cents(F.col("spent"), F.col("priced_orders")).alias("avg_order_value"),
         "first_order_date",
         "last_order_date",
         days_between("last_order_date", "first_order_date").alias("customer_lifetime_days"),
@@ -85,16 +91,16 @@ def daily_sales(orders: DataFrame, items: DataFrame, status: str = DELIVERED) ->
     )
     per_day = per_order.groupBy("sale_date").agg(
         F.sum("line_count").alias("total_orders"),
-        F.sum("amount").alias("revenue"),
+        F.sum("cents").alias("cents"),
         F.count_distinct("customer_id").alias("unique_customers"),
         F.sum("priced_lines").alias("priced_lines"),
     )
     return per_day.select(
         "sale_date",
         "total_orders",
-        money(F.col("revenue")).alias("total_revenue"),
+        money_of_cents(F.col("cents")).alias("total_revenue"),
         "unique_customers",
-        mean(F.col("revenue"), F.col("priced_lines")).alias("avg_order_value"),
+        mean_of_cents(F.col("cents"), F.col("priced_lines")).alias("avg_order_value"),
     )
 
 

@@ -1,6 +1,6 @@
 """Run a registered query in Spark and its check SQL in DuckDB and compare every row.
 
-    python -m tests.oracle [data folder] [query ...]
+    python -m tests.oracle [data folder] [query or setting=value ...]
 """
 
 from __future__ import annotations
@@ -57,10 +57,14 @@ def main() -> None:
     from ordermill.session import build_session
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    wanted = sys.argv[2:]
-    spark = build_session(
-        "oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"}
-    )
+    wanted = [a for a in sys.argv[2:] if "=" not in a]
+    settings = {
+        "spark.sql.shuffle.partitions": "8",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        **dict(a.split("=", 1) for a in sys.argv[2:] if "=" in a),
+    }
+    spark = build_session("oracle", "local[8]", **settings)
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, failed = connect(folder), oracle_sql(), 0
     for name, run in queries().items():
