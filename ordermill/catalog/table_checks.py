@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ordermill.catalog.mapping import Tables
 from ordermill.catalog.registry import check
-from ordermill.contracts import ORDER_ITEMS, PRODUCTS
+from ordermill.contracts import LIVE_ORDERS, ORDER_ITEMS, PRODUCTS
 from ordermill.operators.quality import conform
 from ordermill.plans import jobs
 from ordermill.session import scratch_path
@@ -88,11 +88,9 @@ def sink_append_mode(t):
     )
 
 
-def _live(t: Tables, orders, name: str):
-    """Run a live-order stream to the end of the input and return what it appended."""
-    out = scratch_path(t.spark, name)
-    live.append_stream(orders, out, scratch_path(t.spark, f"{name}-state")).awaitTermination()
-    return t.spark.read.parquet(out).select(
+def _as_given(orders):
+    """Live orders without the time of processing, identifiers as given."""
+    return orders.select(
         F.col("order_id").cast("bigint"),
         F.col("customer_id").cast("bigint"),
         "product_id",
@@ -101,18 +99,44 @@ def _live(t: Tables, orders, name: str):
     )
 
 
+def _appended(t: Tables, orders):
+    """Run a live-order stream to the end of the input and return what it appended."""
+    out = scratch_path(t.spark, "live")
+    live.append_stream(orders, out, scratch_path(t.spark, "live-state")).awaitTermination()
+    return _as_given(t.spark.read.parquet(out))
+
+
 def _event_stream(t: Tables):
     return live.file_stream(t.spark, t.path("events"), t.given("events").schema)
 
 
+def _replayed(t: Tables):
+    """Live orders where every purchase arrives twice."""
+    twice = _event_stream(t).unionByName(_event_stream(t))
+    return live.live_orders(t.purchases(twice))
+
+
 @check("live_orders", "SELECT * FROM t_purchases")
 def live_orders(t):
-    return _live(t, live.live_orders(t.purchases(_event_stream(t))), "live")
+    return _appended(t, live.live_orders(t.purchases(_event_stream(t))))
 
 
 @check("live_orders_dedup", "SELECT * FROM t_purchases")
 def live_orders_dedup(t):
-    """Every purchase arrives twice and is appended once."""
-    replayed = _event_stream(t).unionByName(_event_stream(t))
-    unique = live.unique_orders(live.live_orders(t.purchases(replayed)))
-    return _live(t, unique, "live-dedup")
+    """Repeats removed by stream state that keeps every key."""
+    return _appended(t, live.unique_orders(_replayed(t)))
+
+
+@check("live_orders_dedup_within", "SELECT * FROM t_purchases")
+def live_orders_dedup_within(t):
+    """Repeats removed by bounded state; the events span 30 days."""
+    return _appended(t, live.unique_orders_within(_replayed(t), "31 days"))
+
+
+@check("live_orders_upsert", "SELECT * FROM t_purchases")
+def live_orders_upsert(t):
+    """Repeats removed against the target table, without stream state."""
+    layers = PathLayers(scratch_path(t.spark, "live-upsert"))
+    state = scratch_path(t.spark, "live-upsert-state")
+    live.upsert_stream(_replayed(t), layers, state).awaitTermination()
+    return _as_given(layers.read(t.spark, LIVE_ORDERS))

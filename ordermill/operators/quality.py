@@ -125,6 +125,9 @@ def length_violations(
     df: DataFrame, table: str, keys: Sequence[str], limits: Mapping[str, int]
 ) -> DataFrame:
     """Strings longer than declared; one scan whatever the number of limits."""
+    too_long = reduce(
+        Column.__or__, [F.length(F.col(c).cast("string")) > n for c, n in limits.items()]
+    )
     checks = F.array(
         *[
             F.struct(
@@ -135,7 +138,7 @@ def length_violations(
             for c, n in limits.items()
         ]
     )
-    return df.select(
+    return df.filter(too_long).select(
         F.lit(table).alias("table_name"),
         _label(keys).alias("key_value"),
         F.inline(F.filter(checks, lambda x: x["actual_length"] > x["max_length"])),
@@ -146,18 +149,21 @@ def decimal_violations(
     df: DataFrame, table: str, keys: Sequence[str], types: Mapping[str, DecimalType]
 ) -> DataFrame:
     """Values that do not fit the declared DECIMAL(p, s) after rounding to its scale."""
+    overflows = {
+        c: F.col(c).isNotNull() & F.col(c).try_cast(t).isNull() for c, t in types.items()
+    }
     checks = F.array(
         *[
             F.struct(
                 F.lit(c).alias("column_name"),
                 F.lit(t.simpleString()).alias("declared_type"),
                 F.col(c).cast("double").alias("value"),
-                (F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias("overflows"),
+                overflows[c].alias("overflows"),
             )
             for c, t in types.items()
         ]
     )
-    return df.select(
+    return df.filter(reduce(Column.__or__, overflows.values())).select(
         F.lit(table).alias("table_name"),
         _label(keys).alias("key_value"),
         F.inline(F.filter(checks, lambda x: x["overflows"])),

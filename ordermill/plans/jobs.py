@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,17 +18,10 @@ from ordermill.contracts import (
 from ordermill.operators.quality import conform, null_audit
 from ordermill.operators.relational import DELIVERED
 from ordermill.plans.marts import customer_metrics, daily_sales, product_performance
+from ordermill.sinks.layers import Layers
 from ordermill.sources.registry import LOADED, LoadResult, load_raw, loaded_frames
 
 
-class Layers(Protocol):
-    """Anywhere tables rest: Parquet folders, the catalog or a database."""
-
-    def read(self, spark: SparkSession, contract: TableContract) -> DataFrame: ...
-
-    def write(self, df: DataFrame, contract: TableContract, mode: str = "overwrite") -> int: ...
-
-
 class NoDataError(RuntimeError):
     """Nothing could be loaded."""
 

@@ -48,12 +48,21 @@ class JdbcLayers:
             options["createTableColumnTypes"] = types
         return options
 
+    def exists(self, spark: SparkSession, contract: TableContract) -> bool:
+        """True: the database holds every declared table before Spark writes to it."""
+        return True
+
     def read(self, spark: SparkSession, contract: TableContract, **split) -> DataFrame:
         return read_jdbc(spark, self.connection, contract.name, contract.layer, **split)
 
     def write(self, df: DataFrame, contract: TableContract, mode: str = "overwrite") -> int:
-        """Write with any save mode; failures propagate."""
+        """Write with any save mode; failures propagate.
+
+        The rows are spread over ``max_connections`` tasks by a shuffle, so the work
+        above the write keeps its own parallelism.
+        """
         options = self.write_options(contract)
+        spread = df.repartition(self.max_connections)
         return write_counted(
-            df, lambda d: d.write.format("jdbc").options(**options).mode(mode).save()
+            spread, lambda d: d.write.format("jdbc").options(**options).mode(mode).save()
         )

@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ordermill.contracts import CONTRACTS, LAYERS, TableContract
 from ordermill.sinks.counted import write_counted
+from ordermill.sources.files import path_exists
+
+
+class Layers(Protocol):
+    """Anywhere tables rest: Parquet folders, the catalog or a database."""
+
+    def exists(self, spark: SparkSession, contract: TableContract) -> bool: ...
+
+    def read(self, spark: SparkSession, contract: TableContract) -> DataFrame: ...
+
+    def write(self, df: DataFrame, contract: TableContract, mode: str = "overwrite") -> int: ...
 
 
 @dataclass(frozen=True)
@@ -19,6 +31,9 @@ class PathLayers:
     def path(self, contract: TableContract) -> str:
         return f"{self.root.rstrip('/')}/{contract.layer}/{contract.name}"
 
+    def exists(self, spark: SparkSession, contract: TableContract) -> bool:
+        return path_exists(spark, f"{self.path(contract)}/part-*")
+
     def read(self, spark: SparkSession, contract: TableContract) -> DataFrame:
         return spark.read.parquet(self.path(contract))
 
@@ -48,6 +63,9 @@ class CatalogLayers:
             )
             spark.sql(f"CREATE TABLE IF NOT EXISTS {c.qualified_name} ({columns}) USING parquet")
 
+    def exists(self, spark: SparkSession, contract: TableContract) -> bool:
+        return spark.catalog.tableExists(contract.qualified_name)
+
     def read(self, spark: SparkSession, contract: TableContract) -> DataFrame:
         return spark.table(contract.qualified_name)
 

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ordermill.contracts import LIVE_ORDERS
 from ordermill.operators.quality import conform
+from ordermill.sinks.layers import Layers
 from ordermill.sources.files import path_exists
 
 
@@ -46,7 +47,9 @@ def live_orders(incoming: DataFrame) -> DataFrame:
 def unique_orders(orders: DataFrame) -> DataFrame:
     """One row per order id for the life of the stream.
 
-    Exact. The state holds every key ever seen, spread by key over the state store.
+    Exact. The state holds every key ever seen, spread by key over the state store. All
+    repeats of one id meet in one state task; where a single id may repeat without
+    bound, use ``upsert_stream``, which drops repeats before they move.
     """
     return orders.dropDuplicates(["order_id"])
 
@@ -56,8 +59,8 @@ def unique_orders_within(
 ) -> DataFrame:
     """One row per order id among repeats that arrive within ``delay`` of each other.
 
-    Bounded state: keys older than the watermark are forgotten, so this is exact only
-    if replays are never later than the delay.
+    Bounded state: keys older than the watermark are forgotten and rows older than it are
+    dropped as late, so this is exact only if nothing arrives later than the delay.
     """
     return orders.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(["order_id"])
 
@@ -73,33 +76,28 @@ def append_stream(orders: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
-def append_new_to(read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None]):
+def append_new_to(target: Layers) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that appends the orders a target does not hold yet.
 
-    For targets outside Spark's exactly-once file sink. A batch that is replayed after
-    its write finds its rows in the target and adds nothing. The target's keys take the
-    place of stream state; ``read`` returns None while the target does not exist.
+    Exact, and without stream state: the target's keys take its place. Repeats within a
+    batch are dropped map-side first, so a hot id moves as one row per task. A batch that
+    is replayed after its write finds its rows in the target and adds nothing.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
         fresh = batch.dropDuplicates(["order_id"])
-        held = read()
-        if held is not None:
-            fresh = fresh.join(held.select("order_id"), "order_id", "left_anti")
-        write(fresh.select(*batch.columns))
+        if target.exists(batch.sparkSession, LIVE_ORDERS):
+            held = target.read(batch.sparkSession, LIVE_ORDERS).select("order_id")
+            fresh = fresh.join(held, "order_id", "left_anti")
+        target.write(fresh.select(*batch.columns), LIVE_ORDERS, "append")
 
     return append
 
 
-def upsert_stream(
-    orders: DataFrame,
-    read: Callable[[], DataFrame | None],
-    write: Callable[[DataFrame], None],
-    checkpoint: str,
-) -> StreamingQuery:
+def upsert_stream(orders: DataFrame, target: Layers, checkpoint: str) -> StreamingQuery:
     """Run ``append_new_to`` over everything available, then stop."""
     return (
-        orders.writeStream.foreachBatch(append_new_to(read, write))
+        orders.writeStream.foreachBatch(append_new_to(target))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -1,0 +1,99 @@
+from __future__ import annotations
+
+from datetime import datetime
+from decimal import Decimal
+
+import pytest
+
+from ordermill.session import build_session
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    base = tmp_path_factory.mktemp("spark")
+    session = build_session(
+        "tests",
+        "local[4]",
+        **{
+            "spark.sql.shuffle.partitions": "4",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.sql.warehouse.dir": str(base / "warehouse"),
+            "spark.checkpoint.dir": str(base / "shared"),
+        },
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+def day(text: str) -> datetime:
+    return datetime.fromisoformat(text)
+
+
+def eur(text: str | None) -> Decimal | None:
+    return None if text is None else Decimal(text)
+
+
+ORDER_COLUMNS = (
+    "order_id string, customer_id string, order_status string, order_purchase_timestamp timestamp"
+)
+ITEM_COLUMNS = (
+    "order_id string, order_item_id int, product_id string, seller_id string, "
+    "price decimal(10,2), freight_value decimal(10,2)"
+)
+PRODUCT_COLUMNS = "product_id string, product_category_name string"
+
+
+@pytest.fixture(scope="session")
+def orders(spark):
+    return spark.createDataFrame(
+        [
+            ("o1", "ann", "delivered", day("2024-01-01 23:59:00")),
+            ("o2", "ann", "delivered", day("2024-01-02 00:01:00")),
+            ("o3", "bob", "delivered", day("2024-01-02 12:00:00")),
+            ("o4", "bob", "delivered", day("2024-02-01 08:00:00")),  # no items
+            ("o5", "cat", "shipped", day("2024-01-03 10:00:00")),
+            ("o6", "cat", "Delivered", day("2024-01-03 10:00:00")),
+            ("o7", "cat", None, day("2024-01-03 10:00:00")),
+            ("o8", "dan", "delivered", day("2024-01-05 10:00:00")),
+            ("o9", "eve", "delivered", day("2024-01-05 11:00:00")),
+        ],
+        ORDER_COLUMNS,
+    )
+
+
+@pytest.fixture(scope="session")
+def items(spark):
+    return spark.createDataFrame(
+        [
+            ("o1", 1, "toy1", "s1", eur("10.00"), eur("1.50")),
+            ("o1", 2, "book1", "s1", eur("20.00"), eur("2.00")),
+            ("o2", 1, "book1", "s2", eur("20.00"), None),  # null freight
+            ("o2", 2, "toy1", "s1", None, eur("1.00")),  # null price
+            ("o3", 1, "bare1", "s1", eur("5.00"), eur("0.10")),  # null category wins
+            ("o3", 2, "bare1", "s1", eur("5.00"), eur("0.10")),
+            ("o3", 3, "bare2", "s1", eur("5.00"), eur("0.10")),
+            ("o3", 4, "toy1", "s1", eur("5.00"), eur("0.10")),
+            ("o5", 1, "toy1", "s1", eur("99.00"), eur("1.00")),
+            ("o6", 1, "toy1", "s1", eur("99.00"), eur("1.00")),
+            ("o7", 1, "toy1", "s1", eur("99.00"), eur("1.00")),
+            ("o8", 1, "ghost", "s1", eur("7.00"), eur("3.00")),  # unknown product
+            ("o8", 2, "toy1", "s1", eur("8.00"), eur("2.00")),
+            ("o9", 1, "ghost", "s1", eur("1.00"), eur("1.00")),  # only unknown products
+            ("nowhere", 1, "toy1", "s1", eur("1.00"), eur("1.00")),  # orphan
+        ],
+        ITEM_COLUMNS,
+    )
+
+
+@pytest.fixture(scope="session")
+def products(spark):
+    return spark.createDataFrame(
+        [("toy1", "toys"), ("book1", "books"), ("bare1", None), ("bare2", None), ("idle", "toys")],
+        PRODUCT_COLUMNS,
+    )
+
+
+def rows(df, *order: str) -> list[tuple]:
+    return [tuple(r) for r in df.orderBy(*order).collect()]
