@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from ordermill.contracts import RAW_TABLES, TableContract
@@ -31,7 +30,8 @@ def raw_paths(root: str, pattern: str = "{table}.csv") -> dict[str, str]:
 
 
 def _is_read_failure(error: Exception) -> bool:
-    return "FAILED_READ_FILE" in str(error) or "CANNOT_READ_FILE" in str(error)
+    """Spark names the failing file under one of these conditions."""
+    return any(c in str(error) for c in ("FAILED_READ_FILE", "CANNOT_READ_FILE"))
 
 
 def load_raw(
@@ -58,16 +58,14 @@ def _load_one(spark, contract, path, land, infer) -> LoadResult:
         return LoadResult(contract.name, MISSING)
     try:
         frame = read_csv(spark, path, None if infer else contract.schema)
-    except PySparkException as error:
+    except Exception as error:
         return LoadResult(contract.name, UNREADABLE, error=str(error))
-    if land is None:
-        return LoadResult(contract.name, LOADED, frame)
     try:
-        landed, rows = land(frame, contract)
+        landed, rows = land(frame, contract) if land else (frame, None)
     except Exception as error:
-        if _is_read_failure(error):
-            return LoadResult(contract.name, UNREADABLE, error=str(error))
-        raise
+        if not _is_read_failure(error):
+            raise
+        return LoadResult(contract.name, UNREADABLE, error=str(error))
     return LoadResult(contract.name, LOADED, landed, rows)
 
 
