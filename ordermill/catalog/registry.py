@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ordermill.catalog.mapping import MAPPED_SQL, Tables
-from ordermill.session import adapt
+from ordermill.session import adapt, size_shuffles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +18,9 @@ def check(name: str, sql: str | None = None):
 
     def register(build: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(Tables(adapt(spark), sf_dir))
+            result = build(Tables(adapt(spark), sf_dir))
+            size_shuffles(result)
+            return result
 
         run.__name__ = name
         run.__doc__ = build.__doc__

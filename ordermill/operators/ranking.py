@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordermill.operators.aggregates import category_counts
-from ordermill.session import scratch_root
+from ordermill.session import scratch_root, size_shuffles
 
 
 def category_preference() -> list[Column]:
@@ -49,6 +49,7 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "position"
     per sorted partition, so its size is bounded by the partition count, not the data.
     """
     scratch_root(df.sparkSession)
+    size_shuffles(df)
     row_id = F.monotonically_increasing_id()
     placed = (
         df.orderBy(*order)

@@ -18,6 +18,7 @@ from ordermill.contracts import (
 from ordermill.operators.quality import conform, null_audit
 from ordermill.operators.relational import DELIVERED
 from ordermill.plans.marts import customer_metrics, daily_sales, product_performance
+from ordermill.session import size_shuffles
 from ordermill.sinks.layers import Layers
 from ordermill.sources.registry import LOADED, LoadResult, load_raw, loaded_frames
 
@@ -74,6 +75,7 @@ def build_marts(
     One action per mart. The marts share no cached intermediate: each reads the few
     columns it needs, which moves less than storing the full joined lines would.
     """
+    size_shuffles(orders, items, products)
     marts = [
         (CUSTOMER_METRICS, customer_metrics(orders, items, products, status)),
         (DAILY_SALES, daily_sales(orders, items, status)),
