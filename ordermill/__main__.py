@@ -1,7 +1,9 @@
 """Command line for the two batch jobs.
 
-    spark-submit ... -m ordermill land  --raw <folder> --warehouse <folder>
-    spark-submit ... -m ordermill marts --warehouse <folder>
+    python -m ordermill land  --raw <folder> --warehouse <folder>
+    python -m ordermill marts --warehouse <folder>
+
+or ``spark-submit --py-files ordermill.zip ordermill/__main__.py`` with the same options.
 
 With ``--jdbc-url`` the tables rest in a database instead of Parquet folders; user and
 password come from ORDERMILL_DB_USER and ORDERMILL_DB_PASSWORD.
@@ -57,8 +59,9 @@ def main(argv: list[str] | None = None) -> int:
         if options.job == "land":
             report = jobs.land_raw(spark, options.raw, place, options.pattern, options.infer)
             for result in report.tables.values():
-                print(result.table, result.status, result.rows, result.error or "")
-            report.audit.show(truncate=False)
+                rows = result.written.rows if result.written else ""
+                print(result.table, result.status, rows, result.error or "")
+            jobs.landed_nulls(spark, report).show(truncate=False)
         else:
             jobs.mart_summary(spark, jobs.run_marts(spark, place, place)).show(truncate=False)
         return 0

@@ -34,7 +34,7 @@ _ABSENT = {
         ],
     ),
 }
-_NULLS_SQL = " UNION ALL ".join(
+NULLS_SQL = " UNION ALL ".join(
     [
         f"SELECT '{table}' AS table_name, '{column}' AS column_name, count(*) AS null_count"
         f" FROM {source}"
@@ -50,7 +50,7 @@ _NULLS_SQL = " UNION ALL ".join(
 )
 
 
-@check("null_audit", f"SELECT * FROM ({_NULLS_SQL}) WHERE null_count > 0")
+@check("null_audit", f"SELECT * FROM ({NULLS_SQL}) WHERE null_count > 0")
 def null_audit(t):
     return quality.null_audit(t.contract_frames())
 
@@ -60,7 +60,7 @@ def null_audit(t):
     f"""
 SELECT table_name, count_if(null_count > 0) > 0 AS has_nulls,
        CAST(count_if(null_count > 0) AS BIGINT) AS null_columns
-FROM ({_NULLS_SQL} UNION ALL SELECT 'part', 'p_name', count(*) FROM part WHERE p_name IS NULL)
+FROM ({NULLS_SQL} UNION ALL SELECT 'part', 'p_name', count(*) FROM part WHERE p_name IS NULL)
 GROUP BY table_name
 """,
 )

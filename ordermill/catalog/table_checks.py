@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ordermill.catalog.mapping import Tables
+from ordermill.catalog.quality_checks import NULLS_SQL
 from ordermill.catalog.registry import check
 from ordermill.contracts import LIVE_ORDERS, ORDER_ITEMS, PRODUCTS
 from ordermill.operators.quality import conform
@@ -64,11 +65,20 @@ UNION ALL SELECT 'products', count(*) FROM t_products
 )
 def raw_landing_counts(t):
     """All raw tables as CSV, landed as typed Parquet; counts taken by the writes."""
+    return jobs.landed_counts(t.spark, _land(t))
+
+
+@check("raw_landing_nulls", f"SELECT * FROM ({NULLS_SQL}) WHERE null_count > 0")
+def raw_landing_nulls(t):
+    """The null audit that the landing writes take on the way."""
+    return jobs.landed_nulls(t.spark, _land(t))
+
+
+def _land(t: Tables):
     root = scratch_path(t.spark, "raw")
     for name, frame in t.contract_frames().items():
         _csv(frame, f"{root}/{name}.csv")
-    report = jobs.land_raw(t.spark, root, PathLayers(scratch_path(t.spark, "landed")))
-    return jobs.landed_counts(t.spark, report)
+    return jobs.land_raw(t.spark, root, PathLayers(scratch_path(t.spark, "landed")))
 
 
 @check(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ordermill.contracts import (
     CUSTOMER_METRICS,
@@ -15,10 +16,11 @@ from ordermill.contracts import (
     PRODUCTS,
     TableContract,
 )
-from ordermill.operators.quality import conform, null_audit
+from ordermill.operators.quality import conform
 from ordermill.operators.relational import DELIVERED
 from ordermill.plans.marts import customer_metrics, daily_sales, product_performance
 from ordermill.session import size_shuffles
+from ordermill.sinks.counted import Written
 from ordermill.sinks.layers import Layers
 from ordermill.sources.registry import LOADED, LoadResult, load_raw, loaded_frames
 
@@ -30,7 +32,9 @@ class NoDataError(RuntimeError):
 @dataclass(frozen=True)
 class LandingReport:
     tables: dict[str, LoadResult]
-    audit: DataFrame
+
+    def landed(self) -> list[LoadResult]:
+        return [r for r in self.tables.values() if r.status == LOADED]
 
 
 def land_raw(
@@ -40,28 +44,34 @@ def land_raw(
     pattern: str = "{table}.csv",
     infer: bool = False,
 ) -> LandingReport:
-    """Land every raw file in its layer and audit what was landed for nulls.
+    """Land every raw file in its layer and report its rows and nulls.
 
-    Each file is scanned once, by its write. The audit reads the landed tables.
+    One scan per file: the write counts rows and nulls as they pass.
     """
 
-    def land(frame: DataFrame, contract: TableContract) -> tuple[DataFrame, int]:
-        rows = target.write(frame, contract)
-        return target.read(spark, contract), rows
+    def land(frame: DataFrame, contract: TableContract) -> tuple[DataFrame, Written]:
+        nulls = {c: F.count_if(F.col(f"`{c}`").isNull()) for c in frame.columns}
+        written = target.write(frame, contract, metrics=nulls)
+        return target.read(spark, contract), written
 
     results = load_raw(spark, root, land, pattern, infer)
-    frames = loaded_frames(results)
-    if not frames:
+    if not loaded_frames(results):
         raise NoDataError(f"no raw table could be loaded from {root}")
-    return LandingReport(results, null_audit(frames))
+    return LandingReport(results)
 
 
 def landed_counts(spark: SparkSession, report: LandingReport) -> DataFrame:
     """One row per landed table."""
-    rows = [(r.table, r.rows) for r in report.tables.values() if r.status == LOADED]
+    rows = [(r.table, r.written.rows) for r in report.landed()]
     return spark.createDataFrame(rows, "table_name string, row_count bigint")
 
 
+def landed_nulls(spark: SparkSession, report: LandingReport) -> DataFrame:
+    """The columns that hold nulls, as the writes saw them."""
+    rows = [(r.table, c, n) for r in report.landed() for c, n in r.written.metrics.items() if n]
+    return spark.createDataFrame(rows, "table_name string, column_name string, null_count bigint")
+
+
 def build_marts(
     orders: DataFrame,
     items: DataFrame,
@@ -81,7 +91,7 @@ def build_marts(
         (DAILY_SALES, daily_sales(orders, items, status)),
         (PRODUCT_PERFORMANCE, product_performance(orders, items, products, status)),
     ]
-    return {c.name: target.write(conform(mart, c), c, mode) for c, mart in marts}
+    return {c.name: target.write(conform(mart, c), c, mode).rows for c, mart in marts}
 
 
 def mart_summary(spark: SparkSession, written: dict[str, int]) -> DataFrame:

@@ -1,19 +1,40 @@
-"""Row counts taken while writing, so no second job is needed."""
+"""Row counts and other metrics taken while writing, so no second job is needed."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def write_counted(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
-    """Run ``write`` and return the number of rows it wrote, in one action.
+@dataclass(frozen=True)
+class Written:
+    """What a write saw go by."""
 
-    The counter sits right below the writer, in the result stage, where Spark counts
+    rows: int
+    metrics: dict[str, int] = field(default_factory=dict)
+
+
+def write_counted(
+    df: DataFrame,
+    write: Callable[[DataFrame], None],
+    metrics: Mapping[str, Column] | None = None,
+) -> Written:
+    """Run ``write`` and return its row count and ``metrics``, all from that one action.
+
+    The metrics are taken right below the writer, in the result stage, where Spark counts
     every task once however often it is retried.
     """
     seen = Observation()
-    write(df.observe(seen, F.count(F.lit(1)).alias("rows")))
-    return seen.get["rows"]
+    wanted = metrics or {}
+    write(
+        df.observe(
+            seen,
+            F.count(F.lit(1)).alias("_rows"),
+            *[value.alias(name) for name, value in wanted.items()],
+        )
+    )
+    # a write that did not run, such as "ignore" on a full table, sees nothing
+    return Written(seen.get.get("_rows") or 0, {name: seen.get.get(name) or 0 for name in wanted})

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructType
 
 from ordermill.contracts import TableContract
-from ordermill.sinks.counted import write_counted
+from ordermill.sinks.counted import Written, write_counted
 from ordermill.sources.jdbc import JdbcConnection, read_jdbc
 
 
@@ -55,7 +56,13 @@ class JdbcLayers:
     def read(self, spark: SparkSession, contract: TableContract, **split) -> DataFrame:
         return read_jdbc(spark, self.connection, contract.name, contract.layer, **split)
 
-    def write(self, df: DataFrame, contract: TableContract, mode: str = "overwrite") -> int:
+    def write(
+        self,
+        df: DataFrame,
+        contract: TableContract,
+        mode: str = "overwrite",
+        metrics: Mapping[str, Column] | None = None,
+    ) -> Written:
         """Write with any save mode; failures propagate.
 
         The rows are spread over ``max_connections`` tasks by a shuffle, so the work
@@ -64,5 +71,7 @@ class JdbcLayers:
         options = self.write_options(contract)
         spread = df.repartition(self.max_connections)
         return write_counted(
-            spread, lambda d: d.write.format("jdbc").options(**options).mode(mode).save()
+            spread,
+            lambda d: d.write.format("jdbc").options(**options).mode(mode).save(),
+            metrics,
         )

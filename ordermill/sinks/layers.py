@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from ordermill.contracts import CONTRACTS, LAYERS, TableContract
-from ordermill.sinks.counted import write_counted
+from ordermill.sinks.counted import Written, write_counted
 from ordermill.sources.files import path_exists
 
 
@@ -19,7 +20,13 @@ class Layers(Protocol):
 
     def read(self, spark: SparkSession, contract: TableContract) -> DataFrame: ...
 
-    def write(self, df: DataFrame, contract: TableContract, mode: str = "overwrite") -> int: ...
+    def write(
+        self,
+        df: DataFrame,
+        contract: TableContract,
+        mode: str = "overwrite",
+        metrics: Mapping[str, Column] | None = None,
+    ) -> Written: ...
 
 
 @dataclass(frozen=True)
@@ -37,9 +44,15 @@ class PathLayers:
     def read(self, spark: SparkSession, contract: TableContract) -> DataFrame:
         return spark.read.parquet(self.path(contract))
 
-    def write(self, df: DataFrame, contract: TableContract, mode: str = "overwrite") -> int:
-        """Write with any save mode (overwrite, append, ignore, error); rows written."""
-        return write_counted(df, lambda d: d.write.mode(mode).parquet(self.path(contract)))
+    def write(
+        self,
+        df: DataFrame,
+        contract: TableContract,
+        mode: str = "overwrite",
+        metrics: Mapping[str, Column] | None = None,
+    ) -> Written:
+        """Write with any save mode: overwrite, append, ignore or error."""
+        return write_counted(df, lambda d: d.write.mode(mode).parquet(self.path(contract)), metrics)
 
 
 @dataclass(frozen=True)
@@ -69,7 +82,13 @@ class CatalogLayers:
     def read(self, spark: SparkSession, contract: TableContract) -> DataFrame:
         return spark.table(contract.qualified_name)
 
-    def write(self, df: DataFrame, contract: TableContract, mode: str = "overwrite") -> int:
+    def write(
+        self,
+        df: DataFrame,
+        contract: TableContract,
+        mode: str = "overwrite",
+        metrics: Mapping[str, Column] | None = None,
+    ) -> Written:
         """Fill the table by column name; mode is overwrite or append."""
         if mode not in ("overwrite", "append"):
             raise ValueError(f"catalog tables take overwrite or append, not {mode}")
@@ -77,4 +96,5 @@ class CatalogLayers:
         return write_counted(
             ordered,
             lambda d: d.write.insertInto(contract.qualified_name, overwrite=mode == "overwrite"),
+            metrics,
         )

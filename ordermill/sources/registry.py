@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ordermill.contracts import RAW_TABLES, TableContract
+from ordermill.sinks.counted import Written
 from ordermill.sources.files import path_exists, read_csv
 
 LOADED, MISSING, UNREADABLE = "loaded", "missing", "unreadable"
@@ -15,12 +16,12 @@ LOADED, MISSING, UNREADABLE = "loaded", "missing", "unreadable"
 
 @dataclass(frozen=True)
 class LoadResult:
-    """Outcome for one table; ``rows`` is known once the table is landed."""
+    """Outcome for one table; ``written`` is known once the table is landed."""
 
     table: str
     status: str
     frame: DataFrame | None = None
-    rows: int | None = None
+    written: Written | None = None
     error: str | None = None
 
 
@@ -37,7 +38,7 @@ def _is_read_failure(error: Exception) -> bool:
 def load_raw(
     spark: SparkSession,
     root: str,
-    land: Callable[[DataFrame, TableContract], tuple[DataFrame, int]] | None = None,
+    land: Callable[[DataFrame, TableContract], tuple[DataFrame, Written]] | None = None,
     pattern: str = "{table}.csv",
     infer: bool = False,
 ) -> dict[str, LoadResult]:
@@ -61,12 +62,12 @@ def _load_one(spark, contract, path, land, infer) -> LoadResult:
     except Exception as error:
         return LoadResult(contract.name, UNREADABLE, error=str(error))
     try:
-        landed, rows = land(frame, contract) if land else (frame, None)
+        landed, written = land(frame, contract) if land else (frame, None)
     except Exception as error:
         if not _is_read_failure(error):
             raise
         return LoadResult(contract.name, UNREADABLE, error=str(error))
-    return LoadResult(contract.name, LOADED, landed, rows)
+    return LoadResult(contract.name, LOADED, landed, written)
 
 
 def loaded_frames(results: Mapping[str, LoadResult]) -> dict[str, DataFrame]:

@@ -13,7 +13,7 @@ from ordermill.contracts import (
     PRODUCTS,
     RAW_TABLES,
 )
-from ordermill.operators.quality import conform
+from ordermill.operators.quality import conform, null_audit
 from ordermill.plans import jobs
 from ordermill.sinks.jdbc import JdbcLayers, column_types
 from ordermill.sinks.layers import CatalogLayers, PathLayers
@@ -145,10 +145,12 @@ def test_landing_keeps_declared_types_counts_and_audits(spark, raw_folder, tmp_p
         ("products", 2),
     ]
     assert layers.read(spark, ORDER_ITEMS).schema["price"].dataType == ORDER_ITEMS.decimals["price"]
-    audit = {(r.table_name, r.column_name): r.null_count for r in report.audit.collect()}
+    audit = {(r.table_name, r.column_name): r.null_count for r in jobs.landed_nulls(spark, report).collect()}
     assert audit[("customers", "customer_zip_code_prefix")] == 2
     assert audit[("products", "product_category_name")] == 1
     assert ("order_items", "price") not in audit
+    again = null_audit(loaded_frames(report.tables))
+    assert audit == {(r.table_name, r.column_name): r.null_count for r in again.collect()}
 
 
 def test_jobs_end_to_end(spark, raw_folder, tmp_path):
@@ -211,22 +213,22 @@ def test_layer_of_every_table():
 def test_save_modes(spark, tmp_path):
     layers = PathLayers(str(tmp_path))
     assert not layers.exists(spark, PRODUCTS)
-    assert layers.write(_products(spark, "a", "b"), PRODUCTS) == 2
+    assert layers.write(_products(spark, "a", "b"), PRODUCTS).rows == 2
     assert layers.exists(spark, PRODUCTS)
-    assert layers.write(_products(spark, "c"), PRODUCTS, "append") == 1
+    assert layers.write(_products(spark, "c"), PRODUCTS, "append").rows == 1
     assert layers.read(spark, PRODUCTS).count() == 3
-    assert layers.write(_products(spark, "d"), PRODUCTS, "ignore") == 0
+    assert layers.write(_products(spark, "d"), PRODUCTS, "ignore").rows == 0
     assert layers.read(spark, PRODUCTS).count() == 3
     with pytest.raises(AnalysisException):
         layers.write(_products(spark, "d"), PRODUCTS, "error")
-    assert layers.write(_products(spark, "e"), PRODUCTS, "overwrite") == 1
+    assert layers.write(_products(spark, "e"), PRODUCTS, "overwrite").rows == 1
     assert rows(layers.read(spark, PRODUCTS).select("product_id"), "product_id") == [("e",)]
 
 
 def test_writing_nothing_counts_zero(spark, tmp_path):
     layers = PathLayers(str(tmp_path))
-    assert layers.write(_products(spark, "a").limit(0), PRODUCTS) == 0
-    assert layers.write(_products(spark, "a").filter("1 = 0"), PRODUCTS) == 0
+    assert layers.write(_products(spark, "a").limit(0), PRODUCTS).rows == 0
+    assert layers.write(_products(spark, "a").filter("1 = 0"), PRODUCTS).rows == 0
 
 
 def test_catalog_layers_are_idempotent_and_keep_declared_types(spark, tmp_path):
@@ -236,11 +238,11 @@ def test_catalog_layers_are_idempotent_and_keep_declared_types(spark, tmp_path):
     assert set(LAYERS) <= {d.name for d in spark.catalog.listDatabases()}
     for c in CONTRACTS.values():
         assert spark.catalog.tableExists(c.qualified_name)
-    assert layers.write(_products(spark, "a", "b"), PRODUCTS) == 2
+    assert layers.write(_products(spark, "a", "b"), PRODUCTS).rows == 2
     layers.create(spark)  # does not empty a filled table
     assert layers.read(spark, PRODUCTS).count() == 2
-    assert layers.write(_products(spark, "c"), PRODUCTS, "append") == 1
-    assert layers.write(_products(spark, "d"), PRODUCTS, "overwrite") == 1
+    assert layers.write(_products(spark, "c"), PRODUCTS, "append").rows == 1
+    assert layers.write(_products(spark, "d"), PRODUCTS, "overwrite").rows == 1
     table = layers.read(spark, PRODUCTS)
     assert rows(table.select("product_id"), "product_id") == [("d",)]
     assert [(f.name, f.dataType) for f in table.schema] == [
