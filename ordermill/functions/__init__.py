@@ -1,7 +1,6 @@
 """Column expressions shared by operators and marts."""
 
 from ordermill.functions.columns import (
-    cents,
     days_between,
     line_amount,
     line_cents,
@@ -9,11 +8,11 @@ from ordermill.functions.columns import (
     mean_of_cents,
     money,
     money_of_cents,
+    price_cents,
     sale_date,
 )
 
 __all__ = [
-    "cents",
     "days_between",
     "line_amount",
     "line_cents",
@@ -21,5 +20,6 @@ __all__ = [
     "mean_of_cents",
     "money",
     "money_of_cents",
+    "price_cents",
     "sale_date",
 ]

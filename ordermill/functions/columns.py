@@ -18,14 +18,20 @@ def line_amount() -> Column:
     return F.col("price") + F.col("freight_value")
 
 
-def cents(column: str) -> Column:
-    """A declared DECIMAL(10,2) value as whole cents."""
-    return (F.col(column).cast("decimal(10,2)") * 100).cast("bigint")
+def cents(value: Column) -> Column:
+    """A decimal with two places as whole cents."""
+    return (value * 100).cast("bigint")
+
+
+def price_cents() -> Column:
+    """Price of one line in cents, through its declared type."""
+    return cents(F.col("price").cast("decimal(10,2)"))
 
 
 def line_cents() -> Column:
     """Price plus freight of one line in cents; null when either is null."""
-    return cents("price") + cents("freight_value")
+    declared = [F.col(c).cast("decimal(10,2)") for c in ("price", "freight_value")]
+    return cents(declared[0] + declared[1])
 
 
 def money(value: Column) -> Column:

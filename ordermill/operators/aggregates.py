@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordermill.functions import (
-    cents,
     days_between,
     line_amount,
     line_cents,
@@ -14,6 +13,7 @@ from ordermill.functions import (
     mean_of_cents,
     money,
     money_of_cents,
+    price_cents,
 )
 
 
@@ -61,10 +61,11 @@ def amounts_per_order(items: DataFrame) -> DataFrame:
     Joining these instead of the raw items moves at most one row per order, however
     many items one order holds.
     """
-    return items.groupBy("order_id").agg(
+    lines = items.select("order_id", line_cents().alias("line_cents"))
+    return lines.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("line_count"),
-        F.sum(line_cents()).alias("cents"),
-        F.count(line_cents()).alias("priced_lines"),
+        F.sum("line_cents").alias("cents"),
+        F.count("line_cents").alias("priced_lines"),
     )
 
 
@@ -76,7 +77,7 @@ def product_totals(items: DataFrame) -> DataFrame:
     """
     per_product = items.groupBy("product_id").agg(
         F.sum("order_item_id").alias("total_quantity_sold"),
-        F.sum(cents("price")).alias("cents"),
+        F.sum(price_cents()).alias("cents"),
         F.count("price").alias("priced_lines"),
         F.count_distinct("order_id").alias("total_orders"),
     )

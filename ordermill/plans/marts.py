@@ -33,19 +33,19 @@ def customer_metrics(
     """Spend, order history and favorite category per customer.
 
     Order totals and category counts come from one pass over the joined lines, as two
-    grouping sets: the item and order tables are scanned and joined once, and the rows
-    that leave the join are already reduced to one per order and one per
-    (customer, category). Hot orders, customers and categories all combine map-side.
+    grouping sets, so items and orders are scanned and joined once. Products are joined
+    before orders: beyond broadcast size the lines then leave the last join grouped by
+    order, and the map side of the aggregation reduces them to one row per order and few
+    per (customer, category). Hot orders, customers and categories combine there too.
     """
-    details = line_details(
-        order_lines(
-            delivered(orders, status).select(
-                "order_id", "customer_id", "order_purchase_timestamp"
-            ),
-            items.select("order_id", "product_id", line_cents().alias("cents")),
-        ),
+    categorized = line_details(
+        items.select("order_id", "product_id", line_cents().alias("cents")),
         products.select("product_id", F.col("product_category_name").alias("category")),
     )
+    details = order_lines(
+        delivered(orders, status).select("order_id", "customer_id", "order_purchase_timestamp"),
+        categorized.drop("product_id"),
+    )
     customer, order, category = F.col("customer_id"), F.col("order_id"), F.col("category")
     parts = details.groupingSets(
         [[customer, order], [customer, category]], customer, order, category
