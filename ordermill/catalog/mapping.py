@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ordermill.contracts import RAW_TABLES
 
@@ -18,6 +19,9 @@ DELIVERED_CODE = "F"
 class Tables:
     """Lazy frames over one data folder."""
 
+    # Schemas by path, so that only the first read of a table runs a job for its footer.
+    _schemas: dict[str, StructType] = {}
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
@@ -26,7 +30,10 @@ class Tables:
         return f"{self.folder}/{name}.parquet"
 
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        path = self.path(name)
+        if path not in self._schemas:
+            self._schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[path]).parquet(path)
 
     def customers(self) -> DataFrame:
         nations = self.given("nation").select("n_nationkey", "n_name")

@@ -27,8 +27,8 @@ class JdbcLayers:
     """Database tables, the database schema being the layer.
 
     Overwrite truncates instead of dropping, so declared types and keys stay. A database
-    refuses to truncate a table that a foreign key refers to; for such a table append
-    the new rows, or drop the foreign key. Spark commits each partition on its own:
+    refuses to truncate a table that a foreign key refers to; fill such a table with
+    ``append_missing``, or drop the foreign key. Spark commits each partition on its own:
     a task retried after its commit inserts again, so keep the primary key in the
     database, which turns such a repeat into an error instead of a duplicate.
     """

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ordermill.contracts import LIVE_ORDERS
 from ordermill.operators.quality import conform
+from ordermill.sinks.append import append_missing
 from ordermill.sinks.layers import Layers
 from ordermill.sources.files import path_exists
 
@@ -76,8 +74,8 @@ def append_stream(orders: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
-def append_new_to(target: Layers) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that appends the orders a target does not hold yet.
+def upsert_stream(orders: DataFrame, target: Layers, checkpoint: str) -> StreamingQuery:
+    """Append to any target the orders it does not hold yet, then stop.
 
     Exact, and without stream state: the target's keys take its place. Repeats within a
     batch are dropped map-side first, so a hot id moves as one row per task. A batch that
@@ -85,19 +83,10 @@ def append_new_to(target: Layers) -> Callable[[DataFrame, int], None]:
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(["order_id"])
-        if target.exists(batch.sparkSession, LIVE_ORDERS):
-            held = target.read(batch.sparkSession, LIVE_ORDERS).select("order_id")
-            fresh = fresh.join(held, "order_id", "left_anti")
-        target.write(fresh.select(*batch.columns), LIVE_ORDERS, "append")
-
-    return append
+        append_missing(batch, LIVE_ORDERS, target)
 
-
-def upsert_stream(orders: DataFrame, target: Layers, checkpoint: str) -> StreamingQuery:
-    """Run ``append_new_to`` over everything available, then stop."""
     return (
-        orders.writeStream.foreachBatch(append_new_to(target))
+        orders.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -15,6 +15,7 @@ from ordermill.contracts import (
 )
 from ordermill.operators.quality import conform, null_audit
 from ordermill.plans import jobs
+from ordermill.sinks.append import append_missing
 from ordermill.sinks.jdbc import JdbcLayers, column_types
 from ordermill.sinks.layers import CatalogLayers, PathLayers
 from ordermill.sources.files import path_exists, read_csv
@@ -231,6 +232,19 @@ def test_writing_nothing_counts_zero(spark, tmp_path):
     assert layers.write(_products(spark, "a").filter("1 = 0"), PRODUCTS).rows == 0
 
 
+def test_append_missing_can_be_repeated(spark, tmp_path):
+    layers = PathLayers(str(tmp_path))
+    twice = _products(spark, "a", "b", "a")
+    assert append_missing(twice, PRODUCTS, layers).rows == 2
+    assert append_missing(twice, PRODUCTS, layers).rows == 0
+    assert append_missing(_products(spark, "b", "c"), PRODUCTS, layers).rows == 1
+    assert rows(layers.read(spark, PRODUCTS).select("product_id"), "product_id") == [
+        ("a",),
+        ("b",),
+        ("c",),
+    ]
+
+
 def test_catalog_layers_are_idempotent_and_keep_declared_types(spark, tmp_path):
     layers = CatalogLayers(str(tmp_path / "catalog"))
     layers.create(spark)
