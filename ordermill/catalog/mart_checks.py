@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ordermill.catalog.mapping import DELIVERED_CODE
-from ordermill.catalog.operator_checks import _CUSTOMER_TOTALS_SQL, _RANKED_SQL
+from ordermill.catalog.operator_checks import CUSTOMER_TOTALS_SQL, RANKED_SQL
 from ordermill.catalog.registry import check
 from ordermill.contracts import CUSTOMER_METRICS, DAILY_SALES, PRODUCT_PERFORMANCE
 from ordermill.operators.quality import conform
@@ -38,13 +38,14 @@ _MEAN_CENTS = "(2 * {cents} + {n}) // (2 * {n})"
 
 
 def _mean_sql(cents: str, n: str, declared: str) -> str:
-    return f"CAST(CAST({_MEAN_CENTS.format(cents=cents, n=n)} AS DECIMAL(18,0)) / 100 AS {declared})"
+    mean = _MEAN_CENTS.format(cents=cents, n=n)
+    return f"CAST(CAST({mean} AS DECIMAL(18,0)) / 100 AS {declared})"
 
 
 @check(
     "customer_metrics",
-    _RANKED_SQL
-    + _CUSTOMER_TOTALS_SQL
+    RANKED_SQL
+    + CUSTOMER_TOTALS_SQL
     + """
 SELECT c.* EXCLUDE (spent_cents, priced_orders), r.product_category_name AS favorite_category
 FROM customer_totals c
@@ -101,8 +102,8 @@ def product_performance(t):
 
 @check(
     "conform_customer_metrics",
-    _RANKED_SQL
-    + _CUSTOMER_TOTALS_SQL
+    RANKED_SQL
+    + CUSTOMER_TOTALS_SQL
     + f"""
 SELECT customer_id, CAST(total_orders AS INTEGER) AS total_orders, total_spent,
        {_mean_sql('spent_cents', 'priced_orders', 'DECIMAL(12,2)')} AS avg_order_value,

@@ -131,7 +131,7 @@ def join_three_way(t):
     )
 
 
-_RANKED_SQL = """
+RANKED_SQL = """
 , counts AS (
   SELECT customer_id, product_category_name, count(*) AS category_orders
   FROM t_details GROUP BY customer_id, product_category_name
@@ -146,7 +146,7 @@ _RANKED_SQL = """
 
 @check(
     "join_left_favorite",
-    _RANKED_SQL
+    RANKED_SQL
     + """
 SELECT o.customer_id, o.total_orders, r.product_category_name AS favorite_category
 FROM (SELECT customer_id, count(order_id) AS total_orders FROM t_orders GROUP BY customer_id) o
@@ -299,7 +299,8 @@ def distinct_customers_per_day(t):
     "avg_by_key",
     """
 SELECT product_id, CAST(sum(price) * 100 AS DOUBLE) / (count(price) * 100) AS avg_price,
-       CAST(sum(price + freight_value) * 100 AS DOUBLE) / (count(price + freight_value) * 100) AS avg_amount
+       CAST(sum(price + freight_value) * 100 AS DOUBLE)
+         / (count(price + freight_value) * 100) AS avg_amount
 FROM t_items_gaps GROUP BY product_id
 """,
 )
@@ -325,7 +326,7 @@ def order_date_range(t):
     )
 
 
-_CUSTOMER_TOTALS_SQL = """
+CUSTOMER_TOTALS_SQL = """
 , totals AS (
   SELECT order_id, customer_id, sum(price + freight_value) AS order_total,
          min(order_purchase_timestamp) AS order_time
@@ -347,7 +348,7 @@ _CUSTOMER_TOTALS_SQL = """
 
 @check(
     "two_level_customer_totals",
-    _CUSTOMER_TOTALS_SQL
+    CUSTOMER_TOTALS_SQL
     + "SELECT * EXCLUDE (spent_cents, priced_orders) FROM customer_totals",
 )
 def two_level_customer_totals(t):
@@ -394,7 +395,7 @@ def row_counts(t):
 
 @check(
     "rank_categories",
-    _RANKED_SQL
+    RANKED_SQL
     + """
 SELECT customer_id, product_category_name, category_orders, CAST(rn AS INTEGER) AS rn FROM ranked
 """,
@@ -407,7 +408,7 @@ def rank_categories(t):
 
 @check(
     "top_category_per_customer",
-    _RANKED_SQL
+    RANKED_SQL
     + """
 SELECT customer_id, product_category_name AS favorite_category FROM ranked WHERE rn = 1
 """,
@@ -427,9 +428,7 @@ FROM t_lines GROUP BY 1
 )
 def sort_daily_sales(t):
     daily = marts.daily_sales(t.orders(), t.items(), DELIVERED_CODE)
-    return ranking.with_position(
-        daily.select("sale_date", "total_orders"), [F.asc_nulls_first("sale_date")]
-    )
+    return ranking.with_position(daily.select("sale_date", "total_orders"), ranking.by_date())
 
 
 @check(
@@ -447,6 +446,5 @@ FROM sold
 def sort_products_by_revenue(t):
     products = marts.product_performance(t.orders(), t.items(), t.products(), DELIVERED_CODE)
     return ranking.with_position(
-        products.select("product_id", "total_revenue"),
-        [F.desc_nulls_last("total_revenue"), F.asc("product_id")],
+        products.select("product_id", "total_revenue"), ranking.by_revenue()
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from ordermill.catalog.mapping import DELIVERED_CODE

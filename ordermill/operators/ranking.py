@@ -16,6 +16,16 @@ def category_preference() -> list[Column]:
     return [F.desc("category_orders"), F.asc_nulls_last("product_category_name")]
 
 
+def by_date() -> list[Column]:
+    """Presentation order of daily sales."""
+    return [F.asc_nulls_first("sale_date")]
+
+
+def by_revenue() -> list[Column]:
+    """Presentation order of product performance; ties by product."""
+    return [F.desc_nulls_last("total_revenue"), F.asc("product_id")]
+
+
 def rank_within(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rn"
 ) -> DataFrame:

@@ -48,6 +48,13 @@ def test_product_performance(orders, items, products):
     assert got["bare1"].product_category_name is None
 
 
+def test_presentation_orders(orders, items, products):
+    days = [r[0] for r in marts.daily_sales(orders, items).orderBy(*ranking.by_date()).collect()]
+    assert days == sorted(days)
+    sold = marts.product_performance(orders, items, products).orderBy(*ranking.by_revenue())
+    assert [r.product_id for r in sold.collect()] == ["book1", "toy1", "bare1", "bare2"]
+
+
 def test_customer_without_any_price_has_null_spend(spark, orders, products):
     unpriced = spark.createDataFrame(
         [("o1", 1, "toy1", "s", None, eur("1.00"))],
