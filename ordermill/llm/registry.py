@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordermill.llm import decontamination
+from ordermill.llm import decontamination, near_dup
 from ordermill.session import scratch_root
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _prepared(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         scratch_root(spark)  # names the shared folder, before a query needs it
@@ -33,8 +37,10 @@ QUERIES: dict[str, Query] = {
     name: _prepared(query)
     for name, query in {
         "op8_decontamination": op8_decontamination,
+        "op10_near_duplicates": op10_near_duplicates,
     }.items()
 }
 ORACLES: dict[str, str] = {
     "op8_decontamination": decontamination.ORACLE_SQL,
+    "op10_near_duplicates": near_dup.ORACLE_SQL,
 }
