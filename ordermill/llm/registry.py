@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordermill.llm import decontamination, near_dup
+from ordermill.llm import decontamination, near_dup, packing
 from ordermill.session import scratch_root
 
+TOKENIZERS = "/opt/tokenizers"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,6 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is; the installed package knows, else its usual folder."""
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +50,7 @@ def _prepared(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     name: _prepared(query)
     for name, query in {
+        "op6_packing": op6_packing,
         "op8_decontamination": op8_decontamination,
         "op10_near_duplicates": op10_near_duplicates,
     }.items()
