@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordermill.llm import decontamination, near_dup, packing
+from ordermill.llm import decontamination, near_dup, packing, quality
 from ordermill.session import scratch_root
 
 TOKENIZERS = "/opt/tokenizers"
@@ -26,6 +26,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -50,6 +54,7 @@ def _prepared(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     name: _prepared(query)
     for name, query in {
+        "op4_quality": op4_quality,
         "op6_packing": op6_packing,
         "op8_decontamination": op8_decontamination,
         "op10_near_duplicates": op10_near_duplicates,
