@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordermill.llm import decontamination, near_dup, packing, quality
+from ordermill.llm import decontamination, near_dup, packing, quality, toxicity
 from ordermill.session import scratch_root
 
 TOKENIZERS = "/opt/tokenizers"
@@ -30,6 +30,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     name: _prepared(query)
     for name, query in {
         "op4_quality": op4_quality,
+        "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
         "op8_decontamination": op8_decontamination,
         "op10_near_duplicates": op10_near_duplicates,
