@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordermill.llm import decontamination, near_dup, packing, quality, toxicity
+from ordermill.llm import decontamination, near_dup, packing, quality, token_counts, toxicity
 from ordermill.session import scratch_root
 
 TOKENIZERS = "/opt/tokenizers"
@@ -26,6 +26,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(
+        table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")
+    )
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -58,6 +64,7 @@ def _prepared(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     name: _prepared(query)
     for name, query in {
+        "op1_token_counts": op1_token_counts,
         "op4_quality": op4_quality,
         "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
