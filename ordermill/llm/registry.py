@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordermill.llm import decontamination, near_dup, packing, quality, token_counts, toxicity
+from ordermill.llm import (
+    decontamination,
+    lm_ppm,
+    near_dup,
+    packing,
+    quality,
+    token_counts,
+    toxicity,
+)
 from ordermill.session import scratch_root
 
 TOKENIZERS = "/opt/tokenizers"
@@ -48,6 +56,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,6 +81,7 @@ QUERIES: dict[str, Query] = {
         "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
         "op8_decontamination": op8_decontamination,
+        "op9_lm_scores": op9_lm_scores,
         "op10_near_duplicates": op10_near_duplicates,
     }.items()
 }
