@@ -14,6 +14,7 @@ from ordermill.llm import (
     quality,
     token_counts,
     toxicity,
+    warc,
 )
 from ordermill.session import scratch_root
 
@@ -40,6 +41,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Query] = {
     name: _prepared(query)
     for name, query in {
         "op1_token_counts": op1_token_counts,
+        "op3_warc": op3_warc,
         "op4_quality": op4_quality,
         "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
@@ -86,6 +92,7 @@ QUERIES: dict[str, Query] = {
     }.items()
 }
 ORACLES: dict[str, str] = {
+    "op3_warc": warc.ORACLE_SQL,
     "op8_decontamination": decontamination.ORACLE_SQL,
     "op10_near_duplicates": near_dup.ORACLE_SQL,
 }
