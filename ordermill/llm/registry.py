@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ordermill.llm import (
+    chat_pairs,
     decontamination,
     lm_ppm,
     near_dup,
@@ -14,6 +15,7 @@ from ordermill.llm import (
     quality,
     token_counts,
     toxicity,
+    url_filter,
     warc,
 )
 from ordermill.session import scratch_root
@@ -41,6 +43,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -57,6 +63,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_pairs.stale_answer_pairs(table(spark, sf_dir, "conversations"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -82,17 +92,21 @@ QUERIES: dict[str, Query] = {
     name: _prepared(query)
     for name, query in {
         "op1_token_counts": op1_token_counts,
+        "op2_url_filter": op2_url_filter,
         "op3_warc": op3_warc,
         "op4_quality": op4_quality,
         "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
+        "op7_preference_pairs": op7_preference_pairs,
         "op8_decontamination": op8_decontamination,
         "op9_lm_scores": op9_lm_scores,
         "op10_near_duplicates": op10_near_duplicates,
     }.items()
 }
 ORACLES: dict[str, str] = {
+    "op2_url_filter": url_filter.ORACLE_SQL,
     "op3_warc": warc.ORACLE_SQL,
+    "op7_preference_pairs": chat_pairs.ORACLE_SQL,
     "op8_decontamination": decontamination.ORACLE_SQL,
     "op10_near_duplicates": near_dup.ORACLE_SQL,
 }
