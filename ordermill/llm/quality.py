@@ -172,7 +172,8 @@ def references(documents: DataFrame, lang_col: str = "lang", text_col: str = "te
     return out
 
 
-def _judge(known: dict):
+def _verdicts(known: dict):
+    """A function of (lang, text, word hashes) to the columns of ``judge`` behind the id."""
     places = {lang: {w: i for i, w in enumerate(ref[0])} for lang, ref in known.items()}
 
     def one(lang: str | None, text: str | None, hashes: WordHashes) -> tuple:
@@ -202,8 +203,12 @@ def _judge(known: dict):
         )
         return *base, by_class, by_word, bool(fine and not base[-1])
 
+    return one
+
+
+def _judge(known: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        one, hashes = _verdicts(known), WordHashes()
         types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
         for batch in batches:
             rows = [
@@ -217,6 +222,17 @@ def _judge(known: dict):
     return run
 
 
+def _keep(known: dict, lang_at: int, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, hashes = _verdicts(known), WordHashes()
+        for batch in batches:
+            pairs = zip(batch.column(lang_at), batch.column(text_at), strict=True)
+            kept = [one(lang.as_py(), text.as_py(), hashes)[-1] for lang, text in pairs]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
 NAMES = [
     "doc_id",
     "n_words",
@@ -248,9 +264,9 @@ def judge(
     )
 
 
-def keep_good(documents: DataFrame) -> DataFrame:
-    """The documents that are kept, all columns; rows that share an id share fate."""
-    bad = judge(documents).filter("NOT kept").select(F.col("doc_id").alias("_rejected"))
-    return documents.join(
-        bad.distinct(), F.col("doc_id").eqNullSafe(F.col("_rejected")), "left_anti"
+def keep_good(documents: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows that are kept, all columns."""
+    at = documents.columns.index
+    return documents.mapInArrow(
+        _keep(references(documents, lang_col, text_col), at(lang_col), at(text_col)), documents.schema
     )

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from ordermill.llm import (
     chat_pairs,
     decontamination,
@@ -18,25 +19,12 @@ from ordermill.llm import (
     url_filter,
     warc,
 )
+from ordermill.llm.inputs import table, tokenizer_path
 from ordermill.session import scratch_root
 
-TOKENIZERS = "/opt/tokenizers"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def tokenizer_path(name: str) -> str:
-    """Where a public tokenizer's file is; the installed package knows, else its usual folder."""
-    try:
-        import public_tokenizers
-    except ModuleNotFoundError:
-        return f"{TOKENIZERS}/{name}"
-    return public_tokenizers.path(name)
-
-
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(
         table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")
@@ -101,6 +89,7 @@ QUERIES: dict[str, Query] = {
         "op8_decontamination": op8_decontamination,
         "op9_lm_scores": op9_lm_scores,
         "op10_near_duplicates": op10_near_duplicates,
+        "pipeline": corpus_pipeline.run,
     }.items()
 }
 ORACLES: dict[str, str] = {

@@ -318,7 +318,19 @@ def score(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     )
 
 
-def keep_harmless(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents not predicted toxic, all columns; rows that share an id share fate."""
-    bad = score(documents, labels).filter("predicted = 1").select(F.col("doc_id").alias("_toxic"))
-    return documents.join(bad.distinct(), F.col("doc_id").eqNullSafe(F.col("_toxic")), "left_anti")
+def _keep(model, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, index = model.value
+        vectorise = Vectoriser(terms)
+        for batch in batches:
+            kept = [index.score(*vectorise(t.as_py()))[0] < 0.5 for t in batch.column(text_at)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def keep_harmless(documents: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows not predicted toxic, all columns."""
+    docs = documents.select(F.col("doc_id"), F.col(text_col).alias("text"))
+    model = documents.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    return documents.mapInArrow(_keep(model, documents.columns.index(text_col)), documents.schema)
