@@ -19,12 +19,11 @@ DELIVERED_CODE = "F"
 class Tables:
     """Lazy frames over one data folder."""
 
-    # Schemas by path, so that only the first read of a table runs a job for its footer.
-    _schemas: dict[str, StructType] = {}
-
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        # only the first read of a table in a query runs a job for its footer
+        self._schemas: dict[str, StructType] = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"

@@ -105,7 +105,7 @@ def product_performance(t):
     RANKED_SQL
     + CUSTOMER_TOTALS_SQL
     + f"""
-SELECT customer_id, CAST(total_orders AS INTEGER) AS total_orders, total_spent,
+SELECT customer_id, total_orders, total_spent,
        {_mean_sql('spent_cents', 'priced_orders', 'DECIMAL(12,2)')} AS avg_order_value,
        first_order_date, last_order_date, customer_lifetime_days,
        r.product_category_name AS favorite_category
@@ -121,8 +121,7 @@ def conform_customer_metrics(t):
     "conform_daily_sales",
     _DAILY_SQL
     + f"""
-SELECT sale_date, CAST(total_orders AS INTEGER) AS total_orders, total_revenue,
-       CAST(unique_customers AS INTEGER) AS unique_customers,
+SELECT sale_date, total_orders, total_revenue, unique_customers,
        {_mean_sql('cents', 'priced', 'DECIMAL(12,2)')} AS avg_order_value
 FROM daily
 """,
@@ -136,9 +135,9 @@ def conform_daily_sales(t):
     _PRODUCT_SQL
     + f"""
 SELECT s.product_id, p.product_category_name AS product_category,
-       CAST(s.total_quantity_sold AS INTEGER) AS total_quantity_sold, s.total_revenue,
+       s.total_quantity_sold, s.total_revenue,
        {_mean_sql('s.cents', 's.priced', 'DECIMAL(10,2)')} AS avg_price,
-       CAST(s.total_orders AS INTEGER) AS total_orders
+       s.total_orders
 FROM sold s JOIN t_products p ON s.product_id = p.product_id
 """,
 )

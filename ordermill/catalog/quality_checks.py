@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import DecimalType
+import dataclasses
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql.types import DecimalType, StructField, StructType
 
 from ordermill.catalog.mapping import DELIVERED_CODE
 from ordermill.catalog.registry import check
-from ordermill.contracts import RAW_TABLES
+from ordermill.contracts import ORDERS, RAW_TABLES
 from ordermill.operators import quality, relational
 
 # Contract columns that the given tables have no counterpart for: null in every row.
@@ -78,7 +82,7 @@ UNION ALL
 SELECT 'orders', CAST(order_id AS VARCHAR), 'duplicate', count(*)
 FROM t_orders GROUP BY order_id HAVING count(*) > 1
 UNION ALL
-SELECT 'order_items', CAST(order_id AS VARCHAR) || '|' || CAST(order_item_id AS VARCHAR),
+SELECT 'order_items', '["' || CAST(order_id AS VARCHAR) || '","' || CAST(order_item_id AS VARCHAR) || '"]',
        'duplicate', count(*)
 FROM t_items GROUP BY order_id, order_item_id HAVING count(*) > 1
 UNION ALL
@@ -126,14 +130,31 @@ SELECT 'customers' AS table_name, CAST(customer_id AS VARCHAR) AS key_value,
        CAST(length(customer_city) AS INTEGER) AS actual_length
 FROM t_customers WHERE length(customer_city) > 8
 UNION ALL
+SELECT 'orders', CAST(order_id AS VARCHAR), 'customer_id', 3,
+       CAST(length(CAST(customer_id AS VARCHAR)) AS INTEGER)
+FROM t_orders WHERE length(CAST(customer_id AS VARCHAR)) > 3
+UNION ALL
+SELECT 'orders', CAST(order_id AS VARCHAR), 'order_status', 0,
+       CAST(length(order_status) AS INTEGER)
+FROM t_orders WHERE length(order_status) > 0
+UNION ALL
+SELECT 'order_items', '["' || CAST(order_id AS VARCHAR) || '","' || CAST(order_item_id AS VARCHAR) || '"]',
+       'product_id', 2, CAST(length(CAST(product_id AS VARCHAR)) AS INTEGER)
+FROM t_items WHERE length(CAST(product_id AS VARCHAR)) > 2
+UNION ALL
 SELECT 'products', CAST(product_id AS VARCHAR), 'product_category_name', 5,
        CAST(length(product_category_name) AS INTEGER)
 FROM t_products_gaps WHERE length(product_category_name) > 5
 """,
 )
 def length_violations(t):
-    """Limits below the declared ones, so that the given tables break them."""
-    limits = {"customers": {"customer_city": 8}, "products": {"product_category_name": 5}}
+    """All four raw tables; limits below the declared ones, so that the given tables break them."""
+    limits = {
+        "customers": {"customer_city": 8},
+        "orders": {"customer_id": 3, "order_status": 0},
+        "order_items": {"product_id": 2},
+        "products": {"product_category_name": 5},
+    }
     found = [
         quality.length_violations(
             t.contract_frames()[c.name],
@@ -142,16 +163,15 @@ def length_violations(t):
             {**c.max_lengths, **limits[c.name]},
         )
         for c in RAW_TABLES
-        if c.name in limits
     ]
-    return found[0].unionByName(found[1])
+    return reduce(DataFrame.unionByName, found)
 
 
 @check(
     "decimal_overflow",
     """
 SELECT 'orders' AS table_name, CAST(o_orderkey AS VARCHAR) AS key_value,
-       'o_totalprice' AS column_name, 'decimal(7,2)' AS declared_type, o_totalprice AS value
+       'o_totalprice' AS column_name, 'decimal(7,2)' AS declared_type, CAST(o_totalprice AS VARCHAR) AS value
 FROM orders WHERE o_totalprice IS NOT NULL AND TRY_CAST(o_totalprice AS DECIMAL(7,2)) IS NULL
 """,
 )
@@ -159,3 +179,67 @@ def decimal_overflow(t):
     return quality.decimal_violations(
         t.given("orders"), "orders", ["o_orderkey"], {"o_totalprice": DecimalType(7, 2)}
     )
+
+
+@check(
+    "item_decimal_overflow",
+    """
+SELECT 'order_items' AS table_name,
+       '["' || CAST(order_id AS VARCHAR) || '","' || CAST(order_item_id AS VARCHAR) || '"]' AS key_value,
+       column_name, declared_type, value
+FROM (
+  SELECT order_id, order_item_id, 'price' AS column_name, 'decimal(6,2)' AS declared_type,
+         CAST(price AS VARCHAR) AS value FROM t_items_gaps WHERE abs(price) >= 10000
+  UNION ALL
+  SELECT order_id, order_item_id, 'freight_value', 'decimal(5,2)', CAST(freight_value AS VARCHAR)
+  FROM t_items_gaps WHERE abs(freight_value) >= 1000
+)
+""",
+)
+def item_decimal_overflow(t):
+    """The decimals that order_items declares, with fewer digits than declared."""
+    return quality.decimal_violations(
+        t.items_with_gaps(),
+        "order_items",
+        ["order_id", "order_item_id"],
+        {"price": DecimalType(6, 2), "freight_value": DecimalType(5, 2)},
+    )
+
+
+@check(
+    "contract_findings",
+    """
+SELECT 'length' AS rule, 'orders' AS table_name, CAST(order_id AS VARCHAR) AS key_value,
+       'order_status' AS column_name, '1 > 0' AS problem, 1::BIGINT AS row_count
+FROM t_orders WHERE length(order_status) > 0
+UNION ALL
+SELECT 'primary_key', 'orders', CAST(order_id AS VARCHAR), NULL, 'duplicate', 2
+FROM t_orders WHERE order_status = 'P'
+UNION ALL
+SELECT 'foreign_key', 'orders', CAST(customer_id AS VARCHAR), 'customer_id',
+       'orders.customer_id->customers.customer_id',
+       sum(CASE WHEN order_status = 'P' THEN 2 ELSE 1 END)::BIGINT
+FROM t_orders WHERE customer_id % 10 = 0 GROUP BY customer_id
+UNION ALL
+SELECT 'length', 'orders', CAST(order_id AS VARCHAR), 'order_status', '1 > 0', 1
+FROM t_orders WHERE order_status = 'P'
+UNION ALL
+SELECT 'primary_key', 'order_items',
+       '["' || CAST(order_id AS VARCHAR) || '","' || CAST(order_item_id AS VARCHAR) || '"]',
+       NULL, 'duplicate', count(*)
+FROM t_items GROUP BY order_id, order_item_id HAVING count(*) > 1
+""",
+)
+def contract_findings(t):
+    """All rules in one report, over orders broken on purpose: pending ones twice, every tenth
+    customer unknown, and no room for a status."""
+    frames = t.contract_frames()
+    frames["orders"] = frames["orders"].union(frames["orders"].filter("order_status = 'P'"))
+    frames["customers"] = frames["customers"].filter("customer_id % 10 <> 0")
+    fields = [
+        StructField(f.name, f.dataType, True, {"max_length": 0}) if f.name == "order_status" else f
+        for f in ORDERS.schema
+    ]
+    orders = dataclasses.replace(ORDERS, schema=StructType(fields))
+    contracts = [orders if c.name == "orders" else c for c in RAW_TABLES]
+    return quality.contract_findings(frames, contracts)

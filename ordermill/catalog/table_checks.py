@@ -74,9 +74,36 @@ def raw_landing_nulls(t):
     return jobs.landed_nulls(t.spark, _land(t))
 
 
-def _land(t: Tables):
+@check(
+    "raw_landing_rejects",
+    """
+SELECT 'order_items' AS table_name, 'price' AS column_name, count(*) AS rejected
+FROM t_items WHERE order_item_id IN (5, 6) HAVING count(*) > 0
+UNION ALL
+SELECT 'products', 'product_weight_g', count(*) FROM t_products WHERE product_weight_g > 40
+HAVING count(*) > 0
+""",
+)
+def raw_landing_rejects(t):
+    """Cells broken on purpose: prices too wide or no number, weights with a unit."""
+    frames = t.contract_frames()
+    line, price = F.col("order_item_id"), F.col("price").cast("string")
+    weight = F.col("product_weight_g")
+    frames["order_items"] = frames["order_items"].withColumn(
+        "price", F.when(line == 5, "abc").when(line == 6, "123456789.00").otherwise(price)
+    )
+    frames["products"] = frames["products"].withColumn(
+        "product_weight_g",
+        F.when(weight > 40, F.concat(weight.cast("string"), F.lit(" g"))).otherwise(
+            weight.cast("string")
+        ),
+    )
+    return jobs.landed_rejects(t.spark, _land(t, frames))
+
+
+def _land(t: Tables, frames=None):
     root = scratch_path(t.spark, "raw")
-    for name, frame in t.contract_frames().items():
+    for name, frame in (frames or t.contract_frames()).items():
         _csv(frame, f"{root}/{name}.csv")
     return jobs.land_raw(t.spark, root, PathLayers(scratch_path(t.spark, "landed")))
 
@@ -121,9 +148,8 @@ def _event_stream(t: Tables):
 
 
 def _replayed(t: Tables):
-    """Live orders where every purchase arrives twice."""
-    twice = _event_stream(t).unionByName(_event_stream(t))
-    return live.live_orders(t.purchases(twice))
+    """Orders as received where every purchase arrives twice."""
+    return t.purchases(_event_stream(t).unionByName(_event_stream(t)))
 
 
 @check("live_orders", "SELECT * FROM t_purchases")
@@ -134,13 +160,40 @@ def live_orders(t):
 @check("live_orders_dedup", "SELECT * FROM t_purchases")
 def live_orders_dedup(t):
     """Repeats removed by stream state that keeps every key."""
-    return _appended(t, live.unique_orders(_replayed(t)))
+    return _appended(t, live.unique_orders(live.live_orders(_replayed(t))))
 
 
 @check("live_orders_dedup_within", "SELECT * FROM t_purchases")
 def live_orders_dedup_within(t):
     """Repeats removed by bounded state; the events span 30 days."""
-    return _appended(t, live.unique_orders_within(_replayed(t), "31 days"))
+    return _appended(t, live.live_orders(live.unique_orders_within(_replayed(t), "31 days")))
+
+
+@check(
+    "live_orders_absent_times",
+    """
+SELECT order_id, customer_id, product_id, order_value,
+       CASE WHEN customer_id % 5 <> 0 THEN order_timestamp END AS received
+FROM t_purchases
+""",
+)
+def live_orders_absent_times(t):
+    """Every order once, though some have no time and all come twice, in several batches."""
+    time = F.when(F.col("customer_id") % 5 != 0, F.col("order_timestamp"))
+    received = t.purchases(t.given("events")).withColumn("order_timestamp", time)
+    inbox = scratch_path(t.spark, "live-inbox")
+    # by time, so that the first file's absent times would outrun all later files
+    received.repartitionByRange(4, "order_id").write.parquet(inbox)
+    received.repartitionByRange(3, "order_id").write.mode("append").parquet(inbox)
+    stream = live.file_stream(t.spark, inbox, received.schema, max_files=1)
+    unique = live.unique_orders_within(stream, "31 days")
+    out = scratch_path(t.spark, "live")
+    query = live.append_stream(unique, out, scratch_path(t.spark, "live-state"))
+    query.awaitTermination()
+    got = t.spark.read.schema(received.schema).parquet(out)
+    return got.withColumn("received", F.col("order_timestamp").cast("timestamp_ntz")).drop(
+        "order_timestamp"
+    )
 
 
 @check("live_orders_upsert", "SELECT * FROM t_purchases")

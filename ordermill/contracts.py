@@ -33,6 +33,8 @@ class TableContract:
     renames: dict[str, str] = field(default_factory=dict)
     # columns that default to the time of writing
     stamped: tuple[str, ...] = ()
+    # an added column that Parquet layers keep the table's folders by
+    stored_by: str | None = None
 
     @property
     def qualified_name(self) -> str:
@@ -63,6 +65,11 @@ def _whole(name: str) -> T.StructField:
     return T.StructField(name, T.IntegerType())
 
 
+def _count(name: str) -> T.StructField:
+    """A count: bigint at rest, as a hot product outgrows INTEGER; the database declares INTEGER."""
+    return T.StructField(name, T.LongType(), True, {"database_type": "INTEGER"})
+
+
 def _money(name: str, precision: int) -> T.StructField:
     return T.StructField(name, T.DecimalType(precision, 2))
 
@@ -152,7 +159,7 @@ CUSTOMER_METRICS = TableContract(
     schema=T.StructType(
         [
             _text("customer_id"),
-            _whole("total_orders"),
+            _count("total_orders"),
             _money("total_spent", 15),
             _money("avg_order_value", 12),
             _day("first_order_date"),
@@ -172,9 +179,9 @@ DAILY_SALES = TableContract(
     schema=T.StructType(
         [
             _day("sale_date"),
-            _whole("total_orders"),
+            _count("total_orders"),
             _money("total_revenue", 15),
-            _whole("unique_customers"),
+            _count("unique_customers"),
             _money("avg_order_value", 12),
             _time("updated_at"),
         ]
@@ -190,10 +197,10 @@ PRODUCT_PERFORMANCE = TableContract(
         [
             _text("product_id"),
             _text("product_category"),
-            _whole("total_quantity_sold"),
+            _count("total_quantity_sold"),
             _money("total_revenue", 15),
             _money("avg_price", 10),
-            _whole("total_orders"),
+            _count("total_orders"),
             _time("updated_at"),
         ]
     ),
@@ -217,8 +224,41 @@ LIVE_ORDERS = TableContract(
     ),
     primary_key=("order_id",),
     stamped=("order_timestamp", "processed_at"),
+    stored_by="order_date",
+)
+
+REJECTS = TableContract(
+    name="rejects",
+    layer=RAW,
+    schema=T.StructType(
+        [
+            _text("table_name"),
+            T.StructField("rejected_columns", T.ArrayType(T.StringType())),
+            T.StructField("broken_line", T.BooleanType()),
+            T.StructField("raw_text", T.StringType()),
+        ]
+    ),
+    primary_key=(),
+)
+
+FINDINGS = TableContract(
+    name="findings",
+    layer=RAW,
+    schema=T.StructType(
+        [
+            _text("rule"),
+            _text("table_name"),
+            T.StructField("key_value", T.StringType()),
+            T.StructField("column_name", T.StringType()),
+            T.StructField("problem", T.StringType()),
+            T.StructField("row_count", T.LongType()),
+        ]
+    ),
+    primary_key=(),
 )
 
 RAW_TABLES = (CUSTOMERS, ORDERS, ORDER_ITEMS, PRODUCTS)
 MART_TABLES = (CUSTOMER_METRICS, DAILY_SALES, PRODUCT_PERFORMANCE)
+# raw tables that another one refers to, which a database can neither drop nor truncate
+REFERENCED = {fk.parent for c in RAW_TABLES for fk in c.foreign_keys}
 CONTRACTS = {c.name: c for c in (*RAW_TABLES, *MART_TABLES, LIVE_ORDERS)}

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ordermill.functions import (
     days_between,
     line_amount,
-    line_cents,
     mean,
     mean_of_cents,
     money,
@@ -55,20 +54,6 @@ def category_counts(details: DataFrame) -> DataFrame:
     )
 
 
-def amounts_per_order(items: DataFrame) -> DataFrame:
-    """Line count, amount in cents and priced-line count per order, before any join.
-
-    Joining these instead of the raw items moves at most one row per order, however
-    many items one order holds.
-    """
-    lines = items.select("order_id", line_cents().alias("line_cents"))
-    return lines.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("line_count"),
-        F.sum("line_cents").alias("cents"),
-        F.count("line_cents").alias("priced_lines"),
-    )
-
-
 def product_totals(items: DataFrame) -> DataFrame:
     """Quantity, revenue, average price and distinct orders per product.
 

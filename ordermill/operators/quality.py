@@ -17,9 +17,10 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def _label(keys: Sequence[str]) -> Column:
-    """Printable key; a null part shows as <null>."""
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("<null>")) for k in keys]
-    return F.concat_ws("|", *parts)
+    """Printable key: the value itself, or all parts of a composite key as a JSON array."""
+    if len(keys) == 1:
+        return F.col(keys[0]).cast("string")
+    return F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
 
 
 def null_counts(frames: Mapping[str, DataFrame]) -> DataFrame:
@@ -148,7 +149,10 @@ def length_violations(
 def decimal_violations(
     df: DataFrame, table: str, keys: Sequence[str], types: Mapping[str, DecimalType]
 ) -> DataFrame:
-    """Values that do not fit the declared DECIMAL(p, s) after rounding to its scale."""
+    """Values that do not fit the declared DECIMAL(p, s) after rounding to its scale.
+
+    They are reported as their text; text that is no number is one of them.
+    """
     overflows = {
         c: F.col(c).isNotNull() & F.col(c).try_cast(t).isNull() for c, t in types.items()
     }
@@ -157,7 +161,7 @@ def decimal_violations(
             F.struct(
                 F.lit(c).alias("column_name"),
                 F.lit(t.simpleString()).alias("declared_type"),
-                F.col(c).cast("double").alias("value"),
+                F.col(c).cast("string").alias("value"),
                 overflows[c].alias("overflows"),
             )
             for c, t in types.items()
@@ -170,9 +174,64 @@ def decimal_violations(
     ).drop("overflows")
 
 
-def conform(df: DataFrame, contract: TableContract) -> DataFrame:
+def contract_findings(
+    frames: Mapping[str, DataFrame], contracts: Sequence[TableContract]
+) -> DataFrame:
+    """Every breach of keys, references, lengths and decimal ranges, in one shape."""
+    nothing = F.lit(None).cast("string")
+
+    def found(df: DataFrame, rule: str, table, column, problem, count) -> DataFrame:
+        return df.select(
+            F.lit(rule).alias("rule"),
+            table.alias("table_name"),
+            F.col("key_value"),
+            column.alias("column_name"),
+            problem.alias("problem"),
+            count.cast("bigint").alias("row_count"),
+        )
+
+    name, one = F.col("table_name"), F.lit(1)
+    parts = [
+        found(
+            primary_key_violations(frames, contracts),
+            "primary_key",
+            name,
+            nothing,
+            F.col("problem"),
+            F.col("row_count"),
+        )
+    ]
+    known = [
+        c for c in contracts if all(fk.parent in frames for fk in c.foreign_keys) and c.foreign_keys
+    ]
+    if known:
+        parts.append(
+            found(
+                foreign_key_violations(frames, known),
+                "foreign_key",
+                F.substring_index("rule", ".", 1),
+                F.substring_index(F.substring_index("rule", "->", 1), ".", -1),
+                F.col("rule"),
+                F.col("orphan_rows"),
+            )
+        )
+    for c in contracts:
+        if c.max_lengths:
+            long = length_violations(frames[c.name], c.name, c.primary_key, c.max_lengths)
+            over = F.concat_ws(" > ", "actual_length", "max_length")
+            parts.append(found(long, "length", name, F.col("column_name"), over, one))
+        if c.decimals:
+            wide = decimal_violations(frames[c.name], c.name, c.primary_key, c.decimals)
+            over = F.concat_ws(" is no ", "value", "declared_type")
+            parts.append(found(wide, "decimal", name, F.col("column_name"), over, one))
+    return _union(parts)
+
+
+def conform(df: DataFrame, contract: TableContract, keep: Sequence[str] = ()) -> DataFrame:
     """Shape a frame as its contract declares: renamed, cast, ordered and stamped.
 
+    Columns named in ``keep`` follow as they are.
+
     A double that becomes a decimal is rounded half up on its decimal digits.
     """
     source = {contract.renames.get(c, c): c for c in df.columns}
@@ -187,4 +246,4 @@ def conform(df: DataFrame, contract: TableContract) -> DataFrame:
         else:
             raise ValueError(f"{contract.qualified_name}: no column for {f.name}")
         columns.append(value.cast(f.dataType).alias(f.name, metadata=f.metadata))
-    return df.select(*columns)
+    return df.select(*columns, *keep)

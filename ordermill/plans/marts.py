@@ -16,7 +16,7 @@ from ordermill.functions import (
     money_of_cents,
     sale_date,
 )
-from ordermill.operators.aggregates import amounts_per_order, product_totals
+from ordermill.operators.aggregates import product_totals
 from ordermill.operators.relational import (
     DELIVERED,
     delivered,
@@ -33,19 +33,18 @@ def customer_metrics(
     """Spend, order history and favorite category per customer.
 
     Order totals and category counts come from one pass over the joined lines, as two
-    grouping sets, so items and orders are scanned and joined once. Products are joined
-    before orders: beyond broadcast size the lines then leave the last join grouped by
-    order, and the map side of the aggregation reduces them to one row per order and few
-    per (customer, category). Hot orders, customers and categories combine there too.
+    grouping sets, so items and orders are scanned and joined once. Orders are joined before
+    products, so only lines of delivered orders are shuffled a second time. Hot orders,
+    customers and categories combine on the map side of the aggregation. Lines without a
+    customer are one row; as no customer is equal to null, it has no favorite category.
     """
-    categorized = line_details(
-        items.select("order_id", "product_id", line_cents().alias("cents")),
-        products.select("product_id", F.col("product_category_name").alias("category")),
-    )
-    details = order_lines(
+    lines = order_lines(
         delivered(orders, status).select("order_id", "customer_id", "order_purchase_timestamp"),
-        categorized.drop("product_id"),
+        items.select("order_id", "product_id", line_cents().alias("cents")),
     )
+    details = line_details(
+        lines, products.select("product_id", F.col("product_category_name").alias("category"))
+    ).drop("product_id")
     customer, order, category = F.col("customer_id"), F.col("order_id"), F.col("category")
     parts = details.groupingSets(
         [[customer, order], [customer, category]], customer, order, category
@@ -73,7 +72,7 @@ def customer_metrics(
         "first_order_date",
         "last_order_date",
         days_between("last_order_date", "first_order_date").alias("customer_lifetime_days"),
-        "favorite_category",
+        F.when(customer.isNotNull(), F.col("favorite_category")).alias("favorite_category"),
     )
 
 
@@ -81,19 +80,20 @@ def daily_sales(orders: DataFrame, items: DataFrame, status: str = DELIVERED) ->
     """Item lines, revenue, customers and average line amount per day of purchase.
 
     ``total_orders`` counts item lines and ``avg_order_value`` averages line amounts.
-    Items are summed per order before the join; the exact distinct count then groups by
-    (day, customer), so neither a hot order nor a hot day lands in one task.
+    Lines are joined and aggregated once. The exact distinct count groups by (day, customer)
+    first, which spreads a hot day; a hot order is split by adaptive skew handling.
     """
-    per_order = (
-        delivered(orders, status)
-        .select("order_id", "customer_id", sale_date().alias("sale_date"))
-        .join(amounts_per_order(items), "order_id")
+    lines = order_lines(
+        delivered(orders, status).select(
+            "order_id", "customer_id", sale_date().alias("sale_date")
+        ),
+        items.select("order_id", line_cents().alias("cents")),
     )
-    per_day = per_order.groupBy("sale_date").agg(
-        F.sum("line_count").alias("total_orders"),
+    per_day = lines.groupBy("sale_date").agg(
+        F.count(F.lit(1)).alias("total_orders"),
         F.sum("cents").alias("cents"),
         F.count_distinct("customer_id").alias("unique_customers"),
-        F.sum("priced_lines").alias("priced_lines"),
+        F.count("cents").alias("priced_lines"),
     )
     return per_day.select(
         "sale_date",

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime SQL settings the plans in this package count on. The skew settings split a
 # hot order, product or customer at run time; forceOptimizeSkewedJoin lets Spark do so
@@ -23,10 +22,22 @@ RUNTIME_SETTINGS = {
     ),
 }
 
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
-def build_session(app_name: str, master: str | None = None, **settings: str) -> SparkSession:
+
+def build_session(
+    app_name: str,
+    master: str | None = None,
+    initial_partitions: int | None = None,
+    **settings: str,
+) -> SparkSession:
     """A UTC session with the runtime settings; ``settings`` override them.
 
+    ``initial_partitions`` is the number of partitions every shuffle starts with, before
+    adaptive execution merges the small ones: set it for the largest shuffle of the job, at
+    some 128 MB of shuffled data each (100 TB: 800,000; unset: Spark's own 200). It is fixed at
+    the start of the session, so plans do not depend on what was built before them.
+
     Call-site capture is off: it costs several driver round trips per column expression.
     """
     builder = SparkSession.builder.appName(app_name)
@@ -36,6 +47,7 @@ def build_session(app_name: str, master: str | None = None, **settings: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **RUNTIME_SETTINGS,
+        **({INITIAL_PARTITIONS: str(initial_partitions)} if initial_partitions else {}),
         **settings,
     }
     for key, value in merged.items():
@@ -52,48 +64,6 @@ def adapt(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# Scanned bytes per shuffle partition to start from, and the most partitions to start
-# with; adaptive execution then merges the small ones.
-BYTES_PER_PARTITION = 128 * 1024**2
-MOST_PARTITIONS = 20_000
-# Spark's own stand-in for a size it does not know.
-_UNKNOWN_SIZE = 2**63 - 1
-_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-
-
-def scan_bytes(df: DataFrame) -> int:
-    """Size of the files a frame reads, from the listing its scans already hold.
-
-    Sources of unknown size, such as database tables, count as nothing.
-    """
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    scans = [leaves.apply(i) for i in range(leaves.size())]
-    sizes = [
-        int(str(scan.stats().sizeInBytes()))
-        for scan in scans
-        if scan.getClass().getSimpleName() == "LogicalRelation"
-    ]
-    return sum(size for size in sizes if size < _UNKNOWN_SIZE)
-
-
-def partitions_for(scanned: int, configured: int) -> int:
-    """Shuffle partitions to start from: as configured, or more where the data needs it."""
-    return max(configured, min(math.ceil(scanned / BYTES_PER_PARTITION), MOST_PARTITIONS))
-
-
-def size_shuffles(*frames: DataFrame) -> None:
-    """Start the shuffles over these frames with enough partitions for their size.
-
-    The default of 200 would put half a terabyte into each partition of a 100 TB scan.
-    A value given at start-up stays.
-    """
-    spark = frames[0].sparkSession
-    if spark.sparkContext.getConf().contains(_INITIAL):
-        return
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set(_INITIAL, str(partitions_for(sum(map(scan_bytes, frames)), configured)))
-
-
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 

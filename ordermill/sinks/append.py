@@ -2,23 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ordermill.contracts import TableContract
+from ordermill.operators.ranking import top_per_group
 from ordermill.sinks.counted import Written
 from ordermill.sinks.layers import Layers
 
 
+def held_keys(df: DataFrame, contract: TableContract, target: Layers) -> DataFrame:
+    """The target's keys that rows of ``df`` may meet.
+
+    A table stored by a column is read only in the folders whose value occurs in ``df``, so
+    the cost of an append follows the batch, not the history. Days are few; they are listed.
+    """
+    held = target.read(df.sparkSession, contract)
+    column = contract.stored_by
+    if column and column in held.columns and column in df.columns:
+        values = [r[0] for r in df.select(column).distinct().collect()]
+        inside = F.col(column).isin([v for v in values if v is not None])
+        held = held.filter(inside | F.col(column).isNull() if None in values else inside)
+    return held.select(*[F.col(k).alias(f"_held_{k}") for k in contract.primary_key])
+
+
 def append_missing(df: DataFrame, contract: TableContract, target: Layers) -> Written:
     """Append the rows whose primary key the target does not hold yet, one per key.
 
-    Repeating an append adds nothing. It also serves database tables that a foreign key
-    refers to, which can be neither dropped nor truncated. Repeated keys are dropped
-    map-side before they move.
+    Repeating an append adds nothing; a null key equals a null key. Of repeats that differ
+    the one that is last in the order of the other columns is kept. Repeated keys are dropped
+    map-side before they move. It also serves database tables that a foreign key refers to,
+    which can be neither dropped nor truncated.
     """
     keys = list(contract.primary_key)
-    fresh = df.dropDuplicates(keys)
+    others = [F.desc_nulls_last(c) for c in df.columns if c not in keys] or [F.lit(0)]
+    fresh = top_per_group(df, keys, others)
     if target.exists(df.sparkSession, contract):
-        held = target.read(df.sparkSession, contract).select(*keys)
-        fresh = fresh.join(held, keys, "left_anti")
+        held = held_keys(df, contract, target)
+        same: Column = reduce(
+            Column.__and__, [F.col(k).eqNullSafe(F.col(f"_held_{k}")) for k in keys]
+        )
+        fresh = fresh.join(held, same, "left_anti")
     return target.write(fresh.select(*df.columns), contract, "append")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from ordermill.contracts import CONTRACTS, LAYERS, TableContract
+from ordermill.session import scratch_path
 from ordermill.sinks.counted import Written, write_counted
 from ordermill.sources.files import path_exists
 
@@ -26,9 +28,26 @@ class Layers(Protocol):
         contract: TableContract,
         mode: str = "overwrite",
         metrics: Mapping[str, Column] | None = None,
+        columns: Sequence[Column | str] | None = None,
     ) -> Written: ...
 
 
+def swap_in(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put a finished folder in the place of another, which is kept until that is done."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    new, old, kept = (hadoop.Path(p) for p in (fresh, path, f"{fresh}-before"))
+    system = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = system.exists(old)
+    if had and not system.rename(old, kept):
+        raise OSError(f"could not move {path} aside")
+    if not system.rename(new, old):
+        if had:
+            system.rename(kept, old)
+        raise OSError(f"could not move {fresh} to {path}")
+    if had:
+        system.delete(kept, True)
+
+
 @dataclass(frozen=True)
 class PathLayers:
     """``root/layer/table`` Parquet folders; the layer comes from the table's contract."""
@@ -39,9 +58,11 @@ class PathLayers:
         return f"{self.root.rstrip('/')}/{contract.layer}/{contract.name}"
 
     def exists(self, spark: SparkSession, contract: TableContract) -> bool:
-        return path_exists(spark, f"{self.path(contract)}/part-*")
+        path = self.path(contract)
+        return any(path_exists(spark, f"{path}/{files}") for files in ("part-*", "*/part-*"))
 
     def read(self, spark: SparkSession, contract: TableContract) -> DataFrame:
+        """The table, with the column it is stored by if it has one."""
         return spark.read.parquet(self.path(contract))
 
     def write(
@@ -50,9 +71,25 @@ class PathLayers:
         contract: TableContract,
         mode: str = "overwrite",
         metrics: Mapping[str, Column] | None = None,
+        columns: Sequence[Column | str] | None = None,
     ) -> Written:
-        """Write with any save mode: overwrite, append, ignore or error."""
-        return write_counted(df, lambda d: d.write.mode(mode).parquet(self.path(contract)), metrics)
+        """Write with any save mode: overwrite, append, ignore or error.
+
+        An overwrite is written beside the table and takes its place once it is whole, so a
+        failing source leaves the table as it was.
+        """
+        path = self.path(contract)
+
+        def write(d: DataFrame) -> None:
+            at = f"{self.root.rstrip('/')}/{contract.layer}/.{contract.name}-{uuid.uuid4().hex}"
+            writer = d.write.mode("error" if mode == "overwrite" else mode)
+            if contract.stored_by in d.columns:
+                writer = writer.partitionBy(contract.stored_by)
+            writer.parquet(at if mode == "overwrite" else path)
+            if mode == "overwrite":
+                swap_in(d.sparkSession, at, path)
+
+        return write_counted(df, write, metrics, columns)
 
 
 @dataclass(frozen=True)
@@ -88,13 +125,22 @@ class CatalogLayers:
         contract: TableContract,
         mode: str = "overwrite",
         metrics: Mapping[str, Column] | None = None,
+        columns: Sequence[Column | str] | None = None,
     ) -> Written:
-        """Fill the table by column name; mode is overwrite or append."""
+        """Fill the table by column name; mode is overwrite or append.
+
+        Spark empties a table before it fills it anew, so an overwrite goes through the
+        shared scratch folder: the source is read to its end before the table is touched.
+        """
         if mode not in ("overwrite", "append"):
             raise ValueError(f"catalog tables take overwrite or append, not {mode}")
-        ordered = df.select(*contract.schema.names)
-        return write_counted(
-            ordered,
-            lambda d: d.write.insertInto(contract.qualified_name, overwrite=mode == "overwrite"),
-            metrics,
-        )
+
+        def write(d: DataFrame) -> None:
+            ordered = d.select(*contract.schema.names)
+            if mode == "overwrite":
+                staged = scratch_path(d.sparkSession, contract.name)
+                ordered.write.parquet(staged)
+                ordered = d.sparkSession.read.parquet(staged)
+            ordered.write.insertInto(contract.qualified_name, overwrite=mode == "overwrite")
+
+        return write_counted(df, write, metrics, columns)

@@ -6,10 +6,16 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ordermill.contracts import RAW_TABLES, TableContract
 from ordermill.sinks.counted import Written
-from ordermill.sources.files import path_exists, read_csv
+from ordermill.sources.files import (
+    CheckedCsv,
+    path_exists,
+    read_checked_csv,
+    read_csv,
+)
 
 LOADED, MISSING, UNREADABLE = "loaded", "missing", "unreadable"
 
@@ -25,48 +31,74 @@ class LoadResult:
     error: str | None = None
 
 
+# A raw table as read: checked text, or the frame of an inferred scan.
+RawRead = CheckedCsv | DataFrame
+
+
 def raw_paths(root: str, pattern: str = "{table}.csv") -> dict[str, str]:
     """Path of every raw table; ``pattern`` may hold a glob."""
     return {c.name: f"{root.rstrip('/')}/{pattern.format(table=c.name)}" for c in RAW_TABLES}
 
 
-def _is_read_failure(error: Exception) -> bool:
-    """Spark names the failing file under one of these conditions."""
-    return any(c in str(error) for c in ("FAILED_READ_FILE", "CANNOT_READ_FILE"))
+def frame_of(read: RawRead) -> DataFrame:
+    return read.text.select(*read.typed()) if isinstance(read, CheckedCsv) else read
+
+
+def _source_error(read: RawRead) -> str | None:
+    """What reading the source alone fails with, if it does."""
+    frame = read.text if isinstance(read, CheckedCsv) else read
+    try:
+        # every cell is read, as a write would
+        frame.agg(*[F.max(F.col(f"`{c}`").cast("string")) for c in frame.columns]).first()
+    except Exception as error:  # nothing but the read has run
+        return str(error)
+    return None
 
 
 def load_raw(
     spark: SparkSession,
     root: str,
-    land: Callable[[DataFrame, TableContract], tuple[DataFrame, Written]] | None = None,
+    land: Callable[[RawRead, TableContract], tuple[DataFrame, Written]] | None = None,
     pattern: str = "{table}.csv",
     infer: bool = False,
+    aliases: Mapping[str, Mapping[str, str]] | None = None,
 ) -> dict[str, LoadResult]:
     """Read every raw table found under ``root`` and hand it to ``land``.
 
     A missing folder gives an empty result, a missing file is marked and skipped, and a
-    file that cannot be read is marked with its error. A failing write is never hidden:
-    its exception goes to the caller.
+    file that cannot be read, or whose header does not fit, is marked with its error. Where
+    landing fails, the source is read once more by itself: if that works, the failure is the
+    write's and goes to the caller. ``aliases`` gives header aliases by table.
     """
     if not path_exists(spark, root):
         return {}
     paths = raw_paths(root, pattern)
-    return {c.name: _load_one(spark, c, paths[c.name], land, infer) for c in RAW_TABLES}
+    return {
+        c.name: _load_one(spark, c, paths[c.name], land, infer, (aliases or {}).get(c.name))
+        for c in RAW_TABLES
+    }
 
 
-def _load_one(spark, contract, path, land, infer) -> LoadResult:
+def _load_one(spark, contract, path, land, infer, aliases) -> LoadResult:
     if not path_exists(spark, path):
         return LoadResult(contract.name, MISSING)
     try:
-        frame = read_csv(spark, path, None if infer else contract.schema)
-    except Exception as error:
+        read = (
+            read_csv(spark, path)
+            if infer
+            else read_checked_csv(spark, path, contract.schema, aliases)
+        )
+    except Exception as error:  # only the header or a sample has been read by now
         return LoadResult(contract.name, UNREADABLE, error=str(error))
+    if land is None:
+        return LoadResult(contract.name, LOADED, frame_of(read))
     try:
-        landed, written = land(frame, contract) if land else (frame, None)
-    except Exception as error:
-        if not _is_read_failure(error):
+        landed, written = land(read, contract)
+    except Exception:
+        cause = _source_error(read)
+        if cause is None:
             raise
-        return LoadResult(contract.name, UNREADABLE, error=str(error))
+        return LoadResult(contract.name, UNREADABLE, error=cause)
     return LoadResult(contract.name, LOADED, landed, written)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ordermill.contracts import LIVE_ORDERS
 from ordermill.operators.quality import conform
 from ordermill.sinks.append import append_missing
-from ordermill.sinks.layers import Layers
+from ordermill.sinks.layers import Layers, PathLayers
 from ordermill.sources.files import path_exists
 
 
@@ -37,9 +40,9 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return file_system.getFileStatus(hadoop_path).isFile()
 
 
-def live_orders(incoming: DataFrame) -> DataFrame:
-    """Incoming orders in the declared shape; absent times default to now."""
-    return conform(incoming, LIVE_ORDERS)
+def live_orders(incoming: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Incoming orders in the declared shape, absent times being now, and columns to keep."""
+    return conform(incoming, LIVE_ORDERS, keep)
 
 
 def unique_orders(orders: DataFrame) -> DataFrame:
@@ -53,41 +56,64 @@ def unique_orders(orders: DataFrame) -> DataFrame:
 
 
 def unique_orders_within(
-    orders: DataFrame, delay: str, time_column: str = "order_timestamp"
+    incoming: DataFrame, delay: str, time_column: str = "order_timestamp"
 ) -> DataFrame:
     """One row per order id among repeats that arrive within ``delay`` of each other.
 
-    Bounded state: keys older than the watermark are forgotten and rows older than it are
-    dropped as late, so this is exact only if nothing arrives later than the delay.
+    Takes the orders as received, before absent times default to now: the watermark follows
+    received times only. Keys older than the watermark are forgotten and rows older than it
+    are dropped as late, so this is exact only if nothing arrives later than the delay. Orders
+    without a time never move the watermark; their ids, which should be few, are kept for
+    good. An order that comes once with a time and once without counts as two.
     """
-    return orders.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(["order_id"])
+    timed = incoming.filter(F.col(time_column).isNotNull())
+    untimed = incoming.filter(F.col(time_column).isNull())
+    recent = timed.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(["order_id"])
+    return recent.union(untimed.dropDuplicates(["order_id"]))
+
+
+# The shape of orders as received: all but the time of processing.
+INCOMING = StructType([f for f in LIVE_ORDERS.schema if f.name != "processed_at"])
+# How a stream is driven: everything available, then stop; or ``{"processingTime": "1 minute"}``.
+ONCE = {"availableNow": True}
 
 
-def append_stream(orders: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append everything available to Parquet, exactly once, then stop."""
+def append_stream(
+    orders: DataFrame, path: str, checkpoint: str, trigger: Mapping = ONCE
+) -> StreamingQuery:
+    """Append everything available to Parquet, exactly once."""
     return (
         orders.writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start(path)
     )
 
 
-def upsert_stream(orders: DataFrame, target: Layers, checkpoint: str) -> StreamingQuery:
-    """Append to any target the orders it does not hold yet, then stop.
+def upsert_stream(
+    incoming: DataFrame, target: Layers, checkpoint: str, trigger: Mapping = ONCE
+) -> StreamingQuery:
+    """Append to any target the orders it does not hold yet; takes orders as received.
 
-    Exact, and without stream state: the target's keys take its place. Repeats within a
-    batch are dropped map-side first, so a hot id moves as one row per task. A batch that
-    is replayed after its write finds its rows in the target and adds nothing.
+    Without stream state: the target's keys take its place. Repeats within a batch are dropped
+    map-side first, so a hot id moves as one row per task. A batch that is replayed after its
+    write finds its rows in the target and adds nothing. Parquet targets keep a folder per day
+    of the received time, one for orders without a time, and only the days of a batch are
+    looked up. The rule that goes with it: an order keeps its time; sent again with another
+    day, it is another order.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        append_missing(batch, LIVE_ORDERS, target)
+        shaped = live_orders(batch)
+        if isinstance(target, PathLayers):
+            received = batch.withColumn(LIVE_ORDERS.stored_by, F.to_date("order_timestamp"))
+            shaped = live_orders(received, keep=[LIVE_ORDERS.stored_by])
+        append_missing(shaped, LIVE_ORDERS, target)
 
     return (
-        orders.writeStream.foreachBatch(append)
+        incoming.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )

@@ -91,6 +91,9 @@ def test_fused_marts_equal_the_plain_composition(spark, broadcast):
     try:
         t = Tables(spark, DATA)
         orders, items, products = t.orders(), t.items_with_gaps(), t.products_with_gaps()
+        # some orders have no customer
+        known = F.when(F.col("customer_id") % 7 != 0, F.col("customer_id"))
+        orders = orders.withColumn("customer_id", known)
         lines = relational.order_lines(relational.delivered(orders, DELIVERED_CODE), items)
         details = relational.line_details(lines, products)
         plain_customers = relational.with_favorite(

@@ -1,23 +1,10 @@
 import pytest
 
 from ordermill.__main__ import layers, parse
-from ordermill.catalog.mapping import Tables
-from ordermill.session import (
-    BYTES_PER_PARTITION,
-    MOST_PARTITIONS,
-    RUNTIME_SETTINGS,
-    adapt,
-    partitions_for,
-    scan_bytes,
-    scratch_path,
-    size_shuffles,
-)
+from ordermill.session import INITIAL_PARTITIONS, RUNTIME_SETTINGS, adapt, scratch_path
 from ordermill.sinks.jdbc import JdbcLayers
 from ordermill.sinks.layers import PathLayers
 
-DATA = "/root/testdata/sf0.001"
-INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-
 
 def test_adapt_keeps_what_the_caller_chose(spark):
     key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
@@ -29,27 +16,9 @@ def test_adapt_keeps_what_the_caller_chose(spark):
             assert other.conf.get(name) == value
 
 
-def test_partitions_follow_the_scanned_bytes():
-    assert partitions_for(0, 8) == 8
-    assert partitions_for(1000 * BYTES_PER_PARTITION, 200) == 1000
-    assert partitions_for(100 * 1024**4, 200) == MOST_PARTITIONS
-    assert partitions_for(0, 50_000) == 50_000
-
-
-def test_scan_bytes_are_the_file_sizes(spark):
-    import os
-
-    t = Tables(spark, DATA)
-    joined = t.orders().join(t.items(), "order_id")
-    files = [f"{DATA}/{n}.parquet" for n in ("orders", "lineitem")]
-    assert scan_bytes(joined) == sum(os.path.getsize(f) for f in files)
-
-
-def test_size_shuffles_sets_the_start(spark):
+def test_initial_partitions_are_a_choice_at_the_start(spark):
     other = spark.newSession()
-    other.conf.set("spark.sql.shuffle.partitions", "6")
-    size_shuffles(Tables(other, DATA).orders())
-    assert other.conf.get(INITIAL) == "6"
+    assert adapt(other).conf.get(INITIAL_PARTITIONS, None) == spark.conf.get(INITIAL_PARTITIONS, None)
 
 
 def test_scratch_is_the_folder_the_session_names(spark):

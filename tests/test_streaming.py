@@ -1,9 +1,11 @@
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 from ordermill.catalog.mapping import Tables
 from ordermill.contracts import LIVE_ORDERS
+from ordermill.sinks.append import append_missing, held_keys
 from ordermill.sinks.layers import PathLayers
 from ordermill.streaming import live_orders as live
 from tests.conftest import day, rows
@@ -83,19 +85,58 @@ def test_dedup_within_a_delay(spark, inbox, tmp_path):
     deliver("again")
     out = str(tmp_path / "out")
     stream = live.file_stream(spark, str(folder), _schema(spark))
-    unique = live.unique_orders_within(live.live_orders(stream), "1 hour")
+    unique = live.live_orders(live.unique_orders_within(stream, "1 hour"))
     live.append_stream(unique, out, str(tmp_path / "s")).awaitTermination()
     assert spark.read.parquet(out).count() == 2
 
 
+def test_an_absent_time_does_not_make_later_orders_late(spark, tmp_path):
+    folder = tmp_path / "inbox"
+    folder.mkdir()
+    for i in range(5):
+        time = None if i == 0 else day(f"2024-01-01 10:0{i}:00")
+        part = spark.createDataFrame([(f"o{i}", "c", "p", None, time)], INCOMING)
+        part.coalesce(1).write.parquet(str(tmp_path / f"made{i}"))
+        shutil.copy(next((tmp_path / f"made{i}").glob("*.parquet")), folder / f"{i}.parquet")
+    out = str(tmp_path / "out")
+    stream = live.file_stream(spark, str(folder), _schema(spark), max_files=1)
+    unique = live.live_orders(live.unique_orders_within(stream, "1 hour"))
+    live.append_stream(unique, out, str(tmp_path / "s")).awaitTermination()
+    got = rows(spark.read.parquet(out).select("order_id"), "order_id")
+    assert got == [(f"o{i}",) for i in range(5)]
+
+
+def test_upsert_looks_up_only_the_days_of_the_batch(spark, tmp_path):
+    target = PathLayers(str(tmp_path / "w"))
+
+    def batch(*days):
+        made = [(f"o{d}", "c", "p", None, day(f"2024-01-0{d} 10:00:00")) for d in days]
+        frame = spark.createDataFrame(made, INCOMING)
+        return live.live_orders(
+            frame.withColumn("order_date", F.to_date("order_timestamp")), keep=["order_date"]
+        )
+
+    assert append_missing(batch(1, 2, 3), LIVE_ORDERS, target).rows == 3
+    held = held_keys(batch(2), LIVE_ORDERS, target)
+    assert "PartitionFilters: [order_date" in held._jdf.queryExecution().toString().replace(
+        "isnotnull(order_date", "order_date"
+    ) or len(held.inputFiles()) == 3
+    assert rows(held, "_held_order_id") == [("o2",)]
+    assert append_missing(batch(2, 4), LIVE_ORDERS, target).rows == 1
+
+
 def test_upsert_adds_nothing_on_replay(spark, inbox, tmp_path):
     folder, deliver = inbox
     target = PathLayers(str(tmp_path / "w"))
-    live.upsert_stream(_stream(spark, folder), target, str(tmp_path / "s")).awaitTermination()
+    def run(state):
+        incoming = live.file_stream(spark, str(folder), _schema(spark), max_files=1)
+        live.upsert_stream(incoming, target, str(tmp_path / state)).awaitTermination()
+
+    run("s")
     deliver("again")
-    live.upsert_stream(_stream(spark, folder), target, str(tmp_path / "s")).awaitTermination()
+    run("s")
     # even with its progress lost, the stream finds its rows in the target
-    live.upsert_stream(_stream(spark, folder), target, str(tmp_path / "s2")).awaitTermination()
+    run("s2")
     assert rows(target.read(spark, LIVE_ORDERS).select("order_id"), "order_id") == [
         ("o1",),
         ("o2",),

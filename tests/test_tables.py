@@ -12,11 +12,13 @@ from ordermill.contracts import (
     PRODUCT_PERFORMANCE,
     PRODUCTS,
     RAW_TABLES,
+    REFERENCED,
+    REJECTS,
 )
 from ordermill.operators.quality import conform, null_audit
 from ordermill.plans import jobs
 from ordermill.sinks.append import append_missing
-from ordermill.sinks.jdbc import JdbcLayers, column_types
+from ordermill.sinks.jdbc import JdbcLayers, as_declared, column_types
 from ordermill.sinks.layers import CatalogLayers, PathLayers
 from ordermill.sources.files import path_exists, read_csv
 from ordermill.sources.jdbc import JdbcConnection, RangeSplit, read_jdbc
@@ -35,10 +37,8 @@ c1,u1,01409,"sao paulo, centro",SP
 c2,u2,,rio,RJ
 c3,u3,bad,"town",MG
 """
-PRODUCT_CSV = """product_id,product_category_name,product_name_length
-p1,toys,10
-p2,,20
-"""
+PRODUCT_HEADER = ",".join(PRODUCTS.schema.names) + "\n"
+PRODUCT_CSV = PRODUCT_HEADER + "p1,toys,10,,,,,,\np2,,20,,,,,,\n"
 
 
 @pytest.fixture()
@@ -116,6 +116,70 @@ def test_unreadable_file_is_marked_and_the_rest_lands(spark, raw_folder, tmp_pat
     assert report.tables["products"].error
 
 
+def test_a_corrupt_file_leaves_the_landed_table(spark, raw_folder, tmp_path):
+    layers = PathLayers(str(tmp_path / "out"))
+    (raw_folder / "products.csv").write_text(PRODUCT_HEADER + "p1,toys,10,1,1,1,1,1,1\n")
+    jobs.land_raw(spark, str(raw_folder), layers)
+    (raw_folder / "products.csv").unlink()
+    (raw_folder / "products.csv.gz").write_bytes(b"\x1f\x8b this is no gzip stream")
+    report = jobs.land_raw(spark, str(raw_folder), layers, "{table}.csv*")
+    assert report.tables["products"].status == UNREADABLE
+    assert layers.read(spark, PRODUCTS).count() == 1
+
+
+def test_columns_are_found_by_header(spark, raw_folder, tmp_path):
+    lines = CUSTOMER_CSV.splitlines()
+    lines[0] = "customer_unique_id,ID,customer_zip_code_prefix,customer_city,customer_state"
+    (raw_folder / "customers.csv").write_text("\n".join(lines) + "\n")
+    layers = PathLayers(str(tmp_path / "out"))
+    report = jobs.land_raw(spark, str(raw_folder), layers)
+    assert report.tables["customers"].status == UNREADABLE
+    assert "ID" in report.tables["customers"].error
+    aliases = {"customers": {"ID": "customer_id"}}
+    report = jobs.land_raw(spark, str(raw_folder), layers, aliases=aliases)
+    got = rows(layers.read(spark, CUSTOMERS).select("customer_id", "customer_unique_id"), "customer_id")
+    assert got == [("u1", "c1"), ("u2", "c2"), ("u3", "c3")]
+
+
+def test_rejected_cells_are_counted_and_kept(spark, raw_folder, tmp_path):
+    items = (raw_folder / "order_items.csv").read_text()
+    items = items.replace("20.00,2.00", "123456789.00,2.00").replace("o3,1,p1", "o3,one,p1")
+    (raw_folder / "order_items.csv").write_text(items + "o4,1,p1\n")
+    layers = PathLayers(str(tmp_path / "out"))
+    report = jobs.land_raw(spark, str(raw_folder), layers)
+    got = {(r[0], r[1]): r[2] for r in jobs.landed_rejects(spark, report).collect()}
+    assert got == {
+        ("customers", "customer_zip_code_prefix"): 1,
+        ("order_items", "price"): 1,
+        ("order_items", "order_item_id"): 1,
+        ("order_items", None): 1,
+    }
+    kept = {tuple(r.rejected_columns): r for r in layers.read(spark, REJECTS).collect()}
+    assert "123456789.00" in kept[("price",)].raw_text
+    assert kept[()].broken_line and kept[()].raw_text == "o4,1,p1"
+    # a later landing without rejects empties the table
+    (raw_folder / "order_items.csv").unlink()
+    (raw_folder / "customers.csv").unlink()
+    jobs.land_raw(spark, str(raw_folder), layers)
+    assert layers.read(spark, REJECTS).count() == 0
+
+
+def test_counts_outgrow_integer(spark, tmp_path):
+    big = spark.range(1).select(
+        F.lit("p").alias("product_id"),
+        F.lit("c").alias("product_category_name"),
+        F.lit(3_000_000_000).alias("total_quantity_sold"),
+        F.lit(1).alias("total_revenue"),
+        F.lit(1.0).alias("avg_price"),
+        F.lit(3_000_000_000).alias("total_orders"),
+    )
+    layers = PathLayers(str(tmp_path))
+    layers.write(conform(big, PRODUCT_PERFORMANCE), PRODUCT_PERFORMANCE)
+    assert layers.read(spark, PRODUCT_PERFORMANCE).first().total_orders == 3_000_000_000
+    declared = as_declared(conform(big, PRODUCT_PERFORMANCE), PRODUCT_PERFORMANCE)
+    assert declared.schema["total_orders"].dataType == IntegerType()
+
+
 def test_unreadable_file_with_inference(spark, tmp_path):
     root = tmp_path / "raw"
     root.mkdir()
@@ -125,7 +189,7 @@ def test_unreadable_file_with_inference(spark, tmp_path):
 
 
 def test_write_failure_reaches_the_caller(spark, raw_folder):
-    def refuse(frame, contract):
+    def refuse(read, contract):
         raise OSError("target is down")
 
     with pytest.raises(OSError, match="target is down"):
@@ -164,6 +228,7 @@ def test_jobs_end_to_end(spark, raw_folder, tmp_path):
     ]
     sales = rows(layers.read(spark, DAILY_SALES).select("sale_date", "total_revenue"), "sale_date")
     assert [r[1] for r in sales] == [eur("11.25"), eur("33.25")]
+    assert jobs.check_raw(spark, layers, layers) == 0
     for c in (DAILY_SALES, PRODUCT_PERFORMANCE):
         assert layers.read(spark, c).columns == c.schema.names
 
@@ -244,6 +309,19 @@ def test_append_missing_can_be_repeated(spark, tmp_path):
     ]
 
 
+def test_append_missing_takes_a_null_key_once_and_the_last_of_repeats(spark, tmp_path):
+    layers = PathLayers(str(tmp_path))
+    frame = _products(spark, None, "a", "a").withColumn(
+        "product_category_name", F.expr("substring(uuid(), 1, 0) || 'same'")
+    )
+    frame = frame.union(frame.withColumn("product_category_name", F.lit("zoo")))
+    assert append_missing(frame, PRODUCTS, layers).rows == 2
+    assert append_missing(frame, PRODUCTS, layers).rows == 0
+    assert append_missing(frame, PRODUCTS, layers).rows == 0
+    got = layers.read(spark, PRODUCTS).select("product_id", "product_category_name")
+    assert rows(got, "product_id") == [(None, "zoo"), ("a", "zoo")]
+
+
 def test_catalog_layers_are_idempotent_and_keep_declared_types(spark, tmp_path):
     layers = CatalogLayers(str(tmp_path / "catalog"))
     layers.create(spark)
@@ -281,6 +359,7 @@ def test_jdbc_options():
 
 
 def test_jdbc_write_options_keep_the_contract():
+    assert REFERENCED == {"customers", "orders"}
     options = JdbcLayers(CONNECTION, max_connections=8).write_options(CUSTOMERS)
     assert options["truncate"] == "true"
     assert options["numPartitions"] == "8"
