@@ -1,6 +1,6 @@
 """Packing along a space-filling curve: neighbouring documents share sequences.
 
-1. Every document is tokenised once. Its words are hashed into VECTOR signed buckets; fixed
+1. Every document is tokenised once. Its tokens are hashed into VECTOR signed buckets; fixed
    random projections turn the unit vector into DIMENSIONS coordinates, whose ranks among all
    documents' expected values are cells of a Hilbert curve. Token ids rest in the shared folder.
 2. (key, length) of all documents are range-sorted by Hilbert key, ties by row, and summed up
@@ -18,13 +18,15 @@ than SEQUENCE unless the token count divides evenly.
 
 from __future__ import annotations
 
+import functools
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,64 +38,63 @@ END_ID = 0
 VECTOR = 256
 DIMENSIONS = 4
 BITS = 12
-REMEMBERED = 200_000
 # The split that byte-level BPE vocabularies of this family use before merging
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class PieceIds(dict):
-    """piece -> its token ids as little-endian 32-bit bytes, remembering a bounded number.
-
-    The merges never cross a piece, so each distinct piece is encoded once by the library.
-    """
-
-    def __init__(self, tokenizer) -> None:
-        super().__init__()
-        self.encode = tokenizer.encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece, add_special_tokens=False).ids
-        value = np.array(ids, "<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = value
-        return value
+def _byte_of_sign() -> dict[str, int]:
+    """The printable stand-ins that byte-level vocabularies use for the 256 bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Token ids of whole texts, equal to the library's ``encode`` without added tokens."""
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+    """Token ids of whole texts, equal to the vocabulary's own library without added tokens.
 
-        tokenizer = Tokenizer.from_file(path)
-        self.ids = PieceIds(tokenizer)
-        self.split = regex.compile(PIECES).findall
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile(
-            "(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")"
-        ) if special else None
-
-    def __call__(self, text: str) -> bytes:
-        parts = [text]
-        if self.special and self.special.search(text):
-            parts = self.special.split(text)
-        out = []
-        for i, part in enumerate(parts):
-            # every second part is a special token, which the library takes whole
-            out += [self.ids[part]] if i % 2 else map(self.ids.__getitem__, self.split(part))
-        return b"".join(out)
-
-
-class WordBuckets(dict):
-    """word -> (bucket, sign) as one number: 2 * bucket + (sign < 0)."""
+    In vocabularies of this family the id of a token is its merge rank, so the faster of the
+    installed libraries can apply the same merges from the same file.
+    """
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh32_intdigest(word) % (2 * VECTOR)
-        return value
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        byte = _byte_of_sign()
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {
+            bytes(byte[c] for c in token): i
+            for token, i in spec["model"]["vocab"].items()
+            if token not in self.special
+        }
+        self.ordinary = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.find = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return self.ordinary.encode_to_numpy(text, disallowed_special=())
+
+    def __call__(self, text: str) -> np.ndarray:
+        if not self.find or not self.find.search(text):
+            return self._ids(text)
+        # every second part is a special token, which the library takes whole
+        parts = [
+            np.array([self.special[part]], np.uint32) if i % 2 else self._ids(part)
+            for i, part in enumerate(self.find.split(text))
+        ]
+        return np.concatenate(parts)
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One per Python worker."""
+    return Encoder(path)
+
+
+def document_vector(ids: np.ndarray) -> np.ndarray:
+    """Token counts hashed into VECTOR buckets, each with a sign."""
+    found = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    counts = np.bincount((found % np.uint64(2 * VECTOR)).astype(np.int64), minlength=2 * VECTOR)
+    return (counts[::2] - counts[1::2]).astype(np.float64)
 
 
 def projections() -> np.ndarray:
@@ -140,21 +141,16 @@ def hilbert_key(point: np.ndarray) -> int:
 
 def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, buckets, matrix = Encoder(path), WordBuckets(), projections()
-        signs = np.where(np.arange(2 * VECTOR) % 2, -1.0, 1.0)
+        encode, matrix = _encoder(path), projections()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 keys, counts, ids = [], [], []
                 for text in part.column(1):
-                    text = text.as_py() or ""
-                    words = text.split()
-                    found = np.fromiter(map(buckets.__getitem__, words), np.int64, len(words))
-                    signed = np.bincount(found, minlength=2 * VECTOR) * signs
-                    keys.append(hilbert_key(cells(signed.reshape(VECTOR, 2).sum(1), matrix)))
-                    own = encode(text) + END_ID.to_bytes(4, "little")
-                    counts.append(len(own) // 4)
-                    ids.append(own)
+                    own = encode(text.as_py() or "")
+                    keys.append(hilbert_key(cells(document_vector(own), matrix)))
+                    counts.append(len(own) + 1)
+                    ids.append(own.astype("<u4").tobytes() + END_ID.to_bytes(4, "little"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "curve", "doc_tokens", "ids"],
