@@ -31,8 +31,8 @@ WINDOW = 5
 COMMON = 50
 MIN_WORDS = 50
 MIN_REFERENCE = 1000
-CLASS_LIMIT = 0.14
-WORD_LIMIT = 0.12
+CLASS_LIMIT = 0.12
+WORD_LIMIT = 0.08
 SLACK = 2.0
 # More languages than there are codes for: the column then holds something else.
 MOST_LANGUAGES = 10_000
@@ -108,7 +108,12 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = pa.array([t for t, _ in counted], pa.binary())
         each = pa.array([int(n) for _, n in counted], pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(counted)), pa.array([kind] * len(counted)), terms, each],
+            [
+                pa.array([lang] * len(counted), pa.string()),
+                pa.array([kind] * len(counted), pa.string()),
+                terms,
+                each,
+            ],
             ["lang", "kind", "term", "n"],
         )
 
