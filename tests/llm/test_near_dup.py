@@ -1,0 +1,145 @@
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ordermill.llm import components, near_dup
+
+SCHEMA = "doc_id long, text string"
+
+
+def shingles(text):
+    words = re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    size = min(5, len(words))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
+
+
+def brute(rows, threshold=75):
+    """doc_id -> (set size, component), over all pairs that share a shingle."""
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    pairs = {(a, b) for ids in holders.values() for a in ids for b in ids if a < b}
+    for a, b in pairs:
+        both = len(sets[a] & sets[b])
+        if 100 * both >= threshold * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def found(df):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in df.collect()}
+
+
+def variants(seed, groups=12, copies=9):
+    """Groups of exact, near and not quite near copies, chains among them."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in range(groups):
+        words = [f"g{g}w{x}" for x in rng.integers(0, 10_000, int(rng.integers(6, 150)))]
+        for _ in range(copies):
+            own = list(words)
+            for _ in range(int(rng.integers(0, max(2, len(own) // 20)))):
+                own[int(rng.integers(len(own)))] = f"x{rng.integers(1_000_000)}"
+            rows.append((len(rows) * 7 % 1009, " ".join(own)))
+            if rng.random() < 0.3:
+                words = own  # the next copies drift away
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("block", [near_dup.BLOCK, 3])
+def test_components_equal_brute_force(spark, monkeypatch, seed, block):
+    """Also with blocks so small that hubs, loose members and block pairs come into play."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rows = variants(seed)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert found(got) == brute(rows)
+
+
+def test_exact_threshold(spark):
+    """Three of four shingles in common link, a little less does not."""
+    base = [f"w{i}" for i in range(11)]
+    rows = [
+        (1, " ".join(base)),  # 7 shingles
+        (2, " ".join([*base, "y"])),  # 8: 7 / 8
+        (3, " ".join([*base[:10], "z"])),  # 7: 6 / 8 with 1
+        (4, " ".join([*base[:9], "p", "q"])),  # 5 / 9 with 1
+        (5, "one two three"),
+        (6, "One  two\tTHREE"),
+        (7, "one two"),
+        (8, "É two three"),
+        (9, "é two three"),
+    ]
+    got = found(near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)))
+    assert got == brute(rows)
+    assert [got[i][1] for i in (1, 2, 3, 4)] == [1, 1, 1, 4]
+    assert [got[i][1] for i in (5, 6, 7, 8, 9)] == [5, 5, 7, 8, 9]
+
+
+def test_odd_rows(spark, odd_documents):
+    rows = near_dup.near_duplicates(odd_documents).collect()
+    assert len(rows) == 9
+    by_id = {r.doc_id: r for r in rows}
+    assert [by_id[i].n_shingles for i in (1, 2, 3)] == [0, 0, 0]
+    assert all(by_id[i].component_id == i and by_id[i].kept for i in range(1, 8))
+    assert by_id[None].component_id is None and by_id[None].kept
+    assert near_dup.near_duplicates(odd_documents.limit(0)).count() == 0
+    kept = near_dup.keep_one(odd_documents)
+    assert kept.columns == odd_documents.columns and kept.count() == 9
+
+
+def test_one_of_each_group_stays(spark):
+    rows = variants(3)
+    kept = near_dup.keep_one(spark.createDataFrame(rows, SCHEMA))
+    assert {r.doc_id for r in kept.collect()} == {c for _, c in brute(rows).values()}
+
+
+def test_registers_estimate_the_similarity():
+    rng = np.random.default_rng(5)
+    rank = near_dup._borrow_order()
+    for size in (20, 200, 5000):
+        errors = []
+        for _ in range(30):
+            both = rng.integers(0, 2**64, size, np.uint64)
+            a, b = (np.unique(np.append(both, rng.integers(0, 2**64, size // 8, np.uint64))) for _ in "ab")
+            true = size / (len(a) + len(b) - size)
+            same = (near_dup.registers(a, rank) == near_dup.registers(b, rank)).sum()
+            errors.append(near_dup.estimate(np.float64(same), len(a), len(b)) - true)
+        assert abs(np.mean(errors)) < 0.02
+        assert np.abs(errors).max() < near_dup.MARGIN / 2
+
+
+def test_chance_collisions_are_as_rare_as_corrected_for():
+    rng = np.random.default_rng(6)
+    rank = near_dup._borrow_order()
+    same = []
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 2**64, 20_000, np.uint64)) for _ in "ab")
+        same.append((near_dup.registers(a, rank) == near_dup.registers(b, rank)).sum())
+    expected = near_dup.REGISTERS * 0.169919 / (1 << near_dup.MANTISSA)
+    assert np.mean(same) < 3 * expected + 0.1
+
+
+def test_long_chains_and_hubs_of_components(spark):
+    chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    star = spark.range(1001, 1500).select(F.col("id").alias("a"), F.lit(1500).alias("b"))
+    odd = spark.createDataFrame([(None, 1), (7, 7), (9000, 9001)], "a long, b long")
+    got = components.connected_components(chain.union(star).union(odd))
+    labels = {r.node: r.component for r in got.collect()}
+    assert {labels[i] for i in range(301)} == {0}
+    assert {labels[i] for i in range(1001, 1501)} == {1001}
+    assert labels[9001] == 9000 and len(labels) == 301 + 500 + 2
+    assert components.connected_components(odd.limit(0)).count() == 0

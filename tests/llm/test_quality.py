@@ -1,0 +1,117 @@
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from ordermill.llm import quality
+
+WORD = "[^\x20\x09-\x0D]+"
+
+
+def base(text):
+    text = text or ""
+    words = re.findall(WORD, text)
+    lines = [line for line in text.split("\n") if re.search(WORD, line)]
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    hit = {
+        j for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)
+    }
+    return (
+        len(words),
+        sum(map(len, words)),
+        len(re.findall(r"[#*$%&|<>]", text)),
+        len(lines) - len(set(lines)),
+        len(hit),
+        len(words) < 10 or 100 * len(hit) > 20 * len(words),
+    )
+
+
+def base_of(row):
+    return (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words, row.base_failed)
+
+
+@pytest.mark.parametrize("name", ["given", "odd"])
+def test_base_counts_equal_brute_force(given, odd_documents, name):
+    docs = given("documents") if name == "given" else odd_documents
+    got = Counter((r.doc_id, *base_of(r)) for r in quality.judge(docs).collect())
+    assert got == Counter((r.doc_id, *base(r.text)) for r in docs.select("doc_id", "text").collect())
+
+
+def test_verdicts_equal_brute_force(given):
+    """References and distances once more, over plain dictionaries."""
+    rows = given("documents").select("doc_id", "lang", "text").collect()
+    words, classes = {}, {}
+    kinds = [("[a-z]", 0), ("[A-Z]", 1), ("[0-9]", 2), (r"[ \t-\r]", 3), ("[.,]", 4),
+             (r"[#*$%&|<>]", 5), ("[^\x00-\x7f]", 7)]
+
+    def shape(text):
+        out = [0.0] * 8
+        for pattern, i in kinds:
+            out[i] = len(re.findall(pattern, text))
+        out[6] = len(text) - sum(out)
+        return np.array(out)
+
+    def lower(text):
+        return re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+    for r in rows:
+        words.setdefault(r.lang, Counter()).update(lower(r.text))
+        classes[r.lang] = classes.get(r.lang, 0) + shape(r.text)
+    tops = {
+        lang: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[: quality.COMMON]]
+        for lang, c in words.items()
+    }
+
+    def split(counts, top):
+        own = [counts[w] for w in top]
+        return np.array([*own, sum(counts.values()) - sum(own)], float)
+
+    got = {r.doc_id: r for r in quality.judge(given("documents")).collect()}
+    judged = 0
+    for r in rows:
+        mine, (n, *_, failed) = got[r.doc_id], base(r.text)
+        if n < quality.MIN_WORDS or sum(words[r.lang].values()) < quality.MIN_REFERENCE:
+            assert mine.word_distance is None and mine.kept is not failed
+            continue
+        judged += 1
+        top = tops[r.lang]
+        by_word = quality.distance(split(Counter(lower(r.text)), top), split(words[r.lang], top))
+        by_class = quality.distance(shape(r.text), classes[r.lang])
+        assert mine.word_distance == pytest.approx(by_word)
+        assert mine.class_distance == pytest.approx(by_class)
+        fine = by_class <= quality.limit(quality.CLASS_LIMIT, 8, n) and by_word <= quality.limit(
+            quality.WORD_LIMIT, len(top) + 1, n
+        )
+        assert mine.kept == (fine and not failed)
+    assert judged > 100
+
+
+def test_distance_bounds():
+    assert quality.distance(np.array([1.0, 0]), np.array([0, 5.0])) == 1
+    assert quality.distance(np.array([2.0, 4]), np.array([1, 2.0])) == 0
+
+
+def test_labelled_junk_goes_and_good_text_stays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    judged = quality.judge(docs).filter("NOT base_failed").join(labels, "doc_id")
+    kept = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    assert kept.get((1, False), 0) <= 0.002 * kept[1, True]
+    assert kept[0, False] > 3 * kept[0, True]
+
+
+def test_kept_rows_keep_their_columns(odd_documents):
+    kept = quality.keep_good(odd_documents)
+    assert kept.columns == odd_documents.columns
+    verdicts = quality.judge(odd_documents).filter("kept")
+    assert kept.count() == verdicts.count() > 0
+    assert quality.keep_good(odd_documents.limit(0)).count() == 0
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MOST_LANGUAGES", 1)
+    monkeypatch.setattr(quality, "MIN_REFERENCE", 1)
+    docs = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "doc_id long, lang string, text string")
+    with pytest.raises(ValueError, match="lang"):
+        quality.judge(docs)
