@@ -11,30 +11,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ordermill.llm import decontamination, near_dup, packing, quality, toxicity
-from ordermill.llm.inputs import table, tokenizer_path
-from ordermill.session import scratch_path, scratch_root
+from ordermill.llm.inputs import prepare, table, tokenizer_path
+from ordermill.session import scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch_root(spark)
+    prepare(spark)
     return quality.keep_good(docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch_root(spark)
+    prepare(spark)
     return toxicity.keep_harmless(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch_root(spark)
+    prepare(spark)
     return near_dup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return decontamination.drop_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 

@@ -31,7 +31,7 @@ WINDOW = 5
 COMMON = 50
 MIN_WORDS = 50
 MIN_REFERENCE = 1000
-CLASS_LIMIT = 0.12
+CLASS_LIMIT = 0.16
 WORD_LIMIT = 0.08
 SLACK = 2.0
 # More languages than there are codes for: the column then holds something else.

@@ -19,8 +19,7 @@ from ordermill.llm import (
     url_filter,
     warc,
 )
-from ordermill.llm.inputs import table, tokenizer_path
-from ordermill.session import scratch_root
+from ordermill.llm.inputs import prepare, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,7 +68,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _prepared(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        scratch_root(spark)  # names the shared folder, before a query needs it
+        prepare(spark)
         return query(spark, sf_dir)
 
     run.__name__, run.__doc__ = query.__name__, query.__doc__
