@@ -32,7 +32,7 @@ COMMON = 50
 MIN_WORDS = 50
 MIN_REFERENCE = 1000
 CLASS_LIMIT = 0.16
-WORD_LIMIT = 0.08
+WORD_LIMIT = 0.06
 SLACK = 2.0
 # More languages than there are codes for: the column then holds something else.
 MOST_LANGUAGES = 10_000
