@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -79,6 +81,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="ordermill-")
+    # results are lazy, so what they read goes with the process that made it
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     context.setCheckpointDir(local)
     return local
 

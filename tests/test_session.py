@@ -3,7 +3,8 @@ import pytest
 from ordermill.__main__ import layers, parse
 from ordermill.session import INITIAL_PARTITIONS, RUNTIME_SETTINGS, adapt, scratch_path
 from ordermill.sinks.jdbc import JdbcLayers
-from ordermill.sinks.layers import PathLayers
+from ordermill.sinks.layers import CatalogLayers, PathLayers
+from ordermill.sources.jdbc import RangeSplit
 
 
 def test_adapt_keeps_what_the_caller_chose(spark):
@@ -31,5 +32,21 @@ def test_command_line(monkeypatch):
     monkeypatch.setenv("ORDERMILL_DB_USER", "me")
     place = layers(parse(["marts", "--jdbc-url", "jdbc:postgresql://db/shop"]))
     assert isinstance(place, JdbcLayers) and place.connection.user == "me"
+    split = "orders:order_purchase_timestamp:2017-01-01 00:00:00:2018-12-31 23:59:59:64"
+    options = ["--jdbc-url", "jdbc:x", "--jdbc-connections", "64", "--jdbc-split", split]
+    place = layers(parse(["marts", *options, "--jdbc-split", "order_items:order_item_id:1:9:8"]))
+    assert place.max_connections == 64
+    assert place.splits == {
+        "orders": RangeSplit(
+            "order_purchase_timestamp", "2017-01-01 00:00:00", "2018-12-31 23:59:59", 64
+        ),
+        "order_items": RangeSplit("order_item_id", "1", "9", 8),
+    }
+    assert isinstance(layers(parse(["check", "--catalog"])), CatalogLayers)
+    live = parse(["live", "--warehouse", "/w", "--incoming", "/i", "--checkpoint", "/c"])
+    assert live.every is None
+    for wrong in (["land", "--warehouse", "/w"], ["live", "--warehouse", "/w"]):
+        with pytest.raises(SystemExit):
+            parse(wrong)
     with pytest.raises(SystemExit):
         parse(["land", "--warehouse", "/w"])
