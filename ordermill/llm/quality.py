@@ -275,3 +275,82 @@ def keep_good(documents: DataFrame, text_col: str = "text", lang_col: str = "lan
     return documents.mapInArrow(
         _keep(references(documents, lang_col, text_col), at(lang_col), at(text_col)), documents.schema
     )
+
+
+ORACLE_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), line AS (
+  SELECT doc_id, list_filter(string_split(t, chr(10)),
+    lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d
+), cut AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d WHERE len(words) > 4)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM cut) WHERE n > 1
+), again AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id
+), base AS (
+  SELECT d.doc_id, d.lang, t, len(words) AS n_words,
+    CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words,
+    len(words) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * len(words) AS base_failed
+  FROM d JOIN line USING (doc_id) LEFT JOIN again USING (doc_id)
+), spoken AS (
+  SELECT lang, sum(n_words) AS n FROM base WHERE lang IS NOT NULL GROUP BY lang
+  HAVING sum(n_words) >= {MIN_REFERENCE}
+), word AS (
+  SELECT doc_id, lang, w, count(*) AS n FROM (
+    SELECT doc_id, lang, unnest(list_transform(words, lambda x: translate(x,
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS w
+    FROM d)
+  GROUP BY ALL
+), top AS (
+  SELECT lang, w, sum(n) AS n FROM word WHERE lang IN (SELECT lang FROM spoken) GROUP BY lang, w
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, w) <= {COMMON}
+), judged AS (
+  SELECT b.*, s.n AS n_lang FROM base b JOIN spoken s USING (lang) WHERE n_words >= {MIN_WORDS}
+), cell AS (
+  SELECT doc_id, 'word' AS kind, top.w AS cell, coalesce(word.n, 0) AS p, top.n AS q
+  FROM judged JOIN top USING (lang) LEFT JOIN word USING (doc_id, w)
+  UNION ALL
+  SELECT doc_id, 'word', NULL, any_value(n_words) - sum(coalesce(word.n, 0)), any_value(n_lang) - sum(top.n)
+  FROM judged JOIN top USING (lang) LEFT JOIN word USING (doc_id, w) GROUP BY doc_id
+), letter AS (
+  SELECT doc_id, lang, kind, length(t) - length(regexp_replace(t, pattern, '', 'g')) AS n
+  FROM base, (VALUES ('lower', '[a-z]'), ('upper', '[A-Z]'), ('digit', '[0-9]'),
+    ('space', '[\x20\x09-\x0D]'), ('stop', '[.,]'), ('symbol', '[#*$%&|<>]'),
+    ('beyond_ascii', '[^\x00-\x7F]'), ('all', '(?s).')) AS k(kind, pattern)
+), class AS (
+  SELECT doc_id, lang, CASE WHEN kind = 'all' THEN 'other' ELSE kind END AS cell,
+    CASE WHEN kind = 'all' THEN 2 * n - sum(n) OVER (PARTITION BY doc_id) ELSE n END AS n
+  FROM letter
+), every AS (
+  SELECT * FROM cell
+  UNION ALL
+  SELECT c.doc_id, 'class', c.cell, c.n, r.n
+  FROM class c JOIN (SELECT lang, cell, sum(n) AS n FROM class GROUP BY lang, cell) r USING (lang, cell)
+  WHERE c.doc_id IN (SELECT doc_id FROM judged)
+), share AS (
+  SELECT doc_id, kind, p / sum(p) OVER same AS p, q / sum(q) OVER same AS q
+  FROM every WINDOW same AS (PARTITION BY doc_id, kind)
+), distance AS (
+  SELECT doc_id, kind, count(*) AS cells, sqrt(greatest(sum(
+    CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+    + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS far
+  FROM share GROUP BY doc_id, kind
+), verdict AS (
+  SELECT doc_id, bool_and(far <= CASE kind WHEN 'class' THEN {CLASS_LIMIT} ELSE {WORD_LIMIT} END
+    + {SLACK} * sqrt(cells / (8 * ln(2) * n_words))) AS fine
+  FROM distance JOIN base USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(fine, true) AS kept
+FROM base LEFT JOIN verdict USING (doc_id)
+"""

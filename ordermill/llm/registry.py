@@ -39,7 +39,9 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    # the distances stay out: their last digits depend on the order of summation
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.drop("class_distance", "word_distance")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +96,7 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.ORACLE_SQL,
     "op3_warc": warc.ORACLE_SQL,
+    "op4_quality": quality.ORACLE_SQL,
     "op7_preference_pairs": chat_pairs.ORACLE_SQL,
     "op8_decontamination": decontamination.ORACLE_SQL,
     "op10_near_duplicates": near_dup.ORACLE_SQL,
