@@ -67,6 +67,7 @@ class Encoder:
             if token not in self.special
         }
         self.ordinary = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        self.size = 1 + max([*ranks.values(), *self.special.values()])
         longest_first = sorted(self.special, key=len, reverse=True)
         self.find = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
 
@@ -142,6 +143,8 @@ def hilbert_key(point: np.ndarray) -> int:
 def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, matrix = _encoder(path), projections()
+        # ids rest and move as 16 bits where the vocabulary allows it
+        width = "<u2" if encode.size <= 1 << 16 else "<u4"
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -150,7 +153,7 @@ def _tokenise(path: str):
                     own = encode(text.as_py() or "")
                     keys.append(hilbert_key(cells(document_vector(own), matrix)))
                     counts.append(len(own) + 1)
-                    ids.append(own.astype("<u4").tobytes() + END_ID.to_bytes(4, "little"))
+                    ids.append(np.append(own, END_ID).astype(width).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "curve", "doc_tokens", "ids"],
@@ -176,11 +179,10 @@ def _cut(sequence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, place, ids in zip(
-                *(batch.column(i) for i in range(3)), strict=True
-            ):
-                doc, place, ids = doc.as_py(), place.as_py(), ids.as_py()
-                count, start = len(ids) // 4, 0
+            for row in zip(*(batch.column(i) for i in range(4)), strict=True):
+                doc, place, count, ids = (x.as_py() for x in row)
+                ids = np.frombuffer(ids, f"<u{len(ids) // count}").astype("<u4").tobytes()
+                start = 0
                 while start < count:
                     at = place + start
                     length = min(sequence - at % sequence, count - start)
@@ -235,8 +237,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     tokens = tokenised(documents, tokenizer_path, id_col, text_col)
-    placed = tokens.select("row", "doc_id", "ids").join(places(tokens), "row")
-    return placed.select("doc_id", "place", "ids").mapInArrow(
+    placed = tokens.select("row", "doc_id", "doc_tokens", "ids").join(places(tokens), "row")
+    return placed.select("doc_id", "place", "doc_tokens", "ids").mapInArrow(
         _cut(sequence),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
         "sequence_id long, offset long",
