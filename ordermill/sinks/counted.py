@@ -25,8 +25,9 @@ def write_counted(
 ) -> Written:
     """Run ``write`` and return its row count and ``metrics``, all from that one action.
 
-    The metrics may use columns that are not written: ``columns`` are chosen above them. The metrics are taken right below the writer, in the result stage, where Spark counts
-    every task once however often it is retried.
+    The metrics may use columns that are not written: ``columns`` are chosen above them. They
+    are taken right below the writer, in the result stage, where Spark counts every task once
+    however often it is retried.
     """
     seen = Observation()
     wanted = metrics or {}

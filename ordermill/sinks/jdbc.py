@@ -40,8 +40,8 @@ class JdbcLayers:
     ``splits`` says by table how to read it in parallel; without one a table comes through one
     connection. ``max_connections`` bounds the tasks that write. Overwrite truncates instead of
     dropping, so declared types and keys stay. A database refuses to truncate a table that a
-    foreign key refers to; the landing job fills such tables with ``append_missing``. Spark commits each partition on its own:
-    a task retried after its commit inserts again, so keep the primary key in the
+    foreign key refers to; the landing job fills such tables with ``append_missing``. Spark
+    commits each partition on its own: a task retried after its commit inserts again, so keep the primary key in the
     database, which turns such a repeat into an error instead of a duplicate.
     """
 
