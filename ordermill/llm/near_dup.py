@@ -4,8 +4,9 @@ A document's set holds its distinct shingles of five words (fewer words: the who
 one). Every shingle is hashed to 64 bits; the upper half picks one of REGISTERS buckets, the
 lower half competes for the bucket's minimum. A register keeps the minimum's leading-zero count
 and its next MANTISSA bits. An empty bucket borrows the register of the first filled one in an
-order of its own, so short documents agree in a register as often as their sets do. ROWS registers form a band: two sets of similarity 0.75 share none of the BANDS
-bands with probability (1 - 0.75**6)**64 = 4e-6, at 0.8 with 4e-9.
+order of its own, so short documents agree in a register as often as their sets do. ROWS
+registers form a band: two sets of similarity 0.75 share none of the BANDS bands with
+probability (1 - 0.75**6)**64 = 4e-6, at 0.8 with 4e-9.
 
 1. Equal sets form a class, represented by its smallest id; only representatives go on.
 2. Representatives that share a band fall into one pool (connected components of stars).
@@ -199,7 +200,8 @@ def _links(rows: list, threshold: int, rank: np.ndarray) -> Iterator[pa.RecordBa
                 links.append((node, other))
     if links:
         a, b = zip(*links, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        ends = [pa.array(a, pa.int64()), pa.array(b, pa.int64())]
+        yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
 
 def _links_of(rows: DataFrame, threshold: int) -> DataFrame:

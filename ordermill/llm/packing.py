@@ -66,10 +66,13 @@ class Encoder:
             for token, i in spec["model"]["vocab"].items()
             if token not in self.special
         }
-        self.ordinary = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        self.ordinary = tiktoken.Encoding(
+            "own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}
+        )
         self.size = 1 + max([*ranks.values(), *self.special.values()])
         longest_first = sorted(self.special, key=len, reverse=True)
-        self.find = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
+        any_special = "|".join(map(regex.escape, longest_first))
+        self.find = regex.compile(f"({any_special})") if any_special else None
 
     def _ids(self, text: str) -> np.ndarray:
         return self.ordinary.encode_to_numpy(text, disallowed_special=())
@@ -155,7 +158,12 @@ def _tokenise(path: str):
                     counts.append(len(own) + 1)
                     ids.append(np.append(own, END_ID).astype(width).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
+                    [
+                        part.column(0),
+                        pa.array(keys, pa.int64()),
+                        pa.array(counts, pa.int64()),
+                        pa.array(ids, pa.binary()),
+                    ],
                     ["doc_id", "curve", "doc_tokens", "ids"],
                 )
 

@@ -1,4 +1,4 @@
-"""Registered queries of this folder, each over whole tables, with check SQL where SQL can say it."""
+"""Registered queries of this folder, each over whole tables, and their check SQL."""
 
 from __future__ import annotations
 

@@ -5,7 +5,8 @@
 2. Terms are words and word beginnings, each at every level of LEVELS that its count reaches, as
    the cosine itself does not tell one mention from many. Those that toxic examples hold far
    more often than others span the vectors: at least LEAST_Z standard errors and LEAST_LIFT
-   times as often, the TERMS strongest. Weights are (1 + ln tf) * ln((1 + n) / (1 + df)), vectors have length 1.
+   times as often, the TERMS strongest. Weights are (1 + ln tf) * ln((1 + n) / (1 + df)),
+   vectors have length 1.
 3. The inverted index keeps, for every term, its postings in blocks of BLOCK examples with the
    largest weight of each block. A document sums these maxima to a bound for each block, visits
    blocks from the highest bound down and stops when no block can enter its NEIGHBOURS best.

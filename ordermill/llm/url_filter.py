@@ -96,7 +96,10 @@ def _resolved(link: Column, host: Column, path: Column) -> Column:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): identities joined by a canonical link or a meta refresh. pages: host, path, identity, html."""
+    """(a, b): identities joined by a canonical link or a meta refresh.
+
+    pages: host, path, identity, html.
+    """
     tags = F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
     told = F.col("html").rlike(r"(?i)canonical|refresh")
     tag = F.col("tag")

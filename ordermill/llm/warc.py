@@ -323,7 +323,10 @@ def gaps(read: DataFrame) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write all pages, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write all pages and read them back.
+
+    Per page: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """
     files = write_archives(pages, scratch_path(spark, "warc"))
     return (
         read_archives(files, with_payload=False)
