@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from tokenizers import Tokenizer
 
 from ordermill.session import scratch_path
 
@@ -38,6 +40,11 @@ END_ID = 0
 VECTOR = 256
 DIMENSIONS = 4
 BITS = 12
+# Whitespace runs from this length on go to the vocabulary's own library: the faster one
+# backtracks over a run and gives up at some 750,000 characters
+LONG_RUN = 100_000
+# behind a look-back, so that every run is walked once
+_long_run = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}")
 # The split that byte-level BPE vocabularies of this family use before merging
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -53,10 +60,12 @@ class Encoder:
     """Token ids of whole texts, equal to the vocabulary's own library without added tokens.
 
     In vocabularies of this family the id of a token is its merge rank, so the faster of the
-    installed libraries can apply the same merges from the same file.
+    installed libraries can apply the same merges from the same file. Texts with a whitespace run
+    of LONG_RUN characters are left to the vocabulary's own library.
     """
 
     def __init__(self, path: str) -> None:
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte = _byte_of_sign()
@@ -74,10 +83,16 @@ class Encoder:
         any_special = "|".join(map(regex.escape, longest_first))
         self.find = regex.compile(f"({any_special})") if any_special else None
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def _ids(self, text: str) -> np.ndarray:
         return self.ordinary.encode_to_numpy(text, disallowed_special=())
 
     def __call__(self, text: str) -> np.ndarray:
+        if len(text) >= LONG_RUN and _long_run.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         if not self.find or not self.find.search(text):
             return self._ids(text)
         # every second part is a special token, which the library takes whole

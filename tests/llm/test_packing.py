@@ -75,6 +75,24 @@ def test_ids_equal_the_library(byte_bpe, library):
         assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" ", "\n"])
+def test_whitespace_runs_of_millions(byte_bpe, library, run):
+    encode = packing.Encoder(byte_bpe)
+    special = next(iter(encode.special), "")
+    for text in (
+        f"{special}a{run * 2_000_000} b{special}",
+        run * packing.LONG_RUN,
+        run * (packing.LONG_RUN - 1) + "é",
+    ):
+        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_long_whitespace_run_is_packed(spark, byte_bpe, library):
+    rows = [(1, "before" + "\n" * 1_500_000 + "after"), (2, "an ordinary text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(pieces(packing.pack(docs, byte_bpe)), rows, library)
+
+
 @pytest.mark.parametrize("dimensions", [2, 3])
 def test_the_curve_visits_all_cells_step_by_step(monkeypatch, dimensions):
     monkeypatch.setattr(packing, "BITS", 3)
