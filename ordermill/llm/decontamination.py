@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ordermill.llm.rows import numbered
 from ordermill.llm.words import lower_ascii, words_between
 
 WINDOW = 13
@@ -223,13 +224,10 @@ def judge(
 
 
 def drop_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, all columns; rows that share an id share fate."""
-    bad = judge(documents, benchmark).filter("contaminated").select(
-        F.col("doc_id").alias("_contaminated")
-    )
-    return documents.join(
-        bad.distinct(), F.col("doc_id").eqNullSafe(F.col("_contaminated")), "left_anti"
-    )
+    """The rows that are not contaminated, all columns; each is judged alone, whatever its id."""
+    rows, row = numbered(documents)
+    bad = judge(rows, benchmark, row).filter("contaminated").select(F.col("doc_id").alias(row))
+    return rows.join(bad, row, "left_anti").select(documents.columns)
 
 
 def remove_spans(

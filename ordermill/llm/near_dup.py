@@ -19,7 +19,8 @@ probability (1 - 0.75**6)**64 = 4e-6, at 0.8 with 4e-9.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing. Rows
 with a null id are linked with nothing, have no component and are kept. Rows that share an id
-are one document for linking; each gets its own output row. Other input columns are ignored.
+are one document for linking; each gets its own output row. ``keep_one`` goes by rows instead.
+Other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordermill.llm.components import connected_components
+from ordermill.llm.rows import numbered
 
 SHINGLE = 5
 ROWS = 6
@@ -352,9 +354,28 @@ def near_duplicates(
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each group, all columns."""
-    gone = near_duplicates(documents).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return documents.join(gone.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each group, all columns: the one of the smallest id, null ids last.
+
+    Rows are linked by their own numbers, so a null or repeated id neither hides a copy nor
+    takes another text along. Rows that repeat both id and text of the one that stays are that
+    document again and stay with it.
+    """
+    rows, row = numbered(documents)
+    found = near_duplicates(rows, row).select(F.col("doc_id").alias(row), "component_id")
+    digest = F.sha2(F.col("text").cast("binary"), 256).alias("digest")
+    members = rows.select(row, "doc_id", digest).join(found, row)
+    # a group shrinks to one row per task before it moves
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row, "digest"))
+    groups = (
+        members.groupBy("component_id")
+        .agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
+        .select("component_id", "first")
+    )
+    again = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    stays = (F.col(row) == F.col(f"first.{row}")) | F.coalesce(again, F.lit(False))
+    gone = members.join(groups, "component_id").filter(~stays).select(row)
+    return rows.join(gone, row, "left_anti").select(documents.columns)
 
 
 ORACLE_SQL = r"""

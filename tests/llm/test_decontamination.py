@@ -94,6 +94,17 @@ def test_dropping_documents_and_spans(spark):
     assert texts[3] == ("clean", 0)
 
 
+def test_null_and_repeated_ids_are_dropped_by_row(spark):
+    passage = " ".join(f"t{i}" for i in range(13))
+    rows = [(None, passage), (None, "clean a"), (None, "clean b"), (1, "clean c"), (1, passage), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'r' AS _row")
+    benchmark = spark.createDataFrame([(9, passage)], "item_id long, text string")
+    kept = dc.drop_documents(docs, benchmark)
+    assert kept.columns == docs.columns
+    wanted = [(None, "clean a"), (None, "clean b"), (1, "clean c"), (2, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(wanted, key=str)
+
+
 def test_empty_tables(spark, odd_documents, given):
     assert dc.judge(odd_documents.limit(0), given("benchmark")).count() == 0
     got = dc.judge(odd_documents, given("benchmark").limit(0)).collect()

@@ -107,6 +107,21 @@ def test_one_of_each_group_stays(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, c in brute(rows).values()}
 
 
+def test_null_and_repeated_ids_are_linked_by_row(spark):
+    copy, near = (" ".join(f"{g}{i}" for i in range(60)) for g in "cn")
+    rows = [
+        (None, copy), (None, copy), (None, copy.upper()),  # one of them stays
+        (5, near), (6, near + " more"), (6, "a text that only shares its id with a near copy"),
+        (None, near), (7, None), (None, None),
+        (8, "the very same row"), (8, "the very same row"), (9, "the very same row"),
+    ]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'r' AS _row"))
+    assert kept.columns == ["doc_id", "text", "_row"]
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=str)
+    wanted = [(None, copy), (None, ""), (5, near), rows[5], (7, ""), rows[9], rows[10]]
+    assert got == sorted(wanted, key=str)
+
+
 def test_registers_estimate_the_similarity():
     rng = np.random.default_rng(5)
     rank = near_dup._borrow_order()
