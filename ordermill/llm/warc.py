@@ -7,6 +7,9 @@ where it is not compressed. A record must inflate with the right checksum, have
 a header, the announced length and the announced block digest. Where a check fails the reader
 searches for the next gzip signature or version line that starts a valid record, goes on there,
 and reports the skipped bytes as a gap. It reads through a window and holds one record at a time.
+A member may hold several records; they, and gaps between them, all carry the member's range. Of
+such a member that does not inflate to its end, records whose announced digest fits are kept.
+Digests may be base32 or hex, of either case.
 
 Defined cases: a null page is an empty payload; a null url becomes ``urn:page:`` and the id. Of
 equal payloads those with the largest id are responses, so rows that repeat it are too. A null
@@ -16,6 +19,8 @@ gives no records; empty files are read as nothing.
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import uuid
@@ -173,19 +178,63 @@ class Damaged(Exception):
     pass
 
 
-def _inflate(file: _File, at: int) -> tuple[bytes, int]:
-    """The member at ``at`` and where it ends."""
-    member, parts = zlib.decompressobj(31), []
-    try:
-        while not member.eof:
-            data = file.read(at, min(1 << 16, file.size - at))
-            if not data:
-                raise Damaged("member cut off")
-            parts.append(member.decompress(data))
-            at += len(data) - len(member.unused_data)
-    except zlib.error as error:
-        raise Damaged(f"member: {error}") from None
-    return b"".join(parts), at
+class _Inflated:
+    """The member at ``at``, inflated as far as it is asked for."""
+
+    def __init__(self, file: _File, at: int) -> None:
+        self.file, self.at, self.data, self.error = file, at, b"", ""
+        self.member = zlib.decompressobj(31)
+
+    def _more(self) -> bytes:
+        data = self.file.read(self.at, min(1 << 16, self.file.size - self.at))
+        if not data:
+            self.error = "member cut off"
+            return b""
+        before = self.member.copy()
+        try:
+            out = self.member.decompress(data)
+            self.at += len(data) - len(self.member.unused_data)
+            return out
+        except zlib.error as error:
+            self.error = f"member: {error}"
+        # what stands before the damage
+        parts = []
+        for i in range(len(data)):
+            try:
+                parts.append(before.decompress(data[i : i + 1]))
+            except zlib.error:
+                break
+            self.at += 1
+        return b"".join(parts)
+
+    def want(self, n: int) -> bool:
+        """Inflate until ``n`` bytes are at hand, if there are as many."""
+        parts, size = [self.data], len(self.data)
+        while size < n and not self.error and not self.member.eof:
+            parts.append(self._more())
+            size += len(parts[-1])
+        self.data = b"".join(parts)
+        return size >= n
+
+    def drop(self, n: int) -> None:
+        self.data = self.data[n:]
+
+    def next_version(self) -> bool:
+        """Drop what stands before the next version line behind the first byte."""
+        self.drop(1)
+        while True:
+            found = self.data.find(VERSION)
+            if found >= 0:
+                self.drop(found)
+                return True
+            self.drop(max(len(self.data) - len(VERSION) + 1, 0))
+            if not self.want(len(self.data) + 1):
+                return False
+
+    def finish(self) -> None:
+        """To the end, without keeping what is inflated."""
+        while not self.error and not self.member.eof:
+            self._more()
 
 
 def _header(data: bytes) -> tuple[dict[str, str], int]:
@@ -204,49 +253,116 @@ def _header(data: bytes) -> tuple[dict[str, str], int]:
     return fields, end + 4
 
 
-def _record_at(file: _File, at: int) -> tuple[dict[str, str], bytes, int]:
-    """Fields, block and end of the valid record at ``at``."""
-    if file.read(at, min(3, file.size - at)) == GZIP:
-        data, end = _inflate(file, at)
-        fields, begin = _header(data)
-        length = int(fields["content-length"])
-        block, closing = data[begin : begin + length], data[begin + length :]
-    else:
-        head, want = b"", 1 << 13
-        while b"\r\n\r\n" not in head and len(head) < min(MOST_HEADER, file.size - at):
-            head = file.read(at, min(want, file.size - at))
-            want *= 2
-        fields, begin = _header(head)
-        length = int(fields["content-length"])
-        if at + begin + length + 4 > file.size:
-            raise Damaged("record cut off")
-        block = file.read(at + begin, length)
-        end = at + begin + length + 4
-        closing = file.read(end - 4, 4)
+def _hex(digest: str) -> str:
+    """A SHA-1 digest as lower-case hex, given as that or as base32."""
+    if len(digest) == 32:
+        try:
+            return base64.b32decode(digest, casefold=True).hex()
+        except binascii.Error:
+            pass
+    return digest.lower()
+
+
+def _sha1_field(fields: dict[str, str], name: str) -> str | None:
+    kind, _, digest = fields.get(name, "").partition(":")
+    return _hex(digest.strip()) if kind.lower() == "sha1" else None
+
+
+def _checked(fields: dict[str, str], block: bytes, length: int, closing: bytes) -> None:
     if len(block) != length or closing != b"\r\n\r\n":
         raise Damaged("length does not fit")
-    announced = fields.get("warc-block-digest", "")
-    if announced.startswith("sha1:") and announced[5:] != _sha1(block):
+    announced = _sha1_field(fields, "warc-block-digest")
+    if announced is not None and announced != _sha1(block):
         raise Damaged("block digest does not fit")
+
+
+def _plain_record(file: _File, at: int) -> tuple[dict[str, str], bytes, int]:
+    """Fields, block and end of the valid record at ``at``, which is not compressed."""
+    head, want = b"", 1 << 13
+    while b"\r\n\r\n" not in head and len(head) < min(MOST_HEADER, file.size - at):
+        head = file.read(at, min(want, file.size - at))
+        want *= 2
+    fields, begin = _header(head)
+    length = int(fields["content-length"])
+    if at + begin + length + 4 > file.size:
+        raise Damaged("record cut off")
+    block = file.read(at + begin, length)
+    end = at + begin + length + 4
+    _checked(fields, block, length, file.read(end - 4, 4))
     return fields, block, end
 
 
+def _inflated_record(source: _Inflated) -> tuple[dict[str, str], bytes, int]:
+    """Fields, block and length of the valid record at the front of the member's data."""
+    want = 1 << 13
+    while source.want(want) and b"\r\n\r\n" not in source.data and want < MOST_HEADER:
+        want *= 2
+    fields, begin = _header(source.data)
+    length = int(fields["content-length"])
+    end = begin + length + 4
+    source.want(end)
+    block = source.data[begin : begin + length]
+    _checked(fields, block, length, source.data[begin + length : end])
+    return fields, block, end
+
+
+def _member_records(file: _File, at: int) -> Iterator[tuple]:
+    """As ``read_file``, for the member at ``at``; Damaged, at last, if it is not valid."""
+    source, stop, error, lost, any_valid = _Inflated(file, at), None, "", "", False
+    while True:
+        try:
+            fields, block, length = _inflated_record(source)
+            alone = not any_valid and not source.want(length + 1)
+            if stop is None and not alone:
+                # several records, or junk behind the first: is the member whole?
+                rest = _Inflated(file, at)
+                rest.finish()
+                stop, error = rest.at, rest.error
+            if alone and source.error:
+                raise Damaged(source.error)
+            if error and _sha1_field(fields, "warc-block-digest") is None:
+                raise Damaged(f"{error}, and no digest")
+        except Damaged as damage:
+            lost = lost or str(source.error or damage)
+            if source.next_version():
+                continue
+            break
+        if lost and not error:
+            yield at, source.at if stop is None else stop, None, None, lost
+        lost, any_valid = "", True
+        source.drop(length)
+        yield at, source.at if stop is None else stop, fields, block, None
+        if not source.want(1):
+            break
+    if source.error or error or not any_valid:
+        raise Damaged(source.error or error or lost)
+    if lost:
+        yield at, source.at, None, None, lost
+
+
+def _records_at(file: _File, at: int) -> Iterator[tuple]:
+    if file.read(at, min(3, file.size - at)) == GZIP:
+        yield from _member_records(file, at)
+    else:
+        fields, block, end = _plain_record(file, at)
+        yield at, end, fields, block, None
+
+
 def read_file(handle) -> Iterator[tuple]:
     """(start, end, fields, block, None) of records and (start, end, None, None, reason) of gaps."""
     file, at, gap, why = _File(handle), 0, None, ""
     while at < file.size:
         try:
-            fields, block, end = _record_at(file, at)
+            for found in _records_at(file, at):
+                if gap is not None:
+                    yield gap, at, None, None, why
+                    gap = None
+                yield found
+            at = found[1]
         except Damaged as error:
             if gap is None:
                 gap, why = at, str(error)
             at = file.next_start(at + 1)
-            continue
-        if gap is not None:
-            yield gap, at, None, None, why
-            gap = None
-        yield at, end, fields, block, None
-        at = end
     if gap is not None:
         yield gap, file.size, None, None, why
 
@@ -272,11 +388,11 @@ def _row(path: str, start: int, end: int, fields: dict | None, block: bytes | No
         size, digest = len(payload), _sha1(payload)
     else:
         payload, size = None, number("payload-length")
-        digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+        digest = _sha1_field(fields, "warc-payload-digest") or fields.get("warc-payload-digest", "")
     return path, start, end, None, number("page-id"), url, size, digest, kind, number("refers-to-page-id"), payload
 
 
-def _read(with_payload: bool):
+def _read(with_payload: bool, complete: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
             [
@@ -285,17 +401,20 @@ def _read(with_payload: bool):
             ]
         )
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, written in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 system, name = _open(path)
                 with system.open_input_file(name) as handle:
-                    rows, held = [], 0
+                    rows, held, records = [], 0, 0
                     for found in read_file(handle):
+                        records += found[4] is None
                         row = _row(path, *found)
                         rows.append(row if with_payload else (*row[:-1], None))
                         held += len(row[-1] or b"") if with_payload else 0
                         if len(rows) >= 1000 or held > WINDOW:
                             yield _batch(rows, schema)
                             rows, held = [], 0
+                    if complete and records != written:
+                        raise ValueError(f"{path}: {written} records written, {records} read")
                     if rows:
                         yield _batch(rows, schema)
 
@@ -312,9 +431,16 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records and gaps (``gap`` holds the reason, else null) of the files in column ``path``."""
-    return files.select("path").mapInArrow(_read(with_payload), _READ)
+def read_archives(
+    files: DataFrame, with_payload: bool = True, complete: bool = False
+) -> DataFrame:
+    """Records and gaps (``gap`` holds the reason, else null) of the files in column ``path``.
+
+    With ``complete`` a file that does not give as many records as its column ``records`` says
+    is an error.
+    """
+    records = F.col("records") if complete else F.lit(None).cast("bigint").alias("records")
+    return files.select("path", records).mapInArrow(_read(with_payload, complete), _READ)
 
 
 def gaps(read: DataFrame) -> DataFrame:
@@ -323,13 +449,13 @@ def gaps(read: DataFrame) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write all pages and read them back.
+    """Write all pages and read them back; an error if a record is missing.
 
     Per page: page_id, payload_bytes, payload_digest, record_type, refers_to.
     """
     files = write_archives(pages, scratch_path(spark, "warc"))
     return (
-        read_archives(files, with_payload=False)
+        read_archives(files, with_payload=False, complete=True)
         .filter("gap IS NULL")
         .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     )

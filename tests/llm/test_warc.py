@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import io
@@ -72,6 +73,55 @@ def test_nothing():
     assert read(b"no archive") == ([], [(0, 10)])
 
 
+@pytest.mark.parametrize("form", [str.upper, str.lower])
+def test_digests_of_other_writers(form):
+    def other(i):
+        data = plain(i)
+        for line in data.split(b"\r\n"):
+            if line.startswith(b"WARC-Block-Digest"):
+                digest = bytes.fromhex(line.partition(b"sha1:")[2].decode())
+                base32 = form(base64.b32encode(digest).decode()).encode()
+                return data.replace(line, b"WARC-Block-Digest: sha1:" + base32)
+
+    assert read(other(1) + gzip.compress(other(2)) + other(3)) == ([1, 2, 3], [])
+    assert read(plain(1).replace(sha1(b"hello").encode(), sha1(b"hello").upper().encode()))[0] == [1]
+    wrong = other(1).replace(b"hello", b"hallo")
+    assert read(wrong + other(2)) == ([2], [(0, len(wrong))])
+    row = warc._row("p", 0, 1, {"warc-type": "revisit", "warc-payload-digest": "sha1:" + form("A" * 32)}, b"", None)
+    assert row[7] == "0" * 40
+
+
+def test_members_of_several_records():
+    parts = [plain(i, b"%d" % i * 70_000) for i in range(5)]
+
+    def found(data):
+        rows = list(warc.read_file(Bytes(data)))
+        return [int(r[2]["page-id"]) for r in rows if r[2]], [r[:2] for r in rows if r[4]]
+
+    whole = gzip.compress(b"".join(parts), mtime=0)
+    assert found(whole) == ([0, 1, 2, 3, 4], [])
+    assert found(member(7) + whole + plain(8)) == ([7, 0, 1, 2, 3, 4, 8], [])
+    bad = parts[2].replace(b"2222", b"2322", 1)
+    inner = gzip.compress(b"".join([*parts[:2], bad, *parts[3:]]), mtime=0)
+    assert found(inner + member(8)) == ([0, 1, 3, 4, 8], [(0, len(inner))])
+    cut = whole[: len(whole) * 3 // 4]
+    ids, lost = found(cut + member(8))
+    assert ids[:3] == [0, 1, 2] and ids[-1] == 8 and lost == [(0, len(cut))]
+    first = gzip.compress(bad + parts[3], mtime=0)
+    assert found(first) == ([3], [(0, len(first))])
+
+
+def test_a_record_lost_on_the_way_is_an_error(spark, given, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "scratch_path", lambda *_: f"file://{tmp_path}/warc")
+    back = warc.round_trip(spark, given("pages").limit(20))
+    path = next((tmp_path / "warc").iterdir())
+    data = bytearray(path.read_bytes())
+    data[30] ^= 0xFF
+    path.write_bytes(bytes(data))
+    with pytest.raises(Exception, match="records written"):
+        back.collect()
+
+
 def test_members_open_with_the_gzip_module():
     data = member(1) + member(2)
     text = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
