@@ -15,7 +15,8 @@
    whole score of a document without any term. Evidence: the nearest examples and cosines.
 
 Defined cases: null and empty texts have no terms and score the prior. Rows with a null id are
-scored, never learnt from. Labels that repeat count once; toxic wins. Without any toxic
+scored, never learnt from. Labels that repeat count once; toxic wins. Rows that share a labelled
+id are one example; all are scored. Without any toxic
 example every score is the prior, without examples 0. Other input columns are ignored.
 """
 
@@ -62,7 +63,8 @@ def is_held_out(id_col: Column) -> Column:
 def labelled_examples(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, toxic, stands_for): at most EXAMPLES of each label.
 
-    They are chosen among the labels, so only their ids are broadcast to the documents.
+    They are chosen among the labels, so only their ids are broadcast to the documents. Of rows
+    that share an id one is taken, by the largest hash of its text.
     """
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -81,7 +83,15 @@ def labelled_examples(documents: DataFrame, labels: DataFrame) -> DataFrame:
             .withColumn("stands_for", F.lit(total / max(1, min(total, EXAMPLES))))
         )
         chosen = part if chosen is None else chosen.union(part)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").checkpoint()
+    rank = F.struct(F.col("text").isNotNull(), F.xxhash64("text"), "text")
+    # a hot id has shrunk to one row per task before it moves
+    return (
+        documents.select("doc_id", "text")
+        .join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "toxic", "stands_for")
+        .agg(F.max_by("text", rank).alias("text"))
+        .checkpoint()
+    )
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,3 +96,24 @@ def test_conflicting_and_null_labels(spark, given):
     a = {r.doc_id: r.score for r in toxicity.score(given("documents"), labels).collect()}
     b = {r.doc_id: r.score for r in toxicity.score(given("documents"), more).collect()}
     assert a == b
+
+
+def test_rows_that_share_a_labelled_id_are_one_example(spark, given):
+    docs, labels = given("documents").select("doc_id", "text"), given("labels")
+    plain = toxicity.labelled_examples(docs, labels)
+    some = plain.filter("toxic = 1").first()
+    copies = spark.range(500).selectExpr(f"{some.doc_id}L AS doc_id", "concat('copy ', id) AS text")
+    nothing = spark.createDataFrame([(some.doc_id, None)], docs.schema)
+    more = docs.unionByName(copies).unionByName(nothing)
+    found = toxicity.labelled_examples(more, labels)
+    assert found.count() == plain.count()
+    own = found.filter(found.doc_id == some.doc_id).collect()
+    assert len(own) == 1 and own[0].text and own[0].toxic == 1
+    again = toxicity.labelled_examples(more.repartition(7), labels)
+    assert sorted(map(tuple, again.select("doc_id", "text").collect())) == sorted(
+        map(tuple, found.select("doc_id", "text").collect())
+    )
+    same = docs.unionByName(docs.filter(docs.doc_id == some.doc_id))
+    a = {r.doc_id: (r.score, r.nearest) for r in toxicity.score(docs, labels).collect()}
+    b = {r.doc_id: (r.score, r.nearest) for r in toxicity.score(same, labels).collect()}
+    assert a == b
