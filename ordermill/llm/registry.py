@@ -11,6 +11,7 @@ from ordermill.llm import (
     chat_pairs,
     decontamination,
     lm_ppm,
+    merkle,
     near_dup,
     packing,
     quality,
@@ -68,6 +69,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def _prepared(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark)
@@ -90,6 +95,7 @@ QUERIES: dict[str, Query] = {
         "op8_decontamination": op8_decontamination,
         "op9_lm_scores": op9_lm_scores,
         "op10_near_duplicates": op10_near_duplicates,
+        "op11_merkle_manifest": op11_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }.items()
 }
@@ -100,4 +106,5 @@ ORACLES: dict[str, str] = {
     "op7_preference_pairs": chat_pairs.ORACLE_SQL,
     "op8_decontamination": decontamination.ORACLE_SQL,
     "op10_near_duplicates": near_dup.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
 }
