@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from ordermill.llm import (
     chat_pairs,
+    conversation_repair,
     decontamination,
     lm_ppm,
     merkle,
@@ -73,6 +74,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def _prepared(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark)
@@ -96,6 +101,7 @@ QUERIES: dict[str, Query] = {
         "op9_lm_scores": op9_lm_scores,
         "op10_near_duplicates": op10_near_duplicates,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op13_conversation_repair": op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }.items()
 }
@@ -107,4 +113,5 @@ ORACLES: dict[str, str] = {
     "op8_decontamination": decontamination.ORACLE_SQL,
     "op10_near_duplicates": near_dup.ORACLE_SQL,
     "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_conversation_repair": conversation_repair.ORACLE_SQL,
 }
