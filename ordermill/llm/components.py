@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ordermill.llm.rows import stored
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every end of an edge; the component is its smallest node.
 
     Each round takes the smallest label among a node's neighbours (a partial aggregate, so a hub
     sends one row per task) and then the label of that label, which halves long chains. Labels
-    rest in the shared checkpoint folder between rounds; the driver only sees a count of
-    changes. Edges with a null end and loops are ignored.
+    rest in the shared folder between rounds; the driver only sees whether any moved. Edges
+    with a null end and loops are ignored.
     """
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
-    both = pairs.union(pairs.select("y", "x")).distinct().checkpoint()
-    labels = (
+    both = stored(pairs.union(pairs.select("y", "x")).distinct(), "edges")
+    labels = stored(
         both.groupBy(F.col("x").alias("node"))
         .agg(F.min("y").alias("near"))
-        .select("node", F.least("node", "near").alias("component"))
-        .checkpoint()
+        .select("node", F.least("node", "near").alias("component")),
+        "labels",
     )
     while True:
         seen = labels.select(F.col("node").alias("y"), F.col("component").alias("other"))
@@ -34,10 +36,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         )
         # every label is itself a node, so the inner join keeps all rows
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        nxt = (
-            lower.join(jump, "component")
-            .select("node", F.col("root").alias("component"), (F.col("root") < F.col("before")).alias("moved"))
-            .checkpoint()
+        moved = (F.col("root") < F.col("before")).alias("moved")
+        nxt = stored(
+            lower.join(jump, "component").select("node", F.col("root").alias("component"), moved),
+            "labels",
         )
         labels = nxt.select("node", "component")
         if nxt.filter("moved").isEmpty():

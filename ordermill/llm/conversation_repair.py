@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordermill.llm.positions import positions
-from ordermill.session import scratch_path
+from ordermill.llm.rows import stored
 
 CHUNK = 16_384
 BLANKS = " \t\n\x0b\x0c\r"
@@ -334,13 +334,6 @@ def _run_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(out, _COSTS)
 
 
-def _written(costs: DataFrame) -> DataFrame:
-    """Through the shared folder. A checkpoint would keep size estimates that multiply each pass."""
-    path = scratch_path(costs.sparkSession, "costs")
-    costs.write.parquet(path)
-    return costs.sparkSession.read.schema(costs.schema).parquet(path)
-
-
 def _vector(values: Vector):
     return F.array(*(F.lit(v).cast("bigint") for v in values))
 
@@ -363,7 +356,7 @@ def solve(cut: DataFrame) -> DataFrame:
         )
         .mapInArrow(_run_chunks, _COST_TYPES)
     )
-    costs = _written(costs)
+    costs = stored(costs, "costs")
     while True:
         behind = costs.select("key", (F.col("chunk") - 1).alias("chunk"), F.col("start").alias("true_end"))
         wrong = (
@@ -379,10 +372,10 @@ def solve(cut: DataFrame) -> DataFrame:
             )
         )
         again = wrong.join(cut.select("key", "chunk", "codes"), ["key", "chunk"])
-        fixed = _written(again.mapInArrow(_run_chunks, _COST_TYPES))
+        fixed = stored(again.mapInArrow(_run_chunks, _COST_TYPES), "fixed")
         if fixed.isEmpty():
             return costs
-        costs = _written(costs.join(fixed, ["key", "chunk"], "left_anti").union(fixed))
+        costs = stored(costs.join(fixed, ["key", "chunk"], "left_anti").union(fixed), "costs")
 
 
 _RESULT = pa.schema(

@@ -9,13 +9,11 @@ registers form a band: two sets of similarity 0.75 share none of the BANDS bands
 probability (1 - 0.75**6)**64 = 4e-6, at 0.8 with 4e-9.
 
 1. Equal sets form a class, represented by its smallest id; only representatives go on.
-2. Representatives that share a band fall into one pool (connected components of stars).
-3. Within pools, register agreement corrected for chance collisions estimates the similarity;
-   pairs that may reach the threshold are confirmed on the full sets, and a union-find keeps
-   only links that join something. A pool beyond BLOCK members is first compared with its hub,
-   the member with most band neighbours; only members the hub does not reach ("loose") are
-   then compared with all others, block by block, so no task holds more than two blocks.
-4. Connected components over the confirmed links.
+2. Representatives that share a band fall into one pool. Within pools, register agreement
+   corrected for chance collisions estimates the similarity; pairs that may reach the threshold
+   are confirmed on the full sets (``pool_links`` says how large pools are kept from
+   comparing all pairs).
+3. Connected components over the confirmed links.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing. Rows
 with a null id are linked with nothing, have no component and are kept. Rows that share an id
@@ -30,56 +28,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordermill.llm.components import connected_components
+from ordermill.llm.pool_links import pool_links
 from ordermill.llm.rows import numbered
+from ordermill.llm.shingles import ODD, WordHashes, mix, shingle_set
 
 SHINGLE = 5
 ROWS = 6
 BANDS = 64
 REGISTERS = ROWS * BANDS
 MANTISSA = 10
-BLOCK = 512
 # Pairs whose estimate lies more than this below the threshold are not confirmed: seven
 # standard deviations of the estimate over 384 registers at 0.75, with room for borrowed ones.
 MARGIN = 0.25
-# Words whose hashes a task remembers at a time
-REMEMBERED = 200_000
-
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit integers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    """word bytes -> 64-bit hash, remembering a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def shingle_set(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    each = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    size = min(size, len(each))
-    rolled = np.full(len(each) - size + 1, size, np.uint64)
-    for k in range(size):
-        rolled = _mix(rolled * _ODD + each[k : len(each) - size + 1 + k])
-    return np.unique(rolled)
-
 
 def _borrow_order() -> np.ndarray:
     """rank[i, j]: how late bucket i, if empty, asks bucket j. The same in every process."""
@@ -106,9 +70,9 @@ def registers(shingles: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of ROWS registers, the band's number mixed in."""
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * ODD
     for row in regs.reshape(BANDS, ROWS).T.astype(np.uint64):
-        keys = _mix(keys * _ODD + row)
+        keys = mix(keys * ODD + row)
     return keys.view(np.int64)
 
 
@@ -129,7 +93,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 256)
             sizes, prints, keys = [], [], []
             for text in part.column(1):
-                found = shingle_set(text.as_py(), hashes)
+                found = shingle_set(text.as_py(), hashes, SHINGLE)
                 sizes.append(len(found))
                 prints.append(xxhash.xxh128_digest(found.tobytes()) if len(found) else None)
                 keys.append(band_keys(registers(found, rank)) if len(found) else None)
@@ -144,177 +108,19 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _confirm(threshold: int):
-    """Links among the rows of each task; the rows come sorted by task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rank = WordHashes(), _borrow_order()
-        task, rows = None, []
-        for batch in batches:
-            for name, node, left, right, joined, text in zip(
-                *(batch.column(i).to_pylist() for i in range(6)), strict=True
-            ):
-                if name != task:
-                    yield from _links(rows, threshold, rank)
-                    task, rows = name, []
-                rows.append((node, left, right, joined, shingle_set(text, hashes)))
-        yield from _links(rows, threshold, rank)
-
-    return run
-
-
-def _links(rows: list, threshold: int, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Left rows against right rows; ids known to be joined already count as one."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = root[up]
-            x = up
-        return x
-
-    for node, _, _, joined, _ in rows:
-        root[find(node)] = find(joined)
-    rows = [r for r in rows if len(r[4])]
-    lefts, rights = [r for r in rows if r[1]], [r for r in rows if r[2]]
-    if not lefts or not rights:
-        return
-    sizes = np.array([len(r[4]) for r in rights], np.float64)
-    ids = np.array([r[0] for r in rights], np.int64)
-    sketches = np.stack([registers(r[4], rank) for r in rights])
-    found = []
-    for node, _, both, _, own in lefts:
-        near = estimate((sketches == registers(own, rank)).sum(1), sizes, float(len(own)))
-        low, high = np.minimum(sizes, len(own)), np.maximum(sizes, len(own))
-        fits = (100 * low >= threshold * high) & (near >= threshold / 100 - MARGIN)
-        for i in np.flatnonzero(fits & (ids != node)):
-            # a pair of two such rows is met from both sides
-            if not (both and rights[i][1] and node > rights[i][0]):
-                found.append((-near[i], node, i, own))
-    found.sort(key=lambda x: x[:3])
-    links = []
-    for _, node, i, own in found:
-        other, theirs = rights[i][0], rights[i][4]
-        if find(node) != find(other):
-            common = len(np.intersect1d(own, theirs, assume_unique=True))
-            if 100 * common >= threshold * (len(own) + len(theirs) - common):
-                root[find(node)] = find(other)
-                links.append((node, other))
-    if links:
-        a, b = zip(*links, strict=True)
-        ends = [pa.array(a, pa.int64()), pa.array(b, pa.int64())]
-        yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
-
+class Registers:
+    """Pairs told apart by the estimate of their similarity."""
 
-def _links_of(rows: DataFrame, threshold: int) -> DataFrame:
-    """rows: task, node, is_left, is_right, joined, text."""
-    dealt = rows.repartition("task").sortWithinPartitions("task")
-    return dealt.mapInArrow(_confirm(threshold), "a long, b long")
+    def __init__(self, threshold: int) -> None:
+        self.least = threshold / 100 - MARGIN
+        self.rank = _borrow_order()
 
+    def sketch(self, shingles: np.ndarray) -> np.ndarray:
+        return registers(shingles, self.rank)
 
-def _pools(reps: DataFrame) -> DataFrame:
-    """(node, pool, neighbours): nodes that share a band with another one."""
-    spread = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    groups = (
-        spread.groupBy("band")
-        .agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members"))
-        .filter("members > 1")
-    )
-    shared = (
-        spread.join(groups, "band")
-        .groupBy("node", "first")
-        .agg(F.sum("members").alias("neighbours"))
-        .checkpoint()
-    )
-    components = connected_components(shared, "node", "first")
-    degree = shared.groupBy("node").agg(F.sum("neighbours").alias("neighbours"))
-    return degree.join(components, "node").withColumnRenamed("component", "pool")
-
-
-def _block(count: str) -> Column:
-    """The number of a node's block, of as many as the column says."""
-    return F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
-
-
-def _confirmed_links(documents: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
-    pools = _pools(reps)
-    sizes = pools.groupBy("pool").agg(
-        F.count(F.lit(1)).alias("members"),
-        F.max(F.struct("neighbours", (-F.col("node")).alias("minus"))).alias("top"),
-    )
-    sized = sizes.select("pool", "members", (-F.col("top.minus")).alias("hub"))
-    members = (
-        pools.join(sized.filter("members > 1"), "pool")
-        .join(documents, F.col("node") == F.col("doc_id"))
-        .select("node", "pool", "members", "hub", "text")
-        .checkpoint()
-    )
-    # Large pools: every member against the hub, in blocks. The hub's row goes to each block.
-    is_hub = F.col("node") == F.col("hub")
-    starred = (
-        members.filter(F.col("members") > BLOCK)
-        .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-        .withColumn(
-            "to",
-            F.when(is_hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
-                F.array(_block("blocks"))
-            ),
-        )
-        .select("*", F.explode("to").alias("block"))
-        .select(
-            F.concat_ws(" ", "pool", "block").alias("task"),
-            "node",
-            is_hub.alias("is_left"),
-            F.lit(True).alias("is_right"),
-            F.col("node").alias("joined"),
-            "text",
-        )
-    )
-    star = _links_of(starred, threshold).checkpoint()
-
-    # A member that the hub reaches is settled. Loose members meet all others.
-    reached = star.select(F.explode(F.array("a", "b")).alias("node"), F.lit(True).alias("settled"))
-    state = members.join(reached.distinct(), "node", "left").withColumn(
-        "settled", F.coalesce("settled", F.lit(False))
-    )
-    counts = state.groupBy("pool").agg(
-        F.ceil(F.count_if(~F.col("settled")) / BLOCK).cast("int").alias("loose"),
-        F.ceil(F.count_if("settled") / BLOCK).cast("int").alias("fixed"),
-    )
-    placed = state.join(counts.filter("loose > 0"), "pool")
-    # A task is a block of loose members and one other block; fixed blocks are numbered last.
-    as_loose = (
-        placed.filter("NOT settled")
-        .withColumn("block", _block("loose"))
-        .select(
-            "*", F.explode(F.sequence(F.lit(0), F.col("loose") + F.col("fixed") - 1)).alias("other")
-        )
-        .withColumn("lower", F.least("block", "other"))
-        .withColumn("upper", F.greatest("block", "other"))
-        .select(
-            F.concat_ws(" ", "pool", "lower", "upper").alias("task"),
-            "node",
-            (F.col("block") == F.col("lower")).alias("is_left"),
-            (F.col("block") == F.col("upper")).alias("is_right"),
-            F.col("node").alias("joined"),
-            "text",
-        )
-    )
-    as_fixed = (
-        placed.filter("settled")
-        .withColumn("block", F.col("loose") + _block("fixed"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("loose") - 1)).alias("other"))
-        .select(
-            F.concat_ws(" ", "pool", "other", "block").alias("task"),
-            "node",
-            F.lit(False).alias("is_left"),
-            F.lit(True).alias("is_right"),
-            F.col("hub").alias("joined"),
-            "text",
-        )
-    )
-    rest = _links_of(as_loose.union(as_fixed), threshold)
-    return star.union(rest)
+    def score(self, own: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        near = estimate((others == own).sum(1), sizes, float(n))
+        return np.where(near >= self.least, near, np.nan)
 
 
 def near_duplicates(
@@ -332,14 +138,15 @@ def near_duplicates(
     ).checkpoint()
     known = sketches.filter("doc_id IS NOT NULL AND print IS NOT NULL")
     classes = known.groupBy("print").agg(F.min("doc_id").alias("rep"))
-    reps = (
-        known.join(classes, "print")
-        .filter("doc_id = rep")
-        .dropDuplicates(["doc_id", "print"])
-        .select("doc_id", "bands")
+    # copies shrink to one row per task before they move
+    first = F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id").alias("first")
+    spread = known.groupBy("print").agg(first).select(
+        F.col("first.doc_id").alias("node"),
+        F.col("first.n_shingles").alias("n"),
+        F.explode("first.bands").alias("key"),
     )
     texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    links = _confirmed_links(texts, reps, threshold)
+    links = pool_links(texts, spread, SHINGLE, threshold, Registers(threshold))
     # a document's own class is one more link, so that ids that occur twice stay one document
     joined = known.join(classes, "print").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     components = connected_components(links.union(joined))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ordermill.llm.near_dup import WordHashes, _mix
+from ordermill.llm.shingles import WordHashes, mix
 
 SYMBOLS = "#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -75,7 +75,7 @@ def repeated_words(words: list[bytes], hashes: WordHashes, size: int = WINDOW) -
     each = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     rolled = np.zeros(count, np.uint64)
     for k in range(size):
-        rolled = _mix(rolled + each[k : count + k])
+        rolled = mix(rolled + each[k : count + k])
     _, back, often = np.unique(rolled, return_inverse=True, return_counts=True)
     twice = np.flatnonzero(often[back] > 1)
     marks = np.zeros(len(words) + 1, np.int64)

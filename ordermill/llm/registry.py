@@ -15,6 +15,7 @@ from ordermill.llm import (
     merkle,
     near_dup,
     packing,
+    part_enum,
     quality,
     token_counts,
     toxicity,
@@ -74,6 +75,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_enum.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(table(spark, sf_dir, "conversations"))
 
@@ -101,6 +106,7 @@ QUERIES: dict[str, Query] = {
         "op9_lm_scores": op9_lm_scores,
         "op10_near_duplicates": op10_near_duplicates,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_ngram_join": op12_ngram_join,
         "op13_conversation_repair": op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }.items()
@@ -113,5 +119,6 @@ ORACLES: dict[str, str] = {
     "op8_decontamination": decontamination.ORACLE_SQL,
     "op10_near_duplicates": near_dup.ORACLE_SQL,
     "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op12_ngram_join": part_enum.ORACLE_SQL,
     "op13_conversation_repair": conversation_repair.ORACLE_SQL,
 }

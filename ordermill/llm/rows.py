@@ -1,4 +1,4 @@
-"""Row numbers, for decisions that fall on rows and not on their ids."""
+"""Tables on the way, and row numbers for decisions that fall on rows and not on their ids."""
 
 from __future__ import annotations
 
@@ -22,3 +22,14 @@ def numbered(documents: DataFrame) -> tuple[DataFrame, str]:
     path = scratch_path(spark, "rows")
     found.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(found.schema).parquet(path), row
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The rows through a table in the shared folder.
+
+    Like a checkpoint it cuts the lineage; unlike one it does not hand on size estimates, which
+    multiply with every join of an iteration.
+    """
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -5,20 +5,20 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ordermill.llm import components, near_dup
+from ordermill.llm import components, near_dup, pool_links
 
 SCHEMA = "doc_id long, text string"
 
 
-def shingles(text):
+def shingles(text, size=5):
     words = re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    size = min(5, len(words))
+    size = min(size, len(words))
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
 
 
-def brute(rows, threshold=75):
+def brute(rows, threshold=75, size=5):
     """doc_id -> (set size, component), over all pairs that share a shingle."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t, size) for i, t in rows}
     root = {i: i for i in sets}
 
     def find(x):
@@ -60,15 +60,78 @@ def variants(seed, groups=12, copies=9):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("block", [near_dup.BLOCK, 3])
+@pytest.mark.parametrize("block", [pool_links.BLOCK, 3])
 def test_components_equal_brute_force(spark, monkeypatch, seed, block):
     """Also with blocks so small that hubs, loose members and block pairs come into play."""
-    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(pool_links, "BLOCK", block)
     rows = variants(seed)
     got = near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA))
     assert found(got) == brute(rows)
 
 
+def template_pages(n, words=200, own=8, seed=4):
+    """One page with some words of its own on each copy: no two are linked."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(words)]
+    pages = []
+    for i in range(n):
+        page = list(base)
+        for at in rng.choice(words, own, replace=False):
+            page[at] = f"own{rng.integers(1 << 40)}"
+        pages.append((i, " ".join(page)))
+    return pages
+
+
+def compared_texts(spark, monkeypatch, rows, run):
+    """Texts that go through the confirming shuffle."""
+    sent = spark.sparkContext.accumulator(0)
+    plain = pool_links._Search.links
+
+    def counted(self, dealt):
+        dealt = dealt.persist()
+        sent.add(dealt.count())
+        return plain(self, dealt)
+
+    monkeypatch.setattr(pool_links._Search, "links", counted)
+    df = spark.createDataFrame(rows, SCHEMA)
+    return found(run(df)), sent.value
+
+
+def test_template_pages_are_not_compared_with_each_other(spark, monkeypatch):
+    sent = {}
+    for n in (1200, 2400):
+        with monkeypatch.context() as patch:
+            rows = template_pages(n)
+            got, sent[n] = compared_texts(spark, patch, rows, near_dup.near_duplicates)
+        assert {c for _, c in got.values()} == set(range(n))
+    assert sent[2400] < 2.2 * sent[1200]
+
+
+def test_links_among_template_pages_are_found(spark, monkeypatch):
+    """Copies of some pages, in pools of many loose members that go by prefixes."""
+    monkeypatch.setattr(pool_links, "BLOCK", 8)
+    rows = template_pages(60) + [(100 + i, t + f" and{i}") for i, t in template_pages(60)[::3]]
+    rows += [(200 + i, t) for i, t in template_pages(60, own=3, seed=9)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert found(got) == brute(rows)
+
+
+def test_band_edges_are_contracted(spark, monkeypatch):
+    """Near copies of one page bring about one edge each to the search for pools."""
+    counts = []
+    plain = components.connected_components
+
+    def counted(edges, *ends):
+        counts.append(edges.filter(f"{ends[0]} <> {ends[1]}").distinct().count())
+        return plain(edges, *ends)
+
+    monkeypatch.setattr(pool_links, "connected_components", counted)
+    rows = [(i, " ".join([*(f"w{j}" for j in range(200)), f"x{i}"])) for i in range(400)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert {r.component_id for r in got.collect()} == {0}
+    assert counts[0] < 2 * len(rows)
+
+
 def test_exact_threshold(spark):
     """Three of four shingles in common link, a little less does not."""
     base = [f"w{i}" for i in range(11)]
