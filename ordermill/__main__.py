@@ -1,6 +1,6 @@
 """Command line for the jobs.
 
-    python -m ordermill land  --raw <folder> --warehouse <folder>
+    python -m ordermill land  --raw <folder> --warehouse <folder> [--increment]
     python -m ordermill check --warehouse <folder>
     python -m ordermill marts --warehouse <folder>
     python -m ordermill live  --incoming <folder> --checkpoint <folder> --warehouse <folder>
@@ -19,13 +19,30 @@ import argparse
 import os
 import sys
 
+from ordermill.contracts import (
+    FINDINGS,
+    LANDED_FILES,
+    LIVE_ORDERS,
+    MART_TABLES,
+    RAW_TABLES,
+    REJECTS,
+)
 from ordermill.plans import jobs
+from ordermill.plans.increments import land_increment
 from ordermill.session import build_session
 from ordermill.sinks.jdbc import JdbcLayers
 from ordermill.sinks.layers import CatalogLayers, Layers, PathLayers
 from ordermill.sources.jdbc import JdbcConnection, RangeSplit
 from ordermill.streaming import live_orders as live
 
+# the tables that a job writes, where it undoes what a lost run before it left half done
+WRITES = {
+    "land": (*RAW_TABLES, REJECTS, LANDED_FILES),
+    "check": (FINDINGS,),
+    "marts": MART_TABLES,
+    "live": (LIVE_ORDERS,),
+}
+
 
 def parse(argv: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="ordermill")
@@ -33,6 +50,9 @@ def parse(argv: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--raw", help="folder of the raw CSV files (land)")
     parser.add_argument("--pattern", default="{table}.csv", help="file name of a raw table")
     parser.add_argument("--infer", action="store_true", help="infer CSV types from the data")
+    parser.add_argument(
+        "--increment", action="store_true", help="land only files not landed before (land)"
+    )
     where = parser.add_mutually_exclusive_group(required=True)
     where.add_argument("--warehouse", help="root folder of the Parquet layers")
     where.add_argument("--jdbc-url", help="database that holds the layers")
@@ -58,6 +78,8 @@ def parse(argv: list[str] | None) -> argparse.Namespace:
     options = parser.parse_args(argv)
     if options.job == "land" and not options.raw:
         parser.error("land needs --raw")
+    if options.increment and (options.infer or not options.warehouse):
+        parser.error("--increment goes with --warehouse and declared types")
     if options.job == "live" and not (options.incoming and options.checkpoint):
         parser.error("live needs --incoming and --checkpoint")
     return options
@@ -104,8 +126,13 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if options.catalog:
             place.create(spark)
+        if isinstance(place, PathLayers):
+            place.recover(spark, WRITES[options.job])
         if options.job == "land":
-            report = jobs.land_raw(spark, options.raw, place, options.pattern, options.infer)
+            if options.increment:
+                report = land_increment(spark, options.raw, place, options.pattern)
+            else:
+                report = jobs.land_raw(spark, options.raw, place, options.pattern, options.infer)
             for result in report.tables.values():
                 rows = result.written.rows if result.written else ""
                 print(result.table, result.status, rows, result.error or "")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordermill.catalog.mapping import Tables
@@ -9,7 +12,7 @@ from ordermill.catalog.quality_checks import NULLS_SQL
 from ordermill.catalog.registry import check
 from ordermill.contracts import LIVE_ORDERS, ORDER_ITEMS, PRODUCTS
 from ordermill.operators.quality import conform
-from ordermill.plans import jobs
+from ordermill.plans import increments, jobs
 from ordermill.session import scratch_path
 from ordermill.sinks.layers import PathLayers
 from ordermill.sources.files import read_csv
@@ -108,6 +111,38 @@ def _land(t: Tables, frames=None):
     return jobs.land_raw(t.spark, root, PathLayers(scratch_path(t.spark, "landed")))
 
 
+@check(
+    "raw_landing_increment",
+    """
+SELECT 'customers' AS table_name, count(*) AS row_count, count(*) FILTER (customer_id % 3 = 0) AS last_run
+FROM t_customers
+UNION ALL SELECT 'orders', count(*), count(*) FILTER (order_id % 3 = 0) FROM t_orders
+UNION ALL SELECT 'order_items', count(*), count(*) FILTER (order_id % 3 = 0) FROM t_items
+UNION ALL SELECT 'products', count(*), count(*) FILTER (product_id % 3 = 0) FROM t_products
+""",
+)
+def raw_landing_increment(t):
+    """Files arrive between two runs; the second run reads and counts the new ones alone."""
+    root = scratch_path(t.spark, "raw")
+    layers = PathLayers(scratch_path(t.spark, "landed"))
+    for run in (1, 2):
+        for name, frame in t.contract_frames().items():
+            late = F.col(frame.columns[0]) % 3 == 0
+            frame.filter(late if run == 2 else ~late).write.option("header", True).csv(
+                f"{root}/{name}/{run}"
+            )
+        report = increments.land_increment(t.spark, root, layers, "{table}/*/part-*")
+    last = {r.table: r.written.rows for r in report.landed()}
+    counts = [
+        r.frame.agg(
+            F.lit(r.table).alias("table_name"),
+            F.count(F.lit(1)).alias("row_count"),
+        ).withColumn("last_run", F.lit(last[r.table]).cast("bigint"))
+        for r in report.landed()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @check(
     "sink_append_mode",
     """
@@ -203,3 +238,42 @@ def live_orders_upsert(t):
     state = scratch_path(t.spark, "live-upsert-state")
     live.upsert_stream(_replayed(t), layers, state).awaitTermination()
     return _as_given(layers.read(t.spark, LIVE_ORDERS))
+
+
+@check(
+    "live_orders_redated",
+    """
+SELECT order_id, customer_id, product_id, order_value,
+       CASE WHEN customer_id % 5 <> 0 THEN order_timestamp END AS received
+FROM t_purchases
+""",
+)
+def live_orders_redated(t):
+    """Orders sent again days later, earlier or without a time: the first ones stay."""
+    time, customer = F.col("order_timestamp"), F.col("customer_id")
+    received = t.purchases(t.given("events")).withColumn(
+        "order_timestamp", F.when(customer % 5 != 0, time)
+    )
+    again = received.withColumn(
+        "order_timestamp",
+        F.when(customer % 3 == 0, time + F.expr("INTERVAL 3 DAYS")).when(
+            customer % 3 == 1, time - F.expr("INTERVAL 40 DAYS")
+        ),
+    )
+    layers = PathLayers(scratch_path(t.spark, "live-redated"))
+    state = scratch_path(t.spark, "live-redated-state")
+    inbox = scratch_path(t.spark, "live-redated-inbox")
+    for sent in (received, again):
+        sent.repartitionByRange(2, "order_id").write.mode("append").parquet(inbox)
+        stream = live.file_stream(t.spark, inbox, received.schema, max_files=1)
+        live.upsert_stream(stream, layers, state).awaitTermination()
+    stored = layers.read(t.spark, LIVE_ORDERS)
+    # a day is stored only for orders that came with a time
+    shown = F.when(F.col(LIVE_ORDERS.stored_by).isNotNull(), F.col("order_timestamp"))
+    return stored.select(
+        F.col("order_id").cast("bigint"),
+        F.col("customer_id").cast("bigint"),
+        "product_id",
+        "order_value",
+        shown.cast("timestamp_ntz").alias("received"),
+    )

@@ -35,6 +35,8 @@ class TableContract:
     stamped: tuple[str, ...] = ()
     # an added column that Parquet layers keep the table's folders by
     stored_by: str | None = None
+    # columns that single rows are looked up by; Parquet layers keep Bloom filters of them
+    looked_up: tuple[str, ...] = ()
 
     @property
     def qualified_name(self) -> str:
@@ -225,6 +227,7 @@ LIVE_ORDERS = TableContract(
     primary_key=("order_id",),
     stamped=("order_timestamp", "processed_at"),
     stored_by="order_date",
+    looked_up=("order_id",),
 )
 
 REJECTS = TableContract(
@@ -233,7 +236,9 @@ REJECTS = TableContract(
     schema=T.StructType(
         [
             _text("table_name"),
-            T.StructField("rejected_columns", T.ArrayType(T.StringType())),
+            T.StructField(
+                "rejected_columns", T.ArrayType(T.StringType()), True, {"database_type": "STRING"}
+            ),
             T.StructField("broken_line", T.BooleanType()),
             T.StructField("raw_text", T.StringType()),
         ]
@@ -241,6 +246,22 @@ REJECTS = TableContract(
     primary_key=(),
 )
 
+LANDED_FILES = TableContract(
+    name="landed_files",
+    layer=RAW,
+    schema=T.StructType(
+        [
+            T.StructField("batch", T.StringType()),
+            _text("table_name"),
+            T.StructField("path", T.StringType()),
+            T.StructField("length", T.LongType()),
+            _time("modified"),
+            T.StructField("done", T.BooleanType()),
+        ]
+    ),
+    primary_key=(),
+)
+
 FINDINGS = TableContract(
     name="findings",
     layer=RAW,

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermill.contracts import (
@@ -31,6 +31,7 @@ from ordermill.sinks.append import append_missing
 from ordermill.sinks.counted import Written
 from ordermill.sinks.jdbc import JdbcLayers
 from ordermill.sinks.layers import Layers
+from ordermill.sources.files import CheckedCsv
 from ordermill.sources.registry import LOADED, LoadResult, RawRead, load_raw, loaded_frames
 
 # names under which a landing write counts rejected cells and broken lines
@@ -54,6 +55,15 @@ def _without_keys(target: Layers, contract: TableContract) -> bool:
     return isinstance(target, JdbcLayers) and contract.name in REFERENCED
 
 
+def landing_metrics(read: CheckedCsv) -> dict[str, Column]:
+    """Rejected cells by column, broken lines and nulls by column, counted in one pass."""
+    metrics = {f"{REJECTED}{c}": F.count_if(bad) for c, bad in read.rejections().items()}
+    metrics[BROKEN] = F.count_if(read.broken())
+    for f in read.schema:
+        metrics[f.name] = F.count_if(F.col(f"`{f.name}`").try_cast(f.dataType).isNull())
+    return metrics
+
+
 def land_raw(
     spark: SparkSession,
     root: str,
@@ -72,17 +82,15 @@ def land_raw(
 
     def land(read: RawRead, contract: TableContract) -> tuple[DataFrame, Written]:
         if isinstance(read, DataFrame):
-            frame, columns, metrics = read, None, {}
-            nulls = {c: F.col(f"`{c}`").isNull() for c in frame.columns}
+            frame, columns = read, None
+            metrics = {c: F.count_if(F.col(f"`{c}`").isNull()) for c in frame.columns}
         else:
-            frame, columns = read.text, read.typed()
-            nulls = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType).isNull() for f in read.schema}
-            metrics = {f"{REJECTED}{c}": F.count_if(bad) for c, bad in read.rejections().items()}
-            metrics[BROKEN] = F.count_if(read.broken())
-        metrics |= {c: F.count_if(is_null) for c, is_null in nulls.items()}
+            frame, columns, metrics = read.text, read.typed(), landing_metrics(read)
         if _without_keys(target, contract):
+            # the rows that are appended are not all rows of the file, so these are counted apart
+            counted = frame.agg(*[m.alias(name) for name, m in metrics.items()]).first().asDict()
             shaped = frame.select(*columns) if columns else frame
-            written = append_missing(shaped, contract, target)
+            written = Written(append_missing(shaped, contract, target).rows, counted)
         else:
             written = target.write(frame, contract, metrics=metrics, columns=columns)
         counted = written.metrics
@@ -95,7 +103,7 @@ def land_raw(
     results = load_raw(spark, root, land, pattern, infer, aliases)
     if not loaded_frames(results):
         raise NoDataError(f"no raw table could be loaded from {root}")
-    if not infer and not isinstance(target, JdbcLayers):
+    if not infer:
         nothing = spark.createDataFrame([], REJECTS.schema)
         target.write(reduce(DataFrame.unionByName, rejected, nothing), REJECTS)
     return LandingReport(results)

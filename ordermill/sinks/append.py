@@ -12,19 +12,24 @@ from ordermill.operators.ranking import top_per_group
 from ordermill.sinks.counted import Written
 from ordermill.sinks.layers import Layers
 
+# Keys of a batch that are listed in the look-up; 10,000 keys of 32 bytes are some 300 KB.
+LISTED = 10_000
+
 
 def held_keys(df: DataFrame, contract: TableContract, target: Layers) -> DataFrame:
     """The target's keys that rows of ``df`` may meet.
 
-    A table stored by a column is read only in the folders whose value occurs in ``df``, so
-    the cost of an append follows the batch, not the history. Days are few; they are listed.
+    The first key column of a batch of up to LISTED keys goes to the target's scan as a list:
+    Parquet skips row groups whose Bloom filter holds none of them, a database uses its index.
+    So a small batch costs what it holds, however long the history. A larger batch meets the
+    keys of the whole target.
     """
     held = target.read(df.sparkSession, contract)
-    column = contract.stored_by
-    if column and column in held.columns and column in df.columns:
-        values = [r[0] for r in df.select(column).distinct().collect()]
-        inside = F.col(column).isin([v for v in values if v is not None])
-        held = held.filter(inside | F.col(column).isNull() if None in values else inside)
+    first = contract.primary_key[0]
+    values = [r[0] for r in df.select(first).distinct().limit(LISTED + 1).collect()]
+    if len(values) <= LISTED:
+        inside = F.col(first).isin([v for v in values if v is not None])
+        held = held.filter(inside | F.col(first).isNull() if None in values else inside)
     return held.select(*[F.col(k).alias(f"_held_{k}") for k in contract.primary_key])
 
 

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ordermill.contracts import CONTRACTS, LAYERS, TableContract
 from ordermill.session import scratch_path
 from ordermill.sinks.counted import Written, write_counted
+from ordermill.sinks.snapshots import Versions
 from ordermill.sources.files import path_exists
 
+# the column that tells the parts of a table that is landed in increments
+PART = "landing"
+
 
 class Layers(Protocol):
     """Anywhere tables rest: Parquet folders, the catalog or a database."""
@@ -32,38 +36,51 @@ class Layers(Protocol):
     ) -> Written: ...
 
 
-def swap_in(spark: SparkSession, fresh: str, path: str) -> None:
-    """Put a finished folder in the place of another, which is kept until that is done."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    new, old, kept = (hadoop.Path(p) for p in (fresh, path, f"{fresh}-before"))
-    system = new.getFileSystem(spark._jsc.hadoopConfiguration())
-    had = system.exists(old)
-    if had and not system.rename(old, kept):
-        raise OSError(f"could not move {path} aside")
-    if not system.rename(new, old):
-        if had:
-            system.rename(kept, old)
-        raise OSError(f"could not move {fresh} to {path}")
-    if had:
-        system.delete(kept, True)
-
-
 @dataclass(frozen=True)
 class PathLayers:
-    """``root/layer/table`` Parquet folders; the layer comes from the table's contract."""
+    """``root/layer/table`` folders of Parquet; the layer comes from the table's contract.
+
+    Tables are kept in published versions (``snapshots``), of which the last ``keep`` stay.
+    """
 
     root: str
+    keep: int = 2
 
     def path(self, contract: TableContract) -> str:
         return f"{self.root.rstrip('/')}/{contract.layer}/{contract.name}"
 
+    def versions(self, spark: SparkSession, contract: TableContract) -> Versions:
+        return Versions(spark, self.path(contract))
+
     def exists(self, spark: SparkSession, contract: TableContract) -> bool:
-        path = self.path(contract)
-        return any(path_exists(spark, f"{path}/{files}") for files in ("part-*", "*/part-*"))
+        current = self.versions(spark, contract).current()
+        return current is not None and any(
+            path_exists(spark, f"{current.path}/{files}") for files in ("part-*", "*/part-*")
+        )
 
-    def read(self, spark: SparkSession, contract: TableContract) -> DataFrame:
-        """The table, with the column it is stored by if it has one."""
-        return spark.read.parquet(self.path(contract))
+    def read(
+        self, spark: SparkSession, contract: TableContract, version: int | None = None
+    ) -> DataFrame:
+        """The current version or that of a number, with the column it is stored by if it has one.
+
+        The frame stays with the version that it was made on, whatever is published later.
+        """
+        found = self.versions(spark, contract).current(version)
+        # a table that is not there fails as any path that is not there
+        return spark.read.parquet(found.path if found else self.path(contract)).drop(PART)
+
+    def recover(self, spark: SparkSession, contracts: Iterable[TableContract]) -> list[str]:
+        """Undo what a lost writer of these tables left half done; before the first write."""
+        return [name for c in contracts for name in self.versions(spark, c).recover()]
+
+    def _writer(self, df: DataFrame, contract: TableContract):
+        writer = df.write
+        for column in contract.looked_up:
+            # as large as the file's keys need
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(
+                "parquet.bloom.filter.adaptive.enabled", "true"
+            )
+        return writer
 
     def write(
         self,
@@ -75,19 +92,51 @@ class PathLayers:
     ) -> Written:
         """Write with any save mode: overwrite, append, ignore or error.
 
-        An overwrite is written beside the table and takes its place once it is whole, so a
-        failing source leaves the table as it was.
+        An overwrite is a new version, published once it is whole: whatever fails before, the
+        table stays as it was. An append adds to the current version.
         """
-        path = self.path(contract)
 
         def write(d: DataFrame) -> None:
-            at = f"{self.root.rstrip('/')}/{contract.layer}/.{contract.name}-{uuid.uuid4().hex}"
-            writer = d.write.mode("error" if mode == "overwrite" else mode)
+            versions = self.versions(d.sparkSession, contract)
+            current = versions.current()
+            writer = self._writer(d, contract)
             if contract.stored_by in d.columns:
                 writer = writer.partitionBy(contract.stored_by)
-            writer.parquet(at if mode == "overwrite" else path)
-            if mode == "overwrite":
-                swap_in(d.sparkSession, at, path)
+            if current and mode != "overwrite":
+                writer.mode(mode).parquet(current.path)
+                return
+            fresh = versions.fresh()
+            writer.mode("error").parquet(fresh)
+            versions.publish(fresh)
+            versions.tidy(self.keep)
+
+        return write_counted(df, write, metrics, columns)
+
+    def write_part(
+        self,
+        df: DataFrame,
+        contract: TableContract,
+        part: str,
+        metrics: Mapping[str, Column] | None = None,
+        columns: Sequence[Column | str] | None = None,
+    ) -> Written:
+        """Write a named part of the table; written again, it takes its own place.
+
+        A table is kept either whole or in parts.
+        """
+
+        def write(d: DataFrame) -> None:
+            versions = self.versions(d.sparkSession, contract)
+            current = versions.current() or versions.publish(versions.fresh())
+            if path_exists(d.sparkSession, f"{current.path}/part-*"):
+                raise ValueError(f"{contract.qualified_name} is kept whole, not in parts")
+            (
+                self._writer(d.withColumn(PART, F.lit(part)), contract)
+                .partitionBy(PART)
+                .option("partitionOverwriteMode", "dynamic")
+                .mode("overwrite")
+                .parquet(current.path)
+            )
 
         return write_counted(df, write, metrics, columns)
 

@@ -65,7 +65,7 @@ class CheckedCsv:
 
 def read_checked_csv(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     schema: StructType,
     aliases: Mapping[str, str] | None = None,
 ) -> CheckedCsv:

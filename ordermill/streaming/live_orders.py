@@ -96,12 +96,12 @@ def upsert_stream(
 ) -> StreamingQuery:
     """Append to any target the orders it does not hold yet; takes orders as received.
 
-    Without stream state: the target's keys take its place. Repeats within a batch are dropped
-    map-side first, so a hot id moves as one row per task. A batch that is replayed after its
-    write finds its rows in the target and adds nothing. Parquet targets keep a folder per day
-    of the received time, one for orders without a time, and only the days of a batch are
-    looked up. The rule that goes with it: an order keeps its time; sent again with another
-    day, it is another order.
+    Without stream state: the target's keys take its place, for the life of the target and
+    whatever the times. Of an order sent again, with the same or another day or none, the one
+    that was stored first stays. Repeats within a batch are dropped map-side first, so a hot id
+    moves as one row per task. A batch that is replayed after its write finds its rows in the
+    target and adds nothing. Parquet targets keep a folder per day of the received time, one for
+    orders without a time, and Bloom filters of the ids: see ``held_keys`` for what a batch costs.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:

@@ -106,23 +106,47 @@ def test_an_absent_time_does_not_make_later_orders_late(spark, tmp_path):
     assert got == [(f"o{i}",) for i in range(5)]
 
 
-def test_upsert_looks_up_only_the_days_of_the_batch(spark, tmp_path):
-    target = PathLayers(str(tmp_path / "w"))
+def _orders(spark, *ids, at="2024-01-01 10:00:00"):
+    frame = spark.createDataFrame([(i, "c", "p", None, day(at)) for i in ids], INCOMING)
+    return live.live_orders(
+        frame.withColumn("order_date", F.to_date("order_timestamp")), keep=["order_date"]
+    )
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
 
-    def batch(*days):
-        made = [(f"o{d}", "c", "p", None, day(f"2024-01-0{d} 10:00:00")) for d in days]
-        frame = spark.createDataFrame(made, INCOMING)
-        return live.live_orders(
-            frame.withColumn("order_date", F.to_date("order_timestamp")), keep=["order_date"]
-        )
-
-    assert append_missing(batch(1, 2, 3), LIVE_ORDERS, target).rows == 3
-    held = held_keys(batch(2), LIVE_ORDERS, target)
-    plan = held._jdf.queryExecution().executedPlan().toString()
-    filters = plan[plan.index("PartitionFilters: ") :].split("]")[0]
-    assert "order_date" in filters and "2024-01-02" in filters and "2024-01-03" not in filters
+def test_upsert_looks_up_the_keys_of_the_batch(spark, tmp_path, monkeypatch):
+    target = PathLayers(str(tmp_path / "w"))
+    assert append_missing(_orders(spark, "o1", "o2", "o3"), LIVE_ORDERS, target).rows == 3
+    held = held_keys(_orders(spark, "o2", at="2024-05-05 00:00:00"), LIVE_ORDERS, target)
+    pushed = _plan(held).split("PushedFilters: ")[1].split("]")[0]
+    assert "order_id" in pushed and "o2" in pushed and "PartitionFilters: []" in _plan(held)
     assert rows(held, "_held_order_id") == [("o2",)]
-    assert append_missing(batch(2, 4), LIVE_ORDERS, target).rows == 1
+    # another day is the same order
+    again = _orders(spark, "o2", "o4", at="2024-02-02 00:00:00")
+    assert append_missing(again, LIVE_ORDERS, target).rows == 1
+    monkeypatch.setattr("ordermill.sinks.append.LISTED", 1)
+    big = _orders(spark, "o1", "o4", "o5")
+    assert "o5" not in _plan(held_keys(big, LIVE_ORDERS, target))
+    assert append_missing(big, LIVE_ORDERS, target).rows == 1
+
+
+def test_stored_orders_have_bloom_filters_of_their_ids(spark, tmp_path):
+    target = PathLayers(str(tmp_path / "w"))
+    ids = spark.range(20_000).select(F.format_string("o%08d", F.col("id") * 2).alias("order_id"))
+    orders = ids.select(
+        "order_id", F.lit("c").alias("customer_id"), F.lit("p").alias("product_id"),
+        F.lit(1).cast("decimal(10,2)").alias("order_value"), F.lit(day("2024-01-01 00:00:00")).alias("order_timestamp"),
+    )
+    target.write(live.live_orders(orders.coalesce(1)), LIVE_ORDERS)
+    # between the smallest and the largest id, so only the filter can tell that it is absent
+    for absent, scanned in (("o00010001", 0), ("o00010000", 20_000)):
+        found = target.read(spark, LIVE_ORDERS).filter(F.col("order_id").isin([absent]))
+        found.collect()
+        scans = found._jdf.queryExecution().executedPlan().collectLeaves()
+        assert scans.head().metrics().apply("numOutputRows").value() == scanned
 
 
 def test_upsert_adds_nothing_on_replay(spark, inbox, tmp_path):
