@@ -9,7 +9,7 @@ from ordermill.catalog.operator_checks import CUSTOMER_TOTALS_SQL, RANKED_SQL
 from ordermill.catalog.registry import check
 from ordermill.contracts import CUSTOMER_METRICS, DAILY_SALES, PRODUCT_PERFORMANCE
 from ordermill.operators.quality import conform
-from ordermill.plans import jobs, marts
+from ordermill.plans import carried_marts, jobs, marts
 from ordermill.session import scratch_path
 from ordermill.sinks.layers import PathLayers
 
@@ -42,16 +42,18 @@ def _mean_sql(cents: str, n: str, declared: str) -> str:
     return f"CAST(CAST({mean} AS DECIMAL(18,0)) / 100 AS {declared})"
 
 
-@check(
-    "customer_metrics",
+_CUSTOMER_SQL = (
     RANKED_SQL
     + CUSTOMER_TOTALS_SQL
     + """
 SELECT c.* EXCLUDE (spent_cents, priced_orders), r.product_category_name AS favorite_category
 FROM customer_totals c
 LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) r USING (customer_id)
-""",
+"""
 )
+
+
+@check("customer_metrics", _CUSTOMER_SQL)
 def customer_metrics(t):
     return _customer_metrics(t)
 
@@ -70,7 +72,10 @@ _DAILY_SQL = """
 """
 
 
-@check("daily_sales", _DAILY_SQL + "SELECT * EXCLUDE (cents, priced) FROM daily")
+_DAILY_MART_SQL = _DAILY_SQL + "SELECT * EXCLUDE (cents, priced) FROM daily"
+
+
+@check("daily_sales", _DAILY_MART_SQL)
 def daily_sales(t):
     return _daily_sales(t)
 
@@ -87,15 +92,17 @@ _PRODUCT_SQL = """
 """
 
 
-@check(
-    "product_performance",
+_PRODUCT_MART_SQL = (
     _PRODUCT_SQL
     + """
 SELECT s.product_id, p.product_category_name, s.total_quantity_sold, s.total_revenue,
        s.avg_price, s.total_orders
 FROM sold s JOIN t_products p ON s.product_id = p.product_id
-""",
+"""
 )
+
+
+@check("product_performance", _PRODUCT_MART_SQL)
 def product_performance(t):
     return _product_performance(t)
 
@@ -160,3 +167,40 @@ def mart_run_summary(t):
     target = PathLayers(scratch_path(t.spark, "marts"))
     written = jobs.build_marts(t.orders(), t.items(), t.products(), target, DELIVERED_CODE)
     return jobs.mart_summary(t.spark, written)
+
+
+def _carried(t, mart):
+    """A mart out of the state of two batches that mix old and new orders, customers and days.
+
+    Some orders and products come only with the second batch, after items of theirs.
+    """
+    target = PathLayers(scratch_path(t.spark, "carried"))
+    orders, products, items = t.orders(), t.products(), t.items()
+    early = (F.col("order_id") + F.col("order_item_id")) % 3 != 0
+    carried_marts.carry_on(
+        "first",
+        orders.filter("order_id % 5 <> 0"),
+        items.filter(early),
+        products.filter("product_id % 7 <> 0"),
+        target,
+        DELIVERED_CODE,
+    )
+    for batch in ("second", "second"):
+        carried_marts.carry_on(batch, orders, items.filter(~early), products, target, DELIVERED_CODE)
+    return carried_marts.finished(carried_marts.stored_state(t.spark, target), products)[mart]
+
+
+@check("customer_metrics_increment", _CUSTOMER_SQL)
+def customer_metrics_increment(t):
+    return _carried(t, CUSTOMER_METRICS.name).withColumn("customer_id", F.col("customer_id").cast("bigint"))
+
+
+@check("daily_sales_increment", _DAILY_MART_SQL)
+def daily_sales_increment(t):
+    return _carried(t, DAILY_SALES.name)
+
+
+@check("product_performance_increment", _PRODUCT_MART_SQL)
+def product_performance_increment(t):
+    found = _carried(t, PRODUCT_PERFORMANCE.name)
+    return found.withColumn("product_id", F.col("product_id").cast("bigint"))

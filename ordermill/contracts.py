@@ -262,6 +262,30 @@ LANDED_FILES = TableContract(
     primary_key=(),
 )
 
+# partial aggregates that marts are carried on from; its rows are of several kinds
+MART_STATE = TableContract(
+    name="mart_state",
+    layer=STAGING,
+    schema=T.StructType(
+        [
+            T.StructField("kind", T.StringType()),
+            T.StructField("batch", T.StringType()),
+            _text("customer_id"),
+            _text("order_id"),
+            _text("product_id"),
+            _text("category"),
+            _day("sale_date"),
+            _time("order_time"),
+            _whole("order_item_id"),
+            _money("price", 10),
+            _money("freight_value", 10),
+            *(T.StructField(c, T.LongType()) for c in ("line_count", "cents", "priced", "quantity")),
+        ]
+    ),
+    primary_key=(),
+    stored_by="kind",
+)
+
 FINDINGS = TableContract(
     name="findings",
     layer=RAW,

@@ -54,6 +54,12 @@ def customer_metrics(
         F.min("order_purchase_timestamp").alias("order_time"),
         F.count(F.lit(1)).alias("line_count"),
     )
+    return customers_of(parts)
+
+
+def customers_of(parts: DataFrame) -> DataFrame:
+    """The customer mart out of one row per (customer, order) and one per (customer, category)."""
+    customer, category = F.col("customer_id"), F.col("category")
     is_order = F.col("is_order") == 1
     preference = F.struct(-F.col("line_count"), category.isNull(), category)
     per_customer = parts.groupBy("customer_id").agg(
@@ -95,6 +101,11 @@ def daily_sales(orders: DataFrame, items: DataFrame, status: str = DELIVERED) ->
         F.count_distinct("customer_id").alias("unique_customers"),
         F.count("cents").alias("priced_lines"),
     )
+    return days_of(per_day)
+
+
+def days_of(per_day: DataFrame) -> DataFrame:
+    """The daily mart out of counts and cents per day."""
     return per_day.select(
         "sale_date",
         "total_orders",
