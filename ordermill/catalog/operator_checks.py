@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ordermill.catalog.mapping import DELIVERED_CODE, Tables
 from ordermill.catalog.registry import check
 from ordermill.functions import days_between, line_amount, mean, money, sale_date
-from ordermill.operators import aggregates, ranking, relational
+from ordermill.operators import aggregates, bitmaps, ranking, relational
 from ordermill.plans import marts
+from ordermill.session import scratch_root
 
 
 def _delivered(t: Tables):
@@ -448,3 +449,39 @@ def sort_products_by_revenue(t):
     return ranking.with_position(
         products.select("product_id", "total_revenue"), ranking.by_revenue()
     )
+
+
+@check(
+    "distinct_customers_rollup",
+    """
+SELECT grain, period, count(DISTINCT customer_id) AS unique_customers
+FROM (
+  SELECT customer_id, CAST(order_purchase_timestamp AS DATE) AS day FROM t_orders
+), LATERAL (
+  SELECT unnest(['day', 'week', 'month']) AS grain,
+         unnest([day, CAST(date_trunc('week', day) AS DATE), CAST(date_trunc('month', day) AS DATE)]) AS period
+)
+GROUP BY ALL
+""",
+)
+def distinct_customers_rollup(t):
+    """Days are read from the orders, in two halves; weeks and months from the days' bitmaps."""
+    scratch_root(t.spark)
+    orders = t.orders().select("customer_id", "order_id", sale_date().alias("day"))
+    halves = [
+        bitmaps.member_bitmaps(orders.filter(f"order_id % 2 = {half}"), ["day"], "customer_id")
+        for half in (0, 1)
+    ]
+    days = bitmaps.merge_bitmaps(halves[0].union(halves[1]), ["day"]).checkpoint()
+    grains = {
+        "day": F.col("day"),
+        "week": F.date_trunc("week", "day").cast("date"),
+        "month": F.date_trunc("month", "day").cast("date"),
+    }
+    counts = [
+        bitmaps.members(
+            bitmaps.merge_bitmaps(days, [period.alias("period")]), ["period"], "unique_customers"
+        ).select(F.lit(grain).alias("grain"), "period", "unique_customers")
+        for grain, period in grains.items()
+    ]
+    return counts[0].union(counts[1]).union(counts[2])

@@ -6,12 +6,15 @@ import dataclasses
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StructField, StructType
 
 from ordermill.catalog.mapping import DELIVERED_CODE
 from ordermill.catalog.registry import check
 from ordermill.contracts import ORDERS, RAW_TABLES
-from ordermill.operators import quality, relational
+from ordermill.operators import carried_keys, quality, relational
+from ordermill.session import scratch_path
+from ordermill.sinks.layers import PathLayers
 
 # Contract columns that the given tables have no counterpart for: null in every row.
 _ABSENT = {
@@ -72,9 +75,7 @@ def null_verdict(t):
     return quality.null_verdict({**t.contract_frames(), "part": t.given("part")})
 
 
-@check(
-    "pk_violations",
-    """
+_PK_SQL = """
 SELECT 'customers' AS table_name, CAST(customer_id AS VARCHAR) AS key_value,
        'duplicate' AS problem, count(*) AS row_count
 FROM t_customers GROUP BY customer_id HAVING count(*) > 1
@@ -88,8 +89,10 @@ FROM t_items GROUP BY order_id, order_item_id HAVING count(*) > 1
 UNION ALL
 SELECT 'products', CAST(product_id AS VARCHAR), 'duplicate', count(*)
 FROM t_products GROUP BY product_id HAVING count(*) > 1
-""",
-)
+"""
+
+
+@check("pk_violations", _PK_SQL)
 def pk_violations(t):
     return quality.primary_key_violations(t.contract_frames(), RAW_TABLES)
 
@@ -243,3 +246,40 @@ def contract_findings(t):
     orders = dataclasses.replace(ORDERS, schema=StructType(fields))
     contracts = [orders if c.name == "orders" else c for c in RAW_TABLES]
     return quality.contract_findings(frames, contracts)
+
+
+def _noted(t):
+    """Key counts of three landings; the second one is landed twice."""
+    target = PathLayers(scratch_path(t.spark, "keys"))
+    for batch in (0, 1, 1, 2):
+        frames = {
+            name: frame.filter(F.abs(F.xxhash64(*frame.columns[:2])) % 3 == batch)
+            for name, frame in t.contract_frames().items()
+        }
+        carried_keys.note_keys(f"b{batch}", frames, RAW_TABLES, target)
+    return target
+
+
+@check("pk_violations_increment", _PK_SQL)
+def pk_violations_increment(t):
+    """Rows land in three batches; keys are checked against stored counts."""
+    return carried_keys.key_problems(t.spark, _noted(t))
+
+
+@check(
+    "fk_violations_increment",
+    """
+SELECT 'orders.customer_id->customers.customer_id' AS rule, CAST(customer_id AS VARCHAR) AS key_value,
+       count(*) AS orphan_rows
+FROM t_orders WHERE customer_id % 10 = 0 GROUP BY customer_id
+""",
+)
+def fk_violations_increment(t):
+    """Orders land before their customers, of which every tenth never comes."""
+    target = PathLayers(scratch_path(t.spark, "keys"))
+    frames = t.contract_frames()
+    late = {"customers": frames["customers"].filter("customer_id % 10 <> 0"), "products": frames["products"]}
+    first = {name: frames[name] for name in ("orders", "order_items")}
+    for batch, landed in (("first", first), ("late", late)):
+        carried_keys.note_keys(batch, landed, RAW_TABLES, target)
+    return carried_keys.missing_parents(t.spark, target)

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ordermill.catalog.mapping import Tables
 from ordermill.catalog.quality_checks import NULLS_SQL
 from ordermill.catalog.registry import check
-from ordermill.contracts import LIVE_ORDERS, ORDER_ITEMS, PRODUCTS
+from ordermill.contracts import LIVE_ORDERS, LIVE_REJECTS, ORDER_ITEMS, PRODUCTS
 from ordermill.operators.quality import conform
 from ordermill.plans import increments, jobs
 from ordermill.session import scratch_path
 from ordermill.sinks.layers import PathLayers
 from ordermill.sources.files import read_csv
+from ordermill.sources.inference import read_inferred_csv
 from ordermill.streaming import live_orders as live
 
 
@@ -57,6 +58,55 @@ def csv_scan_schema(t):
     )
 
 
+@check(
+    "csv_inferred_types",
+    """
+, cells AS (
+  SELECT unnest(['order_id', 'order_item_id', 'code', 'price', 'freight_value', 'shipping_limit_date', 'mixed']) AS column_name,
+         unnest([CAST(order_id AS VARCHAR), CAST(order_item_id AS VARCHAR), '0' || order_item_id,
+                 CAST(price AS VARCHAR), CAST(freight_value AS VARCHAR),
+                 CASE WHEN order_item_id = 1 THEN CAST(CAST(shipping_limit_date AS DATE) AS VARCHAR)
+                      ELSE strftime(shipping_limit_date, '%Y-%m-%d %H:%M:%S') END,
+                 CASE WHEN order_item_id = 2 THEN 'n/a' ELSE CAST(order_id AS VARCHAR) END]) AS cell
+  FROM t_items_gaps
+), kinds AS (
+  SELECT *, CASE WHEN regexp_full_match(cell, '-?(0|[1-9][0-9]*)') THEN 'int'
+    WHEN regexp_full_match(cell, '-?(0|[1-9][0-9]*)[.][0-9]+') THEN 'decimal'
+    WHEN regexp_full_match(cell, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'date'
+    WHEN regexp_full_match(cell, '[0-9]{4}-[0-9]{2}-[0-9]{2} .*') THEN 'timestamp' ELSE 'string' END AS kind
+  FROM cells WHERE cell IS NOT NULL
+), found AS (
+  SELECT column_name, list(DISTINCT kind) AS kinds, max(length(cell)) FILTER (kind = 'decimal') AS size,
+    min(cell) FILTER (kind = 'timestamp') AS a_time, min(cell) FILTER (kind = 'string') AS a_text
+  FROM kinds GROUP BY column_name
+)
+SELECT column_name, CASE WHEN kinds = ['decimal'] THEN 'decimal(' || (size - 1) || ',2)'
+    WHEN len(kinds) = 1 THEN kinds[1] WHEN list_contains(kinds, 'string') THEN 'string' ELSE 'timestamp' END AS data_type,
+  CASE WHEN len(kinds) > 1 THEN coalesce(a_text, a_time) END AS widening_cell
+FROM found
+""",
+)
+def csv_inferred_types(t):
+    """Codes keep their zeros, one text makes a column text, dates among times become times."""
+    line, shipped = F.col("order_item_id"), F.col("shipping_limit_date")
+    path = _csv(
+        t.items_with_gaps().select(
+            "order_id",
+            "order_item_id",
+            F.concat(F.lit("0"), line.cast("string")).alias("code"),
+            "price",
+            "freight_value",
+            F.when(line == 1, F.date_format(shipped, "yyyy-MM-dd"))
+            .otherwise(F.date_format(shipped, "yyyy-MM-dd HH:mm:ss"))
+            .alias("shipping_limit_date"),
+            F.when(line == 2, "n/a").otherwise(F.col("order_id").cast("string")).alias("mixed"),
+        ),
+        scratch_path(t.spark, "untyped-csv"),
+    )
+    _, account = read_inferred_csv(t.spark, path, "order_items")
+    return account.select("column_name", "data_type", "widening_cell")
+
+
 @check(
     "raw_landing_counts",
     """
@@ -277,3 +327,46 @@ def live_orders_redated(t):
         "order_value",
         shown.cast("timestamp_ntz").alias("received"),
     )
+
+
+@check(
+    "live_orders_rejects",
+    """
+SELECT 'stored' AS outcome, order_id, NULL AS columns FROM t_purchases
+WHERE customer_id % 7 NOT IN (0, 1)
+UNION ALL
+SELECT 'rejected', order_id, CASE customer_id % 7 WHEN 0 THEN 'order_value' ELSE 'order_value,order_timestamp' END
+FROM t_purchases WHERE customer_id % 7 IN (0, 1)
+""",
+)
+def live_orders_rejects(t):
+    """Orders as text, some with a value too wide or no number and a time that is none."""
+    received = t.purchases(t.given("events"))
+    kind = F.col("customer_id") % 7
+    broken = received.select(
+        F.col("order_id").cast("string").alias("order_id"),
+        F.col("customer_id").cast("string").alias("customer_id"),
+        "product_id",
+        F.when(kind == 0, F.lit("123456789.01"))
+        .when(kind == 1, F.lit("n/a"))
+        .otherwise(F.col("order_value").cast("string"))
+        .alias("order_value"),
+        F.when(kind == 1, F.lit("yesterday")).otherwise(F.col("order_timestamp").cast("string")).alias("order_timestamp"),
+    )
+    inbox = scratch_path(t.spark, "live-text")
+    broken.repartitionByRange(2, "order_id").write.parquet(inbox)
+    layers = PathLayers(scratch_path(t.spark, "live-rejects"))
+    stream = live.file_stream(t.spark, inbox, broken.schema, max_files=1)
+    state = scratch_path(t.spark, "live-rejects-state")
+    live.upsert_text_stream(stream, "text_orders", layers, state).awaitTermination()
+    stored = layers.read(t.spark, LIVE_ORDERS).select(
+        F.lit("stored").alias("outcome"),
+        F.col("order_id").cast("bigint"),
+        F.lit(None).cast("string").alias("columns"),
+    )
+    rejects = layers.read(t.spark, LIVE_REJECTS).select(
+        F.lit("rejected").alias("outcome"),
+        F.get_json_object("raw_order", "$.order_id").cast("bigint").alias("order_id"),
+        F.array_join("rejected_columns", ",").alias("columns"),
+    )
+    return stored.union(rejects)

@@ -262,6 +262,36 @@ LANDED_FILES = TableContract(
     primary_key=(),
 )
 
+KEY_COUNTS = TableContract(
+    name="key_counts",
+    layer=RAW,
+    schema=T.StructType(
+        [
+            T.StructField("rule", T.StringType()),
+            T.StructField("key_value", T.StringType()),
+            T.StructField("has_null", T.BooleanType()),
+            T.StructField("row_count", T.LongType()),
+        ]
+    ),
+    primary_key=(),
+    looked_up=("key_value",),
+)
+
+LIVE_REJECTS = TableContract(
+    name="live_rejects",
+    layer=STREAMING,
+    schema=T.StructType(
+        [
+            T.StructField("raw_order", T.StringType()),
+            T.StructField(
+                "rejected_columns", T.ArrayType(T.StringType()), True, {"database_type": "STRING"}
+            ),
+            _time("rejected_at"),
+        ]
+    ),
+    primary_key=(),
+)
+
 # partial aggregates that marts are carried on from; its rows are of several kinds
 MART_STATE = TableContract(
     name="mart_state",

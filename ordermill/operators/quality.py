@@ -16,7 +16,7 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _label(keys: Sequence[str]) -> Column:
+def key_label(keys: Sequence[str]) -> Column:
     """Printable key: the value itself, or all parts of a composite key as a JSON array."""
     if len(keys) == 1:
         return F.col(keys[0]).cast("string")
@@ -69,7 +69,7 @@ def key_violations(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
         .filter(F.col("problem").isNotNull())
         .select(
             F.lit(table).alias("table_name"),
-            _label(keys).alias("key_value"),
+            key_label(keys).alias("key_value"),
             "problem",
             "row_count",
         )
@@ -141,7 +141,7 @@ def length_violations(
     )
     return df.filter(too_long).select(
         F.lit(table).alias("table_name"),
-        _label(keys).alias("key_value"),
+        key_label(keys).alias("key_value"),
         F.inline(F.filter(checks, lambda x: x["actual_length"] > x["max_length"])),
     )
 
@@ -169,61 +169,106 @@ def decimal_violations(
     )
     return df.filter(reduce(Column.__or__, overflows.values())).select(
         F.lit(table).alias("table_name"),
-        _label(keys).alias("key_value"),
+        key_label(keys).alias("key_value"),
         F.inline(F.filter(checks, lambda x: x["overflows"])),
     ).drop("overflows")
 
 
+def row_findings(df: DataFrame, contract: TableContract) -> DataFrame:
+    """Breaches that a row shows by itself, lengths and decimal ranges: one scan for all rules."""
+    nothing = F.lit(None).cast("string")
+    checks = []
+    for column, most in contract.max_lengths.items():
+        size = F.length(F.col(column).cast("string"))
+        problem = F.concat_ws(" > ", size, F.lit(most))
+        checks.append(("length", column, size > most, problem))
+    for column, declared in contract.decimals.items():
+        value = F.col(column)
+        problem = F.concat_ws(" is no ", value.cast("string"), F.lit(declared.simpleString()))
+        bad = value.isNotNull() & value.try_cast(declared).isNull()
+        checks.append(("decimal", column, bad, problem))
+    found = F.array(
+        *[
+            F.when(
+                F.coalesce(bad, F.lit(False)),
+                F.struct(F.lit(rule).alias("rule"), F.lit(column).alias("column_name"), problem.alias("problem")),
+            )
+            for rule, column, bad, problem in checks
+        ]
+    )
+    listed = df.select(
+        F.lit(contract.name).alias("table_name"),
+        (key_label(contract.primary_key) if contract.primary_key else nothing).alias("key_value"),
+        F.inline(F.filter(found, lambda x: x.isNotNull())),
+    )
+    return listed.select(
+        "rule",
+        "table_name",
+        "key_value",
+        "column_name",
+        "problem",
+        F.lit(1).cast("bigint").alias("row_count"),
+    )
+
+
 def contract_findings(
     frames: Mapping[str, DataFrame], contracts: Sequence[TableContract]
 ) -> DataFrame:
-    """Every breach of keys, references, lengths and decimal ranges, in one shape."""
-    nothing = F.lit(None).cast("string")
+    """Every breach of keys, references, lengths and decimal ranges, in one shape.
 
-    def found(df: DataFrame, rule: str, table, column, problem, count) -> DataFrame:
-        return df.select(
-            F.lit(rule).alias("rule"),
-            table.alias("table_name"),
-            F.col("key_value"),
-            column.alias("column_name"),
-            problem.alias("problem"),
-            count.cast("bigint").alias("row_count"),
-        )
-
-    name, one = F.col("table_name"), F.lit(1)
-    parts = [
-        found(
-            primary_key_violations(frames, contracts),
-            "primary_key",
-            name,
-            nothing,
-            F.col("problem"),
-            F.col("row_count"),
-        )
-    ]
-    known = [
-        c for c in contracts if all(fk.parent in frames for fk in c.foreign_keys) and c.foreign_keys
-    ]
-    if known:
-        parts.append(
-            found(
-                foreign_key_violations(frames, known),
-                "foreign_key",
-                F.substring_index("rule", ".", 1),
-                F.substring_index(F.substring_index("rule", "->", 1), ".", -1),
-                F.col("rule"),
-                F.col("orphan_rows"),
-            )
-        )
+    A table is scanned once for all rules that a row shows by itself, once for its primary key,
+    and once for a reference that does not begin that key. Key counts serve twice where they
+    can: as parents of other tables and, summed up, as children.
+    """
+    nothing = F.lit(None).cast("string")
+    keys = {
+        c.name: frames[c.name].groupBy(*c.primary_key).agg(F.count(F.lit(1)).alias("row_count"))
+        for c in contracts
+        if c.primary_key
+    }
+    parts = []
     for c in contracts:
-        if c.max_lengths:
-            long = length_violations(frames[c.name], c.name, c.primary_key, c.max_lengths)
-            over = F.concat_ws(" > ", "actual_length", "max_length")
-            parts.append(found(long, "length", name, F.col("column_name"), over, one))
-        if c.decimals:
-            wide = decimal_violations(frames[c.name], c.name, c.primary_key, c.decimals)
-            over = F.concat_ws(" is no ", "value", "declared_type")
-            parts.append(found(wide, "decimal", name, F.col("column_name"), over, one))
+        if c.name in keys:
+            has_null = reduce(Column.__or__, [F.col(k).isNull() for k in c.primary_key])
+            problem = F.when(has_null, "null").when(F.col("row_count") > 1, "duplicate")
+            parts.append(
+                keys[c.name]
+                .select(
+                    F.lit("primary_key").alias("rule"),
+                    F.lit(c.name).alias("table_name"),
+                    key_label(c.primary_key).alias("key_value"),
+                    nothing.alias("column_name"),
+                    problem.alias("problem"),
+                    "row_count",
+                )
+                .filter("problem IS NOT NULL")
+            )
+        for fk in c.foreign_keys:
+            if fk.parent not in frames:
+                continue
+            one = F.count(F.lit(1)).alias("row_count")
+            known = keys.get(fk.parent, frames[fk.parent].groupBy(fk.parent_column).agg(one))
+            if fk.column in c.primary_key:
+                child, rows = keys[c.name], F.sum("row_count")
+            else:
+                child, rows = frames[c.name], F.count(F.lit(1))
+            # conditions that stay above the key counts, so that the counts can be shared
+            listed = child.groupBy(F.col(fk.column).alias("_key")).agg(rows.alias("row_count"))
+            parent = known.filter("row_count > 0").select(F.col(fk.parent_column).alias("_parent"))
+            parts.append(
+                listed.filter(F.when(F.col("_key").isNotNull(), F.col("row_count")) > 0)
+                .join(parent, F.col("_key").eqNullSafe(F.col("_parent")), "left_anti")
+                .select(
+                    F.lit("foreign_key").alias("rule"),
+                    F.lit(c.name).alias("table_name"),
+                    F.col("_key").cast("string").alias("key_value"),
+                    F.lit(fk.column).alias("column_name"),
+                    F.lit(f"{c.name}.{fk.column}->{fk.parent}.{fk.parent_column}").alias("problem"),
+                    "row_count",
+                )
+            )
+        if c.max_lengths or c.decimals:
+            parts.append(row_findings(frames[c.name], c))
     return _union(parts)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,6 +112,10 @@ class PathLayers:
 
         return write_counted(df, write, metrics, columns)
 
+    def read_part(self, spark: SparkSession, contract: TableContract, part: str) -> DataFrame:
+        """One named part; the others are not listed."""
+        return spark.read.parquet(f"{self.versions(spark, contract).current().path}/{PART}={part}")
+
     def write_part(
         self,
         df: DataFrame,
@@ -146,10 +150,13 @@ class CatalogLayers:
     """One schema per layer in the session catalog.
 
     Tables are created from their contracts and then only filled, so an overwrite keeps
-    the declared types.
+    the declared types. ``buckets`` says by table which column its rows are dealt by, and into
+    how many buckets: tables with the same number of buckets on their common key are joined
+    and grouped by it without a shuffle. The number is fixed when a table is created.
     """
 
     location: str | None = None
+    buckets: Mapping[str, tuple[str, int]] = field(default_factory=dict)
 
     def create(self, spark: SparkSession, contracts=tuple(CONTRACTS.values())) -> None:
         """Create schemas and tables that do not exist yet; repeating it changes nothing."""
@@ -160,7 +167,11 @@ class CatalogLayers:
             columns = ", ".join(
                 f"`{f.name}` {f.dataType.simpleString()}" for f in c.schema.fields
             )
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {c.qualified_name} ({columns}) USING parquet")
+            dealt = ""
+            if c.name in self.buckets:
+                column, n = self.buckets[c.name]
+                dealt = f" CLUSTERED BY (`{column}`) SORTED BY (`{column}`) INTO {n} BUCKETS"
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {c.qualified_name} ({columns}) USING parquet{dealt}")
 
     def exists(self, spark: SparkSession, contract: TableContract) -> bool:
         return spark.catalog.tableExists(contract.qualified_name)
@@ -190,6 +201,10 @@ class CatalogLayers:
                 staged = scratch_path(d.sparkSession, contract.name)
                 ordered.write.parquet(staged)
                 ordered = d.sparkSession.read.parquet(staged)
+            if contract.name in self.buckets:
+                column, n = self.buckets[contract.name]
+                # one file per bucket and write; a hot key is one bucket's, as any bucketing has it
+                ordered = ordered.repartition(n, column)
             ordered.write.insertInto(contract.qualified_name, overwrite=mode == "overwrite")
 
         return write_counted(df, write, metrics, columns)

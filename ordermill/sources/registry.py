@@ -14,8 +14,8 @@ from ordermill.sources.files import (
     CheckedCsv,
     path_exists,
     read_checked_csv,
-    read_csv,
 )
+from ordermill.sources.inference import read_inferred_csv
 
 LOADED, MISSING, UNREADABLE = "loaded", "missing", "unreadable"
 
@@ -84,11 +84,11 @@ def _load_one(spark, contract, path, land, infer, aliases) -> LoadResult:
         return LoadResult(contract.name, MISSING)
     try:
         read = (
-            read_csv(spark, path)
+            read_inferred_csv(spark, path, contract.name)[0]
             if infer
             else read_checked_csv(spark, path, contract.schema, aliases)
         )
-    except Exception as error:  # only the header or a sample has been read by now
+    except Exception as error:  # only the source has been read by now
         return LoadResult(contract.name, UNREADABLE, error=str(error))
     if land is None:
         return LoadResult(contract.name, LOADED, frame_of(read))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
-from ordermill.contracts import LIVE_ORDERS
+from ordermill.contracts import LIVE_ORDERS, LIVE_REJECTS
 from ordermill.operators.quality import conform
+from ordermill.session import remove, scratch_path
 from ordermill.sinks.append import append_missing
+from ordermill.sinks.counted import write_counted
 from ordermill.sinks.layers import Layers, PathLayers
 from ordermill.sources.files import path_exists
 
@@ -91,6 +93,79 @@ def append_stream(
     )
 
 
+REJECTED_COLUMNS = "_rejected_columns"
+
+
+def rejected_columns() -> Column:
+    """Of an order received as text, the columns whose cell is no value of the declared type.
+
+    An absent id is at fault as well: an order without one can be told from no other.
+    """
+    reasons = [
+        F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.lit(f.name))
+        for f in INCOMING
+        if not isinstance(f.dataType, StringType)
+    ]
+    reasons.append(F.when(F.col("order_id").isNull(), F.lit("order_id")))
+    return F.filter(F.array(*reasons), lambda c: c.isNotNull())
+
+
+def upsert_text_stream(
+    incoming: DataFrame,
+    name: str,
+    target: PathLayers,
+    checkpoint: str,
+    trigger: Mapping = ONCE,
+    tell: Callable[[int, int, int], None] | None = None,
+) -> StreamingQuery:
+    """``upsert_stream`` for orders received as text; those that do not cast go to ``live_rejects``.
+
+    The stream goes on past an order with a cell that is no value of its type or without an id:
+    its text and the columns at fault are kept. A batch is read once, into the shared scratch folder,
+    from where both sinks take their rows; received and rejected orders are counted on that way
+    and told as (batch, received, rejected). The rejects of a batch are a part named after stream
+    and batch, so a replayed batch writes them in their place.
+    """
+    text = incoming.select(*[F.col(f.name).cast("string") for f in INCOMING])
+    bad = F.size(REJECTED_COLUMNS) > 0
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        staged = scratch_path(spark, f"{name}-{batch_id}")
+        checked = batch.withColumn(REJECTED_COLUMNS, rejected_columns())
+        seen = write_counted(
+            checked, lambda d: d.write.parquet(staged), {"rejected": F.count_if(bad)}
+        )
+        rows = spark.read.schema(checked.schema).parquet(staged)
+        rejects = rows.filter(bad).select(
+            F.to_json(F.struct(*INCOMING.names)).alias("raw_order"),
+            F.col(REJECTED_COLUMNS).alias("rejected_columns"),
+            F.current_timestamp().alias("rejected_at"),
+        )
+        target.write_part(rejects, LIVE_REJECTS, f"{name}-{batch_id}")
+        _append(rows.filter(~bad).drop(REJECTED_COLUMNS), target)
+        remove(spark, staged)
+        if tell:
+            tell(batch_id, seen.rows, seen.metrics["rejected"])
+
+    return (
+        text.writeStream.queryName(name)
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
+
+
+def _append(batch: DataFrame, target: Layers) -> None:
+    shaped = live_orders(batch)
+    if isinstance(target, PathLayers):
+        day = F.to_date(F.col("order_timestamp").cast("timestamp"))
+        received = batch.withColumn(LIVE_ORDERS.stored_by, day)
+        shaped = live_orders(received, keep=[LIVE_ORDERS.stored_by])
+    append_missing(shaped, LIVE_ORDERS, target)
+
+
 def upsert_stream(
     incoming: DataFrame, target: Layers, checkpoint: str, trigger: Mapping = ONCE
 ) -> StreamingQuery:
@@ -104,15 +179,8 @@ def upsert_stream(
     orders without a time, and Bloom filters of the ids: see ``held_keys`` for what a batch costs.
     """
 
-    def append(batch: DataFrame, batch_id: int) -> None:
-        shaped = live_orders(batch)
-        if isinstance(target, PathLayers):
-            received = batch.withColumn(LIVE_ORDERS.stored_by, F.to_date("order_timestamp"))
-            shaped = live_orders(received, keep=[LIVE_ORDERS.stored_by])
-        append_missing(shaped, LIVE_ORDERS, target)
-
     return (
-        incoming.writeStream.foreachBatch(append)
+        incoming.writeStream.foreachBatch(lambda batch, _: _append(batch, target))
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()

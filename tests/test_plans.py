@@ -195,3 +195,58 @@ def test_a_plan_does_not_depend_on_what_was_built_before(spark, skewed):
 
     first, second = shape(big()), shape(small())
     assert (shape(small()), shape(big())) == (second, first)
+
+
+def test_row_rules_share_one_scan_and_key_counts_serve_twice(spark, tmp_path):
+    from ordermill.contracts import ORDER_ITEMS, RAW_TABLES
+
+    frames = {}
+    for c in RAW_TABLES:
+        spark.createDataFrame([], c.schema).write.parquet(str(tmp_path / c.name))
+        frames[c.name] = spark.read.schema(c.schema).parquet(str(tmp_path / c.name))
+    rules = plan(quality.row_findings(frames["order_items"], ORDER_ITEMS))
+    assert rules.count("FileScan") == 1 and "Exchange" not in rules
+    found = quality.contract_findings(frames, RAW_TABLES)
+    whole = {"spark__sql__adaptive__enabled": "false", "spark__sql__maxMetadataStringLength": "1000"}
+    with settings(spark, **whole):
+        text = plan(quality.contract_findings(frames, RAW_TABLES))
+    scans = {c.name: text.count(f"/{c.name}]") for c in RAW_TABLES}
+    # row rules, key, and for orders the customers they refer to
+    assert scans == {"customers": 2, "orders": 3, "order_items": 2, "products": 2}, scans
+    assert found.count() == 0
+
+
+def test_marts_over_tables_stored_by_order_join_without_a_shuffle(spark, tmp_path, orders, items, products):
+    from ordermill.contracts import ORDER_ITEMS, ORDERS, PRODUCTS
+    from ordermill.sinks.layers import CatalogLayers
+
+    def whole(df, contract):
+        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in contract.schema if f.name not in df.columns]
+        return df.select("*", *missing)
+
+    layers = CatalogLayers(str(tmp_path / "stored"), {"orders": ("order_id", 4), "order_items": ("order_id", 4)})
+    frames = [(ORDERS, orders), (ORDER_ITEMS, items), (PRODUCTS, products)]
+    for layer in ("raw_data", "staging", "analytics", "streaming"):
+        spark.sql(f"DROP SCHEMA IF EXISTS {layer} CASCADE")
+    try:
+        layers.create(spark, [c for c, _ in frames])
+        for contract, frame in frames:
+            layers.write(whole(frame, contract), contract)
+            layers.write(whole(frame, contract).limit(0), contract, "append")
+        stored = [layers.read(spark, c) for c, _ in frames]
+        whole_marts = [
+            (marts.customer_metrics(*stored), marts.customer_metrics(orders, items, products)),
+            (marts.daily_sales(*stored[:2]), marts.daily_sales(orders, items)),
+            (marts.product_performance(*stored), marts.product_performance(orders, items, products)),
+        ]
+        with no_broadcast(spark), settings(spark, spark__sql__adaptive__enabled="false"):
+            for mart, expected in whole_marts:
+                text = plan(mart)
+                dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+                assert not any(re.fullmatch(r"order_id#\d+, 4", d) for d in dealt), dealt
+                assert "Bucketed: true" in text
+                key = mart.columns[0]
+                assert rows(mart, key) == rows(expected, key)
+    finally:
+        for layer in ("raw_data", "staging", "analytics", "streaming"):
+            spark.sql(f"DROP SCHEMA IF EXISTS {layer} CASCADE")

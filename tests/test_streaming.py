@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ordermill.catalog.mapping import Tables
-from ordermill.contracts import LIVE_ORDERS
+from ordermill.contracts import LIVE_ORDERS, LIVE_REJECTS
 from ordermill.sinks.append import append_missing, held_keys
 from ordermill.sinks.layers import PathLayers
 from ordermill.streaming import live_orders as live
@@ -182,3 +182,34 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_missing_input_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         live.file_stream(spark, str(tmp_path / "no.parquet"), _schema(spark))
+
+
+def test_orders_that_do_not_cast_are_kept_apart_and_counted(spark, tmp_path):
+    inbox, target = str(tmp_path / "in"), PathLayers(str(tmp_path / "w"))
+    schema = "order_id string, customer_id string, product_id string, order_value string, order_timestamp string"
+    received = [
+        ("o1", "c", "p", "1.005", "2024-01-01 10:00:00"),
+        ("o2", "c", "p", "123456789.00", None),
+        ("o3", "c", "p", None, "no time"),
+        (None, "c", "p", "1", None),
+        ("o4", None, None, None, None),
+        ("o4", None, None, "x", None),
+    ]
+    spark.createDataFrame(received, schema).coalesce(1).write.parquet(inbox)
+    told = []
+
+    def run(state):
+        stream = live.file_stream(spark, inbox, spark.read.parquet(inbox).schema)
+        live.upsert_text_stream(
+            stream, "orders", target, str(tmp_path / state), tell=lambda *n: told.append(n)
+        ).awaitTermination()
+
+    run("s")
+    run("s2")  # its progress lost, the stream writes the same rejects in their place
+    assert told == [(0, 6, 4), (0, 6, 4)]
+    stored = target.read(spark, LIVE_ORDERS)
+    assert rows(stored.select("order_id"), "order_id") == [("o1",), ("o4",)]
+    rejects = {tuple(r.rejected_columns): r.raw_order for r in target.read(spark, LIVE_REJECTS).collect()}
+    assert set(rejects) == {("order_value",), ("order_timestamp",), ("order_id",)}
+    assert target.read(spark, LIVE_REJECTS).count() == 4
+    assert "no time" in rejects[("order_timestamp",)]
