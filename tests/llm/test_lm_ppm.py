@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 from math import log10
 
+import numpy as np
 import pytest
 
 from ordermill.llm import lm_ppm
@@ -23,26 +24,24 @@ def brute(rows):
     n, v = sum(train.values()), len(train)
     seen = defaultdict(Counter)
 
-    def spelled(w):
-        return b" " + (w if w == b"\n" else w + b" ")
+    def spelled(text):
+        return b" ".join(tokens(text)[:-1]) + b"\n"
 
-    def place(context):
-        return lm_ppm.place(len(context), int.from_bytes(context, "big"))
-
-    for w, c in train.items():
-        s = spelled(w)
-        for i in range(1, len(s)):
-            for k in range(min(lm_ppm.ORDER, i) + 1):
-                seen[place(s[i - k : i])][s[i]] += c
+    for i, t in rows:
+        if not held_out(i):
+            s = b"\n" * 4 + spelled(t)
+            for at in range(4, len(s)):
+                for k in range(5):
+                    seen[s[at - k : at]][s[at]] += 1
 
-    def log_p(s, i):
+    def log_p(s, at):
         total, out = 0.0, set()
-        for k in range(min(lm_ppm.ORDER, i), -1, -1):
-            own = {x: c for x, c in seen[place(s[i - k : i])].items() if x not in out}
+        for k in range(4, -1, -1):
+            own = {x: c for x, c in seen[s[at - k : at]].items() if x not in out}
             if own:
                 mass = sum(own.values()) + len(own)
-                if s[i] in own:
-                    return total + log10(own[s[i]] / mass)
+                if s[at] in own:
+                    return total + log10(own[s[at]] / mass)
                 total += log10(len(own) / mass)
                 out |= own.keys()
         return total - log10(256 - len(out))
@@ -51,7 +50,8 @@ def brute(rows):
     for i, t in rows:
         own = tokens(t)
         base = sum(log10((train[w] + 1) / (n + v + 1)) for w in own)
-        score = sum(log_p(spelled(w), k) for w in own for k in range(1, len(spelled(w))))
+        s = b"\n" * 4 + spelled(t)
+        score = sum(log_p(s, at) for at in range(4, len(s)))
         known = sum(train[w] > 0 for w in own)
         result.append((i, held_out(i), len(own), known, n, round(base, 6), round(score, 6)))
     return sorted(result, key=str)
@@ -67,10 +67,12 @@ def rows_of(df):
     )
 
 
-@pytest.mark.parametrize("heavy", [lm_ppm.HEAVY, 20])
+@pytest.mark.parametrize("heavy", [None, 20])
 def test_scores_equal_brute_force(spark, given, odd_documents, monkeypatch, heavy):
-    """With all words broadcast, and with most of them joined."""
-    monkeypatch.setattr(lm_ppm, "HEAVY", heavy)
+    """With all words and windows broadcast, and with most of them joined, in small pieces."""
+    if heavy:
+        for name, value in (("HEAVY", 20), ("HEAVY_WINDOWS", 50), ("SLICE", 1000), ("FLUSH", 500)):
+            monkeypatch.setattr(lm_ppm, name, value)
     docs = given("documents").select("doc_id", "text").filter("doc_id < 60").union(
         odd_documents.select("doc_id", "text")
     )
@@ -82,13 +84,42 @@ def test_scores_equal_brute_force(spark, given, odd_documents, monkeypatch, heav
 
 
 def test_probabilities_add_up_to_one(given):
-    words, _ = lm_ppm.train(given("documents").selectExpr("text", "false AS held_out"))
-    contexts = words.select("word", "c").mapInArrow(lm_ppm._count_contexts, "entry long, n long")
-    table = contexts.groupBy("entry").sum("n").toArrow()
-    trie = lm_ppm.Trie(table["entry"].to_numpy(), table["sum(n)"].to_numpy())
-    for context in (b"", b" ", b" th", b" the", b"zz", b"\xc3", b"q\xff0"):
-        total = sum(10 ** trie.log_p(context, s) for s in range(256))
-        assert total == pytest.approx(1)
+    docs = given("documents").filter("doc_id < 100").selectExpr("text", "false AS held_out")
+    counts, _, _ = lm_ppm.count_corpus(docs)
+    table = counts.filter(lm_ppm.is_window()).toArrow()
+    windows = lm_ppm.windows_of_keys(table["key"].combine_chunks())
+    seen = dict(zip(windows.tolist(), table["c"].to_pylist(), strict=True))
+    lower = lm_ppm.lower_orders(counts)
+    for context in (b" the", b"\n\n\n\n", b"zzzz", b"\xc3\xa9 q", b"q\xff0a", b"ing "):
+        third = int.from_bytes(context[1:], "big")
+        own = {w for w in seen if w >> 8 & 0xFFFFFF == third}
+        own |= {(int.from_bytes(context, "big") << 8) + s for s in range(256)}
+        own = np.array(sorted(own), np.uint64)
+        n = np.array([seen.get(w, 0) for w in own.tolist()])
+        p = lm_ppm.rate(own, n, lower)
+        mine = own >> np.uint64(8) == int.from_bytes(context, "big")
+        # windows in the table were seen; the escapes to the others make up the rest
+        assert (10 ** p[mine]).sum() == pytest.approx(1)
+
+
+def test_the_order_of_words_changes_the_score(spark, given):
+    texts = [r.text for r in given("documents").filter("length(text) > 400").limit(40).collect()]
+    held_out = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    words = texts[0].split()
+    rows += [(held_out[-1], " ".join(words)), (held_out[-2], " ".join(sorted(words)))]
+    got = {r.doc_id: r for r in lm_ppm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    straight, mixed = got[held_out[-1]], got[held_out[-2]]
+    assert straight.base_score == pytest.approx(mixed.base_score)
+    assert straight.score > mixed.score + 5
+
+
+def test_window_keys_round_trip():
+    windows = np.array([0, 1, 2**40 - 1, 0x6162636465], np.uint64)
+    keys = lm_ppm.window_keys(windows)
+    assert keys.to_pylist()[3] == b" abcde"
+    assert lm_ppm.windows_of_keys(keys).tolist() == windows.tolist()
+    assert lm_ppm.windows_of_keys(keys.slice(2, 1)).tolist() == [2**40 - 1]
 
 
 def test_text_like_the_corpus_scores_higher(spark, given):
@@ -106,5 +137,22 @@ def test_without_training_documents(spark):
     docs = spark.createDataFrame([(held_out, "ab c")], "doc_id long, text string")
     row = lm_ppm.score(docs).first()
     assert (row.train_tokens, row.n_known, row.n_tokens, row.base_score) == (0, 0, 3, 0)
-    assert row.score == pytest.approx(-6 * log10(256))
+    assert row.score == pytest.approx(-5 * log10(256))
     assert lm_ppm.score(docs.limit(0)).count() == 0
+
+
+def test_pieces_hold_every_window_once(monkeypatch):
+    texts = [b"\n", b"abc\n", b"x" * 50 + b"\n", b"a long text in parts\n"]
+    wanted = Counter()
+    for i, t in enumerate(texts):
+        whole = lm_ppm.START + t
+        for at in range(len(t)):
+            wanted[i, int.from_bytes(whole[at : at + 5], "big")] += 1
+    for size in (7, 1 << 20):
+        monkeypatch.setattr(lm_ppm, "SLICE", size)
+        found = Counter()
+        for piece in lm_ppm.pieces(texts):
+            for at in np.flatnonzero(piece.real):
+                owner = piece.owners[np.searchsorted(piece.begins, at, "right") - 1]
+                found[int(owner), int(piece.windows[at])] += 1
+        assert found == wanted
