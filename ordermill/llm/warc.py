@@ -6,7 +6,9 @@ task leaves nothing in the result. The reader walks a file member by member, or
 where it is not compressed. A record must inflate with the right checksum, have a version line,
 a header, the announced length and the announced block digest. Where a check fails the reader
 searches for the next gzip signature or version line that starts a valid record, goes on there,
-and reports the skipped bytes as a gap. It reads through a window and holds one record at a time.
+and reports the skipped bytes as a gap. It reads through a window and holds one record at a time,
+of at most MOST_BLOCK bytes; what a header announces is believed only as far as the file or member
+has it. A number that is none, or too large for a bigint, is read as null.
 A member may hold several records; they, and gaps between them, all carry the member's range. Of
 such a member that does not inflate to its end, records whose announced digest fits are kept.
 Digests may be base32 or hex, of either case.
@@ -26,6 +28,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyarrow import fs
@@ -41,6 +44,9 @@ GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _starts = re.compile(b"\x1f\x8b\x08|WARC/1\\.")
 # Longest header that is searched for its end
 MOST_HEADER = 1 << 20
+MOST_VERSION = 32
+# A block is held whole; no longer one fits into a value
+MOST_BLOCK = (1 << 31) - 1
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -165,24 +171,31 @@ class _File:
     def next_start(self, at: int) -> int:
         """The first signature at or behind ``at``; the file's size if there is none."""
         while at < self.size:
-            data = self.read(at, min(WINDOW, self.size - at))
-            found = _starts.search(data)
+            if not self.start <= at <= self.start + len(self.data) - len(VERSION):
+                self.start, self.data = at, self.handle.read_at(min(WINDOW, self.size - at), at)
+            found = _starts.search(self.data, at - self.start)
             if found:
-                return at + found.start()
+                return self.start + found.start()
             # a signature may lie across the edge of two windows
-            at += max(len(data) - len(VERSION) + 1, 1)
+            end = self.start + len(self.data)
+            at = self.size if end >= self.size else max(end - len(VERSION) + 1, at + 1)
         return self.size
 
 
 class Damaged(Exception):
-    pass
+    """No valid record here, nor at the next ``skip`` - 1 bytes."""
+
+    def __init__(self, reason: str, skip: int = 1) -> None:
+        super().__init__(reason)
+        self.skip = skip
 
 
 class _Inflated:
-    """The member at ``at``, inflated as far as it is asked for."""
+    """The member at ``begin``, inflated as far as it is asked for; what was dropped is let go."""
 
-    def __init__(self, file: _File, at: int) -> None:
-        self.file, self.at, self.data, self.error = file, at, b"", ""
+    def __init__(self, file: _File, begin: int) -> None:
+        self.file, self.begin, self.at, self.error = file, begin, begin, ""
+        self.data, self.pos, self.dropped = bytearray(), 0, 0
         self.member = zlib.decompressobj(31)
 
     def _more(self) -> bytes:
@@ -209,48 +222,66 @@ class _Inflated:
 
     def want(self, n: int) -> bool:
         """Inflate until ``n`` bytes are at hand, if there are as many."""
-        parts, size = [self.data], len(self.data)
-        while size < n and not self.error and not self.member.eof:
-            parts.append(self._more())
-            size += len(parts[-1])
-        self.data = b"".join(parts)
-        return size >= n
+        while len(self.data) - self.pos < n and not self.error and not self.member.eof:
+            self.data += self._more()
+        return len(self.data) - self.pos >= n
 
     def drop(self, n: int) -> None:
-        self.data = self.data[n:]
-
-    def next_version(self) -> bool:
-        """Drop what stands before the next version line behind the first byte."""
-        self.drop(1)
+        n = min(n, len(self.data) - self.pos)
+        self.pos, self.dropped = self.pos + n, self.dropped + n
+        if self.pos > WINDOW:
+            del self.data[: self.pos]
+            self.pos = 0
+
+    def next_version(self, skip: int) -> bool:
+        """Drop what stands before the next version line at or behind that byte."""
+        self.drop(skip)
         while True:
-            found = self.data.find(VERSION)
+            found = self.data.find(VERSION, self.pos)
             if found >= 0:
-                self.drop(found)
+                self.drop(found - self.pos)
                 return True
-            self.drop(max(len(self.data) - len(VERSION) + 1, 0))
-            if not self.want(len(self.data) + 1):
+            self.drop(max(len(self.data) - self.pos - len(VERSION) + 1, 0))
+            if not self.want(len(self.data) - self.pos + 1):
                 return False
 
-    def finish(self) -> None:
-        """To the end, without keeping what is inflated."""
-        while not self.error and not self.member.eof:
-            self._more()
-
-
-def _header(data: bytes) -> tuple[dict[str, str], int]:
-    """Fields by lower-case name, and where the block begins."""
-    end = data.find(b"\r\n\r\n")
-    if not data.startswith(VERSION) or end < 0:
-        raise Damaged("no version line or header")
+    @cached_property
+    def whole(self) -> tuple[int, int, str]:
+        """(size inflated, end in the file, error) of the member, without keeping what is inflated."""
+        rest, size = _Inflated(self.file, self.begin), 0
+        while not rest.error and not rest.member.eof:
+            size += len(rest._more())
+        return size, rest.at, rest.error
+
+
+_HEADER = re.compile(rb"WARC/1\.[0-9]+\r\n((?:[^\r\n:]+:[^\r\n]*\r\n)*)(\r\n)?")
+_LENGTH = re.compile("[0-9]{1,18}")
+_NUMBER = re.compile("-?[0-9]{1,19}")
+
+
+def _header(data: bytes | bytearray, pos: int = 0) -> tuple[dict[str, str], int] | None:
+    """Fields by lower-case name, and the size of the header at ``pos``; None if it may go on."""
+    found = _HEADER.match(data, pos, pos + MOST_HEADER)
+    if not found:
+        if len(data) - pos >= MOST_VERSION or b"\n" in data[pos:]:
+            raise Damaged("no version line")
+        return None
+    if not found[2]:
+        if data.find(b"\n", found.end(), pos + MOST_HEADER) >= 0:
+            # a version line within these lines would lead to the same line
+            raise Damaged("header line without a colon", found.end() - pos)
+        if len(data) - pos >= MOST_HEADER:
+            raise Damaged("header too long")
+        return None
     fields = {}
-    for line in data[:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise Damaged("header line without a colon")
+    for line in bytes(found[1]).split(b"\r\n")[:-1]:
+        name, _, value = line.partition(b":")
         fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    if not fields.get("content-length", "").isdecimal():
+    if not _LENGTH.fullmatch(fields.get("content-length", "")):
         raise Damaged("no length")
-    return fields, end + 4
+    if int(fields["content-length"]) > MOST_BLOCK:
+        raise Damaged("longer than a value can be")
+    return fields, found.end() - pos
 
 
 def _hex(digest: str) -> str:
@@ -278,11 +309,13 @@ def _checked(fields: dict[str, str], block: bytes, length: int, closing: bytes)
 
 def _plain_record(file: _File, at: int) -> tuple[dict[str, str], bytes, int]:
     """Fields, block and end of the valid record at ``at``, which is not compressed."""
-    head, want = b"", 1 << 13
-    while b"\r\n\r\n" not in head and len(head) < min(MOST_HEADER, file.size - at):
-        head = file.read(at, min(want, file.size - at))
-        want *= 2
-    fields, begin = _header(head)
+    found, want = None, 1 << 12
+    while found is None:
+        want = min(2 * want, file.size - at)
+        found = _header(file.read(at, want))
+        if found is None and want == file.size - at:
+            raise Damaged("no header")
+    fields, begin = found
     length = int(fields["content-length"])
     if at + begin + length + 4 > file.size:
         raise Damaged("record cut off")
@@ -294,15 +327,21 @@ def _plain_record(file: _File, at: int) -> tuple[dict[str, str], bytes, int]:
 
 def _inflated_record(source: _Inflated) -> tuple[dict[str, str], bytes, int]:
     """Fields, block and length of the valid record at the front of the member's data."""
-    want = 1 << 13
-    while source.want(want) and b"\r\n\r\n" not in source.data and want < MOST_HEADER:
+    want = 1 << 12
+    while (found := _header(source.data, source.pos)) is None:
         want *= 2
-    fields, begin = _header(source.data)
+        if not source.want(want) and _header(source.data, source.pos) is None:
+            raise Damaged("no header")
+    fields, begin = found
     length = int(fields["content-length"])
     end = begin + length + 4
+    # a false length must not bring a whole member into memory
+    if length > WINDOW and source.dropped + end > source.whole[0]:
+        raise Damaged("length does not fit")
     source.want(end)
-    block = source.data[begin : begin + length]
-    _checked(fields, block, length, source.data[begin + length : end])
+    at = source.pos + begin
+    block = bytes(source.data[at : at + length])
+    _checked(fields, block, length, bytes(source.data[at + length : source.pos + end]))
     return fields, block, end
 
 
@@ -315,16 +354,14 @@ def _member_records(file: _File, at: int) -> Iterator[tuple]:
             alone = not any_valid and not source.want(length + 1)
             if stop is None and not alone:
                 # several records, or junk behind the first: is the member whole?
-                rest = _Inflated(file, at)
-                rest.finish()
-                stop, error = rest.at, rest.error
+                _, stop, error = source.whole
             if alone and source.error:
                 raise Damaged(source.error)
             if error and _sha1_field(fields, "warc-block-digest") is None:
                 raise Damaged(f"{error}, and no digest")
         except Damaged as damage:
             lost = lost or str(source.error or damage)
-            if source.next_version():
+            if source.next_version(damage.skip):
                 continue
             break
         if lost and not error:
@@ -335,7 +372,7 @@ def _member_records(file: _File, at: int) -> Iterator[tuple]:
         if not source.want(1):
             break
     if source.error or error or not any_valid:
-        raise Damaged(source.error or error or lost)
+        raise Damaged(str(source.error or error or lost))
     if lost:
         yield at, source.at, None, None, lost
 
@@ -362,7 +399,7 @@ def read_file(handle) -> Iterator[tuple]:
         except Damaged as error:
             if gap is None:
                 gap, why = at, str(error)
-            at = file.next_start(at + 1)
+            at = file.next_start(at + error.skip)
     if gap is not None:
         yield gap, file.size, None, None, why
 
@@ -379,7 +416,9 @@ def _row(path: str, start: int, end: int, fields: dict | None, block: bytes | No
         return path, start, end, why, *[None] * 7
 
     def number(name: str) -> int | None:
-        return int(fields[name]) if fields.get(name, "").lstrip("-").isdecimal() else None
+        text = fields.get(name, "")
+        value = int(text) if _NUMBER.fullmatch(text) else None
+        return value if value is not None and -(2**63) <= value < 2**63 else None
 
     kind = fields.get("warc-type")
     url = fields.get("warc-target-uri")

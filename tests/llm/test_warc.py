@@ -169,3 +169,59 @@ def test_archives_keep_payloads_and_report_gaps(spark, given, tmp_path):
     lost = warc.gaps(found).collect()
     assert len(lost) == 1 and lost[0].start == 0 and lost[0].reason
     assert found.filter("gap IS NULL").count() == len(stored) - 1
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        b"Content-Length: " + b"9" * 5000,
+        b"Content-Length: 999999999999999999",
+        b"Content-Length: \xd9\xa3",
+        b"Content-Length: -5",
+        b"Page-ID: --1",
+        b"Payload-Length: --5",
+        b"Page-ID: " + b"9" * 25,
+        b"Page-ID: 9223372036854775808",
+        b"no colon in this line",
+        b": no name",
+        b"X: " + b"y" * 3_000_000,
+    ],
+    ids=lambda b: b[:24].decode("utf-8", "replace"),
+)
+def test_no_header_ends_the_job(spark, tmp_path, line):
+    name = line.partition(b":")[0]
+    odd = b"\r\n".join(
+        line if x.startswith(name + b":") or (x.startswith(b"WARC-Date") and name not in plain(1)) else x
+        for x in plain(1).split(b"\r\n")
+    )
+    assert odd != plain(1)
+    path = tmp_path / "odd.warc"
+    path.write_bytes(member(0) + odd + gzip.compress(odd) + plain(2))
+    files = spark.createDataFrame([(str(path),)], "path string")
+    found = warc.read_archives(files).collect()
+    ids = [r.page_id for r in found if r.gap is None]
+    assert ids[0] == 0 and ids[-1] == 2
+    assert all(r.end > r.start for r in found)
+
+
+@pytest.mark.parametrize("text", [b"WARC/1.1\r\n", b"WARC/1. no\n", b"a: WARC/1.1\r\n", b"WARC/1.1\r\nContent-Length: 99999999\r\n\r\n"])
+@pytest.mark.parametrize("packed", [True, False])
+def test_false_version_lines_take_linear_time(text, packed):
+    import time
+
+    data = plain(1) + text * 16_000 + plain(2)
+    data = gzip.compress(data, mtime=0) if packed else data
+    began = time.process_time()
+    rows = list(warc.read_file(Bytes(data)))
+    took = time.process_time() - began
+    assert [int(r[2]["page-id"]) for r in rows if r[2]] == [1, 2]
+    assert len([r for r in rows if r[4]]) == 1
+    assert took < 1.5
+
+
+def test_a_payload_of_many_megabytes():
+    big = b"<p>long</p>" * 4_000_000
+    data = member(1, big) + plain(2, big) + gzip.compress(plain(3, big) + plain(4))
+    rows = list(warc.read_file(Bytes(data)))
+    assert [int(r[2]["page-id"]) for r in rows] == [1, 2, 3, 4]
+    assert rows[2][3].endswith(big)
