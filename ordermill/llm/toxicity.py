@@ -2,57 +2,58 @@
 
 1. Of the labelled documents that may be learnt from, at most EXAMPLES of each label are taken
    (the smallest hashes of the id): the index's stated bound. All else covers all data.
-2. Terms are words and word beginnings, each at every level of LEVELS that its count reaches, as
-   the cosine itself does not tell one mention from many. Those that toxic examples hold far
-   more often than others span the vectors: at least LEAST_Z standard errors and LEAST_LIFT
-   times as often, the TERMS strongest. Weights are (1 + ln tf) * ln((1 + n) / (1 + df)),
-   vectors have length 1.
-3. The inverted index keeps, for every term, its postings in blocks of BLOCK examples with the
-   largest weight of each block. A document sums these maxima to a bound for each block, visits
-   blocks from the highest bound down and stops when no block can enter its NEIGHBOURS best.
+2. Terms are words and word beginnings, each once more for every level of LEVELS that its count
+   reaches, as the cosine itself does not tell one mention from many. Every term of an example is
+   indexed. Its weight is (1 + ln tf) * ln((1 + N) / (1 + df)), with df counted over all documents,
+   times how clearly toxic examples hold it more often than others do: from FLOOR for a term that
+   tells nothing up to 1. Vectors have length 1. Terms go by 64-bit hashes.
+3. The inverted index keeps the postings of all but the most frequent terms; a document adds up
+   its own. The FREQUENT ones are laid out by blocks of BLOCK examples with the largest weight of
+   each block, which bounds what they can add there. Blocks are visited from the highest bound
+   down until no block can enter the NEIGHBOURS best, whose cosines are exact.
 4. Neighbours vote with the square of their cosine, times the number of labelled documents that
-   an example stands for; the rate of toxic examples without any term is the prior, and the
-   whole score of a document without any term. Evidence: the nearest examples and cosines.
+   an example stands for, beside PRIOR votes at the rate of toxic labels. That rate is the score of
+   a document without any known term. Evidence: the nearest examples and cosines.
 
 Defined cases: null and empty texts have no terms and score the prior. Rows with a null id are
 scored, never learnt from. Labels that repeat count once; toxic wins. Rows that share a labelled
-id are one example; all are scored. Without any toxic
-example every score is the prior, without examples 0. Other input columns are ignored.
+id are one example; all are scored, and count for df. Without labels every score is 0. Other input
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+from ordermill.llm.rows import stored
 
 EXAMPLES = 4096
-TERMS = 4096
-LEAST_Z = 7.0
-LEAST_LIFT = 3.0
-BEGINNINGS = range(4, 9)
+BEGINNINGS = (4, 6)
 LEVELS = (1, 2, 3, 5)
+FLOOR = 0.05
+CLEAR_Z = 5.0
+PRIOR = 0.5
 NEIGHBOURS = 25
 BLOCK = 64
+FREQUENT = 128
 REMEMBERED = 200_000
 
 _words = re.compile(r"\w+").findall
 
 
-def terms_of(word: str) -> list[str]:
-    return [word] + [f"{word[:k]}-" for k in BEGINNINGS if len(word) > k]
-
-
-def levels_of(counts: dict[str, int]) -> Iterator[str]:
-    """The terms of a document: each as such, and once more for each level its count reaches."""
-    for term, tf in counts.items():
-        yield from (f"{term}{level}" for level in LEVELS if tf >= level)
+def terms_of(word: str) -> list[int]:
+    """Hashes of a word and its beginnings."""
+    names = [word, *(f"{word[:k]}-" for k in BEGINNINGS if len(word) > k)]
+    return [xxhash.xxh64_intdigest(n.encode("utf-8", "surrogatepass")) for n in names]
 
 
 def is_held_out(id_col: Column) -> Column:
@@ -60,8 +61,8 @@ def is_held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_examples(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic, stands_for): at most EXAMPLES of each label.
+def labelled_examples(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """(doc_id, text, toxic, stands_for) of at most EXAMPLES of each label; the rate of toxic labels.
 
     They are chosen among the labels, so only their ids are broadcast to the documents. Of rows
     that share an id one is taken, by the largest hash of its text.
@@ -85,219 +86,289 @@ def labelled_examples(documents: DataFrame, labels: DataFrame) -> DataFrame:
         chosen = part if chosen is None else chosen.union(part)
     rank = F.struct(F.col("text").isNotNull(), F.xxhash64("text"), "text")
     # a hot id has shrunk to one row per task before it moves
-    return (
+    examples = (
         documents.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id", "toxic", "stands_for")
         .agg(F.max_by("text", rank).alias("text"))
-        .checkpoint()
     )
+    labelled = sum(totals.values())
+    return stored(examples, "examples"), totals.get(1, 0) / labelled if labelled else 0.0
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic, n): documents of the task that hold a term."""
+class Words(dict):
+    """word -> numbers of its terms in a vocabulary, for a bounded number of words."""
 
-    def out(counts: Counter) -> pa.RecordBatch:
-        keys = list(counts)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([t for t, _ in keys], pa.string()),
-                pa.array([y for _, y in keys], pa.int32()),
-                pa.array(list(counts.values()), pa.int64()),
-            ],
-            ["term", "toxic", "n"],
-        )
+    def __init__(self, vocabulary: dict[int, int] | None) -> None:
+        super().__init__()
+        self.vocabulary = vocabulary
 
-    counts: Counter = Counter()
-    for batch in batches:
-        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            own = Counter(_words((text.as_py() or "").lower()))
-            found: Counter = Counter()
-            for word, tf in own.items():
-                for term in terms_of(word):
-                    found[term] += tf
-            counts.update((term, toxic) for term in levels_of(found))
-            if len(counts) > REMEMBERED:
-                yield out(counts)
-                counts = Counter()
-    yield out(counts)
-
-
-def choose_terms(examples: DataFrame) -> dict[str, tuple[int, float]]:
-    """term -> (number, inverse document frequency), at most TERMS of them."""
-    n = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    clean, toxic = n.get(0, 0), n.get(1, 0)
-    if not clean or not toxic:
-        return {}
-    counts = (
-        examples.select("text", F.col("toxic").cast("int"))
-        .mapInArrow(_count_terms, "term string, toxic int, n long")
-        .groupBy("term")
-        .agg(
-            F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
-            F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"),
-        )
-    )
-    rate = (F.col("bad") + F.col("good")) / (clean + toxic)
-    error = F.sqrt(rate * (1 - rate) * (1 / clean + 1 / toxic))
-    gap = F.col("bad") / toxic - F.col("good") / clean
-    strong = (
-        counts.filter((F.col("bad") > 2) & (F.col("bad") / toxic >= LEAST_LIFT * F.col("good") / clean))
-        .withColumn("z", F.when(error > 0, gap / error))
-        .filter(F.col("z") >= LEAST_Z)
-        .orderBy(F.desc("z"), "term")
-        .limit(TERMS)
-        .collect()
-    )
-    total = clean + toxic
-    return {r.term: (i, float(np.log((1 + total) / (1 + r.bad + r.good)))) for i, r in enumerate(strong)}
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = terms_of(word)
+        if self.vocabulary is not None:
+            found = [self.vocabulary[t] for t in found if t in self.vocabulary]
+        found = self[word] = tuple(found)
+        return found
 
+    def counts(self, text: str | None, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text, ascending, and how often each occurs."""
+        lists = filter(None, map(self.__getitem__, _words((text or "").lower())))
+        return np.unique(np.array([t for own in lists for t in own], kind), return_counts=True)
 
-class Vectoriser:
-    """Texts to sparse unit vectors over the chosen terms."""
 
-    def __init__(self, terms: dict[str, tuple[int, float]]) -> None:
-        self.terms = terms
-        bare = {term[:-1] for term in terms}  # levels have one digit
+def _terms(vocabulary, text_at: int, names: tuple[str, str]):
+    """The batches with two more columns, the terms of each text and their counts."""
 
-        class Known(dict):
-            """word -> its terms that are chosen at any level; a bounded number of words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary and vocabulary.value
+        words, kind = Words(known), np.uint64 if known is None else np.int32
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [words.counts(t.as_py(), kind) for t in part.column(text_at)]
+                signed = np.int64 if known is None else np.int32
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *part.columns,
+                        pa.array([t.view(signed) for t, _ in found], pa.list_(pa.from_numpy_dtype(signed))),
+                        pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32())),
+                    ],
+                    [*part.schema.names, *names],
+                )
 
-            def __missing__(known, word: str) -> tuple:  # noqa: N805
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                found = known[word] = tuple(t for t in terms_of(word) if t in bare)
-                return found
+    return run
 
-        self.known = Known()
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        lists = filter(None, map(self.known.__getitem__, _words((text or "").lower())))
-        counts = Counter(term for found in lists for term in found)
-        own = sorted(
-            (self.terms[name][0], (1 + np.log(counts[name[:-1]])) * self.terms[name][1])
-            for name in levels_of(counts)
-            if name in self.terms
-        )
-        weights = np.array([w for _, w in own])
-        numbers = np.array([n for n, _ in own], np.int64)
-        return numbers, weights / np.linalg.norm(weights) if own else weights
+def _count_documents(size: int, terms_at: int):
+    """(term, n): documents of the task in which a term reaches a level, terms by level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((len(LEVELS), size), np.int64)
+        for batch in batches:
+            terms, counts = (batch.column(terms_at + i).flatten().to_numpy() for i in (0, 1))
+            for level, least in enumerate(LEVELS):
+                totals[level] += np.bincount(terms[counts >= least], minlength=size)
+        flat = totals.ravel()
+        held = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(flat[held])], ["term", "n"])
+
+    return run
 
 
 @dataclass
 class BlockMaxIndex:
-    """Postings by term; ``cuts[t, b]`` is where block b begins in the postings of term t."""
+    """Examples in blocks; a term at a level has a number, and a weight in all vectors.
+
+    ``number[level, term]`` is -1 where no example reaches the level. Postings of number t are
+    ``cuts[t]`` to ``cuts[t + 1]``; a frequent one has a place in ``slot`` instead, with its weights
+    in ``dense[block, slot]`` and their maxima in ``most[slot, block]``.
+    """
 
+    number: np.ndarray
+    weight: np.ndarray
+    cuts: np.ndarray
     rows: np.ndarray
     weights: np.ndarray
-    cuts: np.ndarray
+    slot: np.ndarray
+    dense: np.ndarray
     most: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     votes: np.ndarray
     prior: float
 
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of a document, of length 1."""
+        numbers, tf = [], []
+        for level, least in enumerate(LEVELS):
+            reached = counts >= least
+            own = self.number[level, terms[reached]]
+            numbers.append(own[own >= 0])
+            tf.append(counts[reached][own >= 0])
+        numbers = np.concatenate(numbers)
+        weights = (1 + np.log(np.concatenate(tf))) * self.weight[numbers]
+        held = weights > 0
+        numbers, weights = numbers[held], weights[held]
+        return numbers, weights / np.linalg.norm(weights) if len(weights) else weights
+
     def nearest(self, numbers: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine, ties by index order, and their cosines."""
-        bounds = weights @ self.most[numbers]
+        """The k examples of highest cosine above zero, ties by index order, and their cosines."""
+        n, blocks = len(self.ids), len(self.dense)
+        slots = self.slot[numbers]
+        rare, frequent = slots < 0, slots >= 0
+        begins = self.cuts[numbers[rare]]
+        sizes = self.cuts[numbers[rare] + 1] - begins
+        at = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        sums = np.bincount(
+            self.rows[at], np.repeat(weights[rare], sizes) * self.weights[at], blocks * BLOCK
+        ).reshape(blocks, BLOCK)
+        slots, own = slots[frequent], weights[frequent]
+        bounds = sums.max(1, initial=0) + own @ self.most[slots]
         best_rows, best = np.empty(0, np.int64), np.empty(0)
+        # what the postings alone give bounds the last of the best from below
+        least = np.partition(sums.ravel(), -k)[-k] if sums.size > k else 0.0
         for block in np.argsort(-bounds, kind="stable"):
             # rounding may lift a sum above its bound by a little
-            if bounds[block] <= 0 or (len(best) == k and bounds[block] < best[-1] - 1e-9):
+            if bounds[block] <= 0 or bounds[block] < least - 1e-9:
                 break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(numbers, weights, strict=True):
-                at = slice(self.cuts[t, block], self.cuts[t, block + 1])
-                sums[self.rows[at] - block * BLOCK] += w * self.weights[at]
-            hits = np.flatnonzero(sums > 0)
-            best_rows = np.concatenate([best_rows, hits + block * BLOCK])
-            best = np.concatenate([best, sums[hits]])
-            order = np.lexsort((best_rows, -best))[:k]
-            best_rows, best = best_rows[order], best[order]
-        return best_rows, best
-
-    def score(self, numbers: np.ndarray, weights: np.ndarray) -> tuple[float, list, list]:
-        rows, cosines = self.nearest(numbers, weights, NEIGHBOURS)
+            exact = sums[block] + own @ self.dense[block, slots]
+            hits = np.flatnonzero(exact > max(0.0, least - 1e-9))
+            rows = hits + block * BLOCK
+            best_rows = np.concatenate([best_rows, rows[rows < n]])
+            best = np.concatenate([best, exact[hits][rows < n]])
+            if len(best) > k:
+                order = np.lexsort((best_rows, -best))[:k]
+                best_rows, best = best_rows[order], best[order]
+                least = max(least, best[-1])
+        order = np.lexsort((best_rows, -best))
+        return best_rows[order], best[order]
+
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list, list]:
+        rows, cosines = self.nearest(*self.vector(terms, counts), NEIGHBOURS)
         power = cosines**2 * self.votes[rows]
-        score = (self.prior + power @ self.toxic[rows]) / (1 + power.sum())
+        score = (PRIOR * self.prior + power @ self.toxic[rows]) / (PRIOR + power.sum())
         return float(min(max(score, 0.0), 1.0)), self.ids[rows].tolist(), cosines.tolist()
 
 
-def build_index(rows: list[tuple], n_terms: int) -> BlockMaxIndex:
-    """rows: (doc_id, toxic, stands_for, numbers, weights); those without terms make the prior."""
-    bare = [r for r in rows if not len(r[3])]
-    mass = sum(r[2] for r in bare)
-    prior = sum(r[2] for r in bare if r[1]) / mass if mass else 0.0
+def clearness(bad: np.ndarray, good: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """From FLOOR to 1: how clearly toxic examples hold a term more often than clean ones."""
+    if not toxic or not clean:
+        return np.full(len(bad), FLOOR)
+    rate = (bad + good) / (toxic + clean)
+    error = np.sqrt(rate * (1 - rate) * (1 / toxic + 1 / clean))
+    gap = np.maximum(bad / toxic - good / clean, 0)
+    z = np.divide(gap, error, out=np.zeros(len(bad)), where=error > 0)
+    return FLOOR + (1 - FLOOR) * (1 - np.exp(-((z / CLEAR_Z) ** 2)))
+
+
+def build_index(
+    ids: np.ndarray,
+    toxic: np.ndarray,
+    votes: np.ndarray,
+    prior: float,
+    entries: tuple[np.ndarray, np.ndarray, np.ndarray],
+    documents: np.ndarray,
+    total: int,
+) -> BlockMaxIndex:
+    """entries: example, term and count, side by side; documents[level, term]: how many of the
+    ``total`` documents reach the level."""
+    row, term, tf = entries
+    size = documents.shape[1]
+    levels = [np.flatnonzero(tf >= least) for least in LEVELS]
+    key = np.concatenate([term[own] + level * size for level, own in enumerate(levels)])
+    row, tf = (np.concatenate([x[own] for own in levels]) for x in (row, tf))
+    held, number = np.unique(key, return_inverse=True)
+    numbers = np.full(len(LEVELS) * size, -1, np.int64)
+    numbers[held] = np.arange(len(held))
+
+    bad = np.bincount(number, toxic[row], len(held))
+    good = np.bincount(number, 1 - toxic[row], len(held))
+    clear = clearness(bad, good, int(toxic.sum()), int(len(toxic) - toxic.sum()))
+    weight = np.log((1 + total) / (1 + documents.ravel()[held])) * clear
+    w = (1 + np.log(tf)) * weight[number]
+    norm = np.sqrt(np.bincount(row, w * w, len(ids)))
+    w = np.divide(w, norm[row], out=np.zeros(len(w)), where=norm[row] > 0)
+
     # examples with the same strongest term share blocks, which keeps the block maxima telling
-    held = sorted(
-        (r for r in rows if len(r[3])), key=lambda r: (r[3][int(np.argmax(r[4]))], r[0])
-    )
-    blocks = -(-len(held) // BLOCK)
-    lists: list[list] = [[] for _ in range(n_terms)]
-    for row, (_, _, _, numbers, weights) in enumerate(held):
-        for t, w in zip(numbers, weights, strict=True):
-            lists[t].append((row, w))
-    flat = [p for postings in lists for p in postings]
-    at = np.array([p[0] for p in flat], np.int64)
-    weights = np.array([p[1] for p in flat])
-    cuts = np.zeros((n_terms, blocks + 1), np.int64)
-    most = np.zeros((n_terms, blocks))
-    begin = 0
-    for t, postings in enumerate(lists):
-        own = at[begin : begin + len(postings)]
-        cuts[t] = begin + np.searchsorted(own, np.arange(blocks + 1) * BLOCK)
-        np.maximum.at(most[t], own // BLOCK, weights[begin : begin + len(postings)])
-        begin += len(postings)
+    strongest = np.full(len(ids), -1, np.int64)
+    by_weight = np.argsort(w, kind="stable")
+    strongest[row[by_weight]] = number[by_weight]
+    order = np.lexsort((ids, strongest))
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    row = place[row]
+
+    blocks = -(-len(ids) // BLOCK)
+    often = np.bincount(number, minlength=len(held))
+    frequent = np.sort(np.argsort(-often, kind="stable")[:FREQUENT])
+    slot = np.full(len(held), -1, np.int64)
+    slot[frequent] = np.arange(len(frequent))
+    dense = np.zeros((blocks, len(frequent), BLOCK))
+    own = slot[number] >= 0
+    dense[row[own] // BLOCK, slot[number[own]], row[own] % BLOCK] = w[own]
+
+    rest = np.flatnonzero(~own)
+    rest = rest[np.lexsort((row[rest], number[rest]))]
+    cuts = np.searchsorted(number[rest], np.arange(len(held) + 1))
     return BlockMaxIndex(
-        at,
-        weights,
+        numbers.reshape(len(LEVELS), size),
+        weight,
         cuts,
-        most,
-        np.array([r[0] for r in held], np.int64),
-        np.array([float(r[1]) for r in held]),
-        np.array([r[2] for r in held], float),
+        row[rest].astype(np.int32),
+        w[rest],
+        slot,
+        dense,
+        np.ascontiguousarray(dense.max(2, initial=0).T),
+        ids[order],
+        toxic[order].astype(float),
+        votes[order],
         prior,
     )
 
 
-def _vectors(terms: dict):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectorise = Vectoriser(terms)
-        for batch in batches:
-            found = [vectorise(text.as_py()) for text in batch.column(3)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:3],
-                    pa.array([n for n, _ in found], pa.list_(pa.int64())),
-                    pa.array([w for _, w in found], pa.list_(pa.float64())),
-                ],
-                ["doc_id", "toxic", "stands_for", "numbers", "weights"],
-            )
-
-    return run
-
+def fit(documents: DataFrame, labels: DataFrame, text_col: str) -> tuple[object, DataFrame, tuple[str, str]]:
+    """(broadcast index, the documents with their terms and counts, the names of these columns).
 
-def fit(documents: DataFrame, labels: DataFrame) -> tuple[dict, BlockMaxIndex]:
-    """The chosen terms and the index over the bounded set of examples."""
-    examples = labelled_examples(documents, labels)
-    terms = choose_terms(examples)
-    rows = (
-        examples.select("doc_id", F.col("toxic").cast("int"), "stands_for", "text")
+    Texts are split into terms once; what the index knows of them rests in the shared folder.
+    """
+    sc = documents.sparkSession.sparkContext
+    docs = documents.select("doc_id", F.col(text_col).alias("text"))
+    examples, prior = labelled_examples(docs, labels)
+    names = ("terms", "counts")
+    found = (
+        examples.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int"), "stands_for", "text")
         .mapInArrow(
-            _vectors(terms),
-            "doc_id long, toxic int, stands_for double, numbers array<long>, weights array<double>",
+            _terms(None, 3, names),
+            "doc_id long, toxic int, stands_for double, text string, terms array<long>, counts array<int>",
         )
-        .collect()
+        .drop("text")
+        .orderBy("doc_id")
+        .toArrow()
+    )
+    terms, counts = (found[c].combine_chunks() for c in names)
+    hashes, term = np.unique(terms.flatten().to_numpy().view(np.uint64), return_inverse=True)
+    row = np.repeat(np.arange(len(found)), terms.value_lengths().to_numpy(zero_copy_only=False))
+    vocabulary = sc.broadcast(dict(zip(hashes.tolist(), range(len(hashes)), strict=True)))
+
+    while set(names) & set(documents.columns):
+        names = tuple(f"_{n}" for n in names)
+    lists = [StructField(n, ArrayType(IntegerType())) for n in names]
+    schema = StructType([*documents.schema.fields, *lists])
+    at = documents.columns.index(text_col)
+    split = stored(documents.mapInArrow(_terms(vocabulary, at, names), schema), "terms")
+    held = (
+        split.select(*names)
+        .mapInArrow(_count_documents(len(hashes), 0), "term long, n long")
+        .groupBy("term")
+        .agg(F.sum("n").alias("n"))
+        .toArrow()
     )
-    return terms, build_index(sorted(tuple(r) for r in rows), len(terms))
+    seen = np.zeros(len(LEVELS) * len(hashes), np.int64)
+    seen[held["term"].to_numpy()] = held["n"].to_numpy()
+    index = build_index(
+        found["doc_id"].to_numpy(),
+        found["toxic"].to_numpy(),
+        found["stands_for"].to_numpy(),
+        prior,
+        (row, term, counts.flatten().to_numpy()),
+        seen.reshape(len(LEVELS), len(hashes)),
+        split.count(),
+    )
+    return sc.broadcast(index), split, names
+
 
+def _scores(batch: pa.RecordBatch, index: BlockMaxIndex, names: tuple[str, str]) -> Iterator[tuple]:
+    lists = [batch.column(batch.schema.names.index(n)) for n in names]
+    for terms, counts in zip(*lists, strict=True):
+        yield index.score(*(x.values.to_numpy() for x in (terms, counts)))
 
-def _score(model):
+
+def _score(model, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, index = model.value
-        vectorise = Vectoriser(terms)
         for batch in batches:
-            scored = [index.score(*vectorise(text.as_py())) for text in batch.column(2)]
+            scored = list(_scores(batch, model.value, names))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -318,30 +389,27 @@ def score(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     ``labels`` has doc_id and toxic (0 or 1).
     """
-    docs = documents.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")
-    )
-    model = documents.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    return docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
-        _score(model),
+    number = F.col(id_col).cast("bigint").alias("doc_id")
+    # only what the index needs is kept beside the terms
+    model, split, names = fit(documents.select(number, F.col(text_col).alias("text")), labels, "text")
+    return split.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), *names).mapInArrow(
+        _score(model, names),
         "doc_id long, held_out boolean, score double, predicted int, nearest array<long>, "
         "cosines array<double>",
     )
 
 
-def _keep(model, text_at: int):
+def _keep(model, names: tuple[str, str], width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, index = model.value
-        vectorise = Vectoriser(terms)
         for batch in batches:
-            kept = [index.score(*vectorise(t.as_py()))[0] < 0.5 for t in batch.column(text_at)]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            kept = [s < 0.5 for s, _, _ in _scores(batch, model.value, names)]
+            rows = batch.filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(rows.columns[:width], rows.schema.names[:width])
 
     return run
 
 
 def keep_harmless(documents: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows not predicted toxic, all columns."""
-    docs = documents.select(F.col("doc_id"), F.col(text_col).alias("text"))
-    model = documents.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    return documents.mapInArrow(_keep(model, documents.columns.index(text_col)), documents.schema)
+    model, split, names = fit(documents, labels, text_col)
+    return split.mapInArrow(_keep(model, names, len(documents.columns)), documents.schema)
