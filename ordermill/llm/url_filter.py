@@ -7,7 +7,8 @@ links, in any number of steps, found as connected components. An explicit rule o
 itself always stands. Among aliases an explicit allow takes precedence: a component with an
 allowed url blocks nobody; one with a blocked and no allowed url blocks its other members.
 Everything else is allowed. A url's identity is host, path and query, without scheme and
-fragment. Relative links are resolved against the page's host and folder; dot segments stay.
+fragment and with dot segments resolved. Links have their character references decoded and are
+resolved against the page's host and folder. Rules go by a page's path as it is given.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, no rule and no
 aliases, and is allowed. Rows that repeat get one result each. Null html has no links. Other
@@ -77,21 +78,70 @@ def apply_rules(places: DataFrame, rules: DataFrame, keys: list[str]) -> DataFra
     )
 
 
+# The named character references that an attribute's url needs, & last
+NAMED = [("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+
+
+def decoded(text: Column) -> Column:
+    """Character references of an attribute as the characters they stand for: the named ones above
+    and numbers up to 127, which are all that a url needs."""
+
+    def number(piece: Column, pattern: str, base: int) -> Column:
+        digits = F.regexp_extract(piece, pattern, 1)
+        return F.conv(F.nullif(digits, F.lit("")), base, 10).cast("int")
+
+    def one(piece: Column) -> Column:
+        code = F.coalesce(
+            number(piece, r"^0*([0-9]{1,3});", 10), number(piece, r"^[xX]0*([0-9A-Fa-f]{1,2});", 16)
+        )
+        rest = F.concat(F.char(code), F.regexp_replace(piece, r"^[^;]*;", ""))
+        return F.when(code.between(1, 127), rest).otherwise(F.concat(F.lit("&#"), piece))
+
+    pieces = F.split(text, "&#")
+    rest = F.transform(F.slice(pieces, 2, F.size(pieces)), one)
+    plain = F.when(F.contains(text, F.lit("&#")), F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, "")))
+    plain = plain.otherwise(text)
+    for name, char in NAMED:
+        plain = F.replace(plain, F.lit(name), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved; above the root there is nothing."""
+    segments = F.split(path, "/")
+    last = F.element_at(segments, -1)
+
+    def step(held: Column, segment: Column) -> Column:
+        up = F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(1)))
+        return (
+            F.when(segment == ".", held)
+            .when(segment == "..", up)
+            .otherwise(F.concat(held, F.array(segment)))
+        )
+
+    walked = F.aggregate(segments, F.array().cast("array<string>"), step)
+    closed = F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), F.array_join(closed, "/")).otherwise(path)
+
+
+def identity(host: Column, path: Column, query: Column) -> Column:
+    return F.concat(host, without_dots(path), query)
+
+
 def _resolved(link: Column, host: Column, path: Column) -> Column:
     """A link of a page as an identity; null where it leads nowhere else."""
-    own_host, own_path, own_query = split_url(link)
     bare = F.regexp_extract(link, r"^([^#]*)", 1)
+    own_path, own_query = F.regexp_extract(bare, r"^([^?]*)", 1), F.regexp_extract(bare, r"(\?.*)", 1)
     folder = F.regexp_extract(path, r"^(.*/)", 1)
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    with_scheme = F.concat(F.lit("x:"), link)
     return (
         F.when(F.trim(bare) == "", F.lit(None))
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.concat(own_host, own_path, own_query))
-        .when(link.startswith("//"), F.concat(*split_url(with_scheme)))
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), identity(*split_url(link)))
+        .when(link.startswith("//"), identity(*split_url(F.concat(F.lit("x:"), link))))
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
-        .when(link.startswith("/"), F.concat(host, bare))
-        .when(link.startswith("?"), F.concat(host, path, bare))
-        .otherwise(F.concat(host, folder, bare))
+        .when(link.startswith("/"), identity(host, own_path, own_query))
+        .when(link.startswith("?"), identity(host, path, bare))
+        .otherwise(identity(host, F.concat(folder, own_path), own_query))
     )
 
 
@@ -111,7 +161,7 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return (
         pages.filter(told & (F.col("identity") != ""))
         .select("host", "path", "identity", F.explode(tags).alias("tag"))
-        .select(F.col("identity").alias("a"), _resolved(link, F.col("host"), F.col("path")).alias("b"))
+        .select(F.col("identity").alias("a"), _resolved(decoded(link), F.col("host"), F.col("path")).alias("b"))
         .filter("b IS NOT NULL AND a <> b")
         .distinct()
     )
@@ -119,7 +169,7 @@ def link_edges(pages: DataFrame) -> DataFrame:
 
 def redirect_edges(redirects: DataFrame) -> DataFrame:
     """(a, b) of a table of redirects with full urls in ``from_url`` and ``to_url``."""
-    ends = [F.concat(*split_url(F.col(c))) for c in ("from_url", "to_url")]
+    ends = [identity(*split_url(F.col(c))) for c in ("from_url", "to_url")]
     return redirects.select(ends[0].alias("a"), ends[1].alias("b")).filter("a <> '' AND b <> ''")
 
 
@@ -139,7 +189,7 @@ def judge(
         F.col(id_col).alias("page_id"),
         host.alias("host"),
         path.alias("path"),
-        F.concat(host, path, query).alias("identity"),
+        identity(host, path, query).alias("identity"),
         F.col(html_col).alias("html"),
     )
     edges = link_edges(split)

@@ -79,3 +79,34 @@ def test_empty(spark):
     assert judged(spark, []) == {}
     got = judged(spark, [(1, "https://x.org/", "")], rules=uf.rules_table(spark).limit(0))
     assert (got[1].rule, got[1].verdict) == (None, "allow")
+
+
+def test_references_and_dot_segments_of_links(spark):
+    got = judged(spark, [
+        (1, "https://a.net/one?x=1&y=2", ""),
+        (2, "https://b.net/p", canonical("https://a.net/one?x=1&amp;y=2")),
+        (3, "https://b.net/d/e/q", canonical("../../p")),
+        (4, "https://b.net/d/./f/../g/../e/q", canonical("&#x2f;d/e/q")),
+        (5, "https://b.net/z", canonical("https&#58;//a.net/./one?x=1&#38;y=2")),
+        (6, "https://a.net/w", canonical("https://q.com/en/../de/")),
+        (7, "https://a.net/one?x=1&y=2#z", canonical("/w")),
+    ])
+    assert {r.verdict for r in got.values()} == {"block"}
+    assert got[4].path == "/d/./f/../g/../e/q"
+
+
+def test_decoding_and_dots_case_by_case(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["a&amp;b", "&amp;lt;", "x&#65;y&#x42;z&#;&#300;&#xfff;", "&unknown;", "&#38;amp;", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(uf.decoded(F.col("t")).alias("d"))
+    assert [r.d for r in df.collect()] == ["a&b", "&lt;", "xAyBz&#;&#300;&#xfff;", "&unknown;", "&", ""]
+    paths = ["/a/b", "/a/./b", "/a/../b", "/../../b", "/a/b/..", "/a/.", "", "/", "/a..b/...", "/./"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select(uf.without_dots(F.col("p")).alias("d"))
+    assert [r.d for r in df.collect()] == ["/a/b", "/a/b", "/b", "/b", "/a/", "/a/", "", "/", "/a..b/...", "/"]
+
+
+def test_a_very_long_url(spark):
+    long = "https://x.com/de/" + "a/" * 200_000
+    got = judged(spark, [(1, long, canonical(long + "b")), (2, long + "b", ""), (3, "https://y.net/", canonical(long))])
+    assert [got[i].verdict for i in (1, 2, 3)] == ["block"] * 3
