@@ -6,7 +6,7 @@
    reaches, as the cosine itself does not tell one mention from many. Every term of an example is
    indexed. Its weight is (1 + ln tf) * ln((1 + N) / (1 + df)), with df counted over all documents,
    times how clearly toxic examples hold it more often than others do: from FLOOR for a term that
-   tells nothing up to 1. Vectors have length 1. Terms go by 64-bit hashes.
+   tells nothing up to 1. Vectors have length 1.
 3. The inverted index keeps the postings of all but the most frequent terms; a document adds up
    its own. The FREQUENT ones are laid out by blocks of BLOCK examples with the largest weight of
    each block, which bounds what they can add there. Blocks are visited from the highest bound
@@ -24,12 +24,13 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -50,10 +51,9 @@ REMEMBERED = 200_000
 _words = re.compile(r"\w+").findall
 
 
-def terms_of(word: str) -> list[int]:
-    """Hashes of a word and its beginnings."""
-    names = [word, *(f"{word[:k]}-" for k in BEGINNINGS if len(word) > k)]
-    return [xxhash.xxh64_intdigest(n.encode("utf-8", "surrogatepass")) for n in names]
+def terms_of(word: str) -> list[str]:
+    """A word and its beginnings, which end with a sign that no word has."""
+    return [word, *(word[:k] + "-" for k in BEGINNINGS if len(word) > k)]
 
 
 def is_held_out(id_col: Column) -> Column:
@@ -99,43 +99,62 @@ def labelled_examples(documents: DataFrame, labels: DataFrame) -> tuple[DataFram
 class Words(dict):
     """word -> numbers of its terms in a vocabulary, for a bounded number of words."""
 
-    def __init__(self, vocabulary: dict[int, int] | None) -> None:
+    def __init__(self, vocabulary: dict[str, int]) -> None:
         super().__init__()
         self.vocabulary = vocabulary
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = terms_of(word)
-        if self.vocabulary is not None:
-            found = [self.vocabulary[t] for t in found if t in self.vocabulary]
-        found = self[word] = tuple(found)
+        known = self.vocabulary
+        found = self[word] = tuple(known[t] for t in terms_of(word) if t in known)
         return found
 
-    def counts(self, text: str | None, kind: type) -> tuple[np.ndarray, np.ndarray]:
-        """The terms of a text, ascending, and how often each occurs."""
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The known terms of a text, ascending, and how often each occurs."""
         lists = filter(None, map(self.__getitem__, _words((text or "").lower())))
-        return np.unique(np.array([t for own in lists for t in own], kind), return_counts=True)
+        found = np.fromiter(chain.from_iterable(lists), np.int32)
+        return np.unique(found, return_counts=True)
+
+
+def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, toxic, stands_for and, for the text, its terms and their counts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            found = []
+            for text in part.column(3):
+                own: Counter = Counter()
+                for word, n in Counter(_words((text.as_py() or "").lower())).items():
+                    for term in terms_of(word):
+                        own[term] += n
+                found.append(own)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *part.columns[:3],
+                    pa.array([list(own) for own in found], pa.list_(pa.string())),
+                    pa.array([list(own.values()) for own in found], pa.list_(pa.int32())),
+                ],
+                ["doc_id", "toxic", "stands_for", "terms", "counts"],
+            )
 
 
-def _terms(vocabulary, text_at: int, names: tuple[str, str]):
-    """The batches with two more columns, the terms of each text and their counts."""
+def _terms(vocabulary, text_at: int, keep: list[int], names: tuple[str, str]):
+    """Columns of the batches and two more, the known terms of each text and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary and vocabulary.value
-        words, kind = Words(known), np.uint64 if known is None else np.int32
+        words = Words(vocabulary.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [words.counts(t.as_py(), kind) for t in part.column(text_at)]
-                signed = np.int64 if known is None else np.int32
+                found = [words.counts(t.as_py()) for t in part.column(text_at)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *part.columns,
-                        pa.array([t.view(signed) for t, _ in found], pa.list_(pa.from_numpy_dtype(signed))),
+                        *(part.column(i) for i in keep),
+                        pa.array([t for t, _ in found], pa.list_(pa.int32())),
                         pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32())),
                     ],
-                    [*part.schema.names, *names],
+                    [*(part.schema.names[i] for i in keep), *names],
                 )
 
     return run
@@ -256,47 +275,52 @@ def build_index(
     ``total`` documents reach the level."""
     row, term, tf = entries
     size = documents.shape[1]
-    levels = [np.flatnonzero(tf >= least) for least in LEVELS]
-    key = np.concatenate([term[own] + level * size for level, own in enumerate(levels)])
-    row, tf = (np.concatenate([x[own] for own in levels]) for x in (row, tf))
-    held, number = np.unique(key, return_inverse=True)
-    numbers = np.full(len(LEVELS) * size, -1, np.int64)
-    numbers[held] = np.arange(len(held))
-
-    bad = np.bincount(number, toxic[row], len(held))
-    good = np.bincount(number, 1 - toxic[row], len(held))
-    clear = clearness(bad, good, int(toxic.sum()), int(len(toxic) - toxic.sum()))
-    weight = np.log((1 + total) / (1 + documents.ravel()[held])) * clear
+    numbers, total_numbers, parts = np.full((len(LEVELS), size), -1, np.int32), 0, []
+    for level, least in enumerate(LEVELS):
+        own = np.flatnonzero(tf >= least)
+        present = np.flatnonzero(np.bincount(term[own], minlength=size))
+        numbers[level, present] = total_numbers + np.arange(len(present))
+        total_numbers += len(present)
+        parts.append((row[own], numbers[level, term[own]], tf[own]))
+    row, number, tf = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts, term
+
+    often = np.bincount(number, minlength=total_numbers)
+    bad = np.bincount(number, toxic[row], total_numbers)
+    clear = clearness(bad, often - bad, int(toxic.sum()), int(len(toxic) - toxic.sum()))
+    weight = np.empty(total_numbers)
+    weight[numbers[numbers >= 0]] = np.log((1 + total) / (1 + documents[numbers >= 0]))
+    weight *= clear
     w = (1 + np.log(tf)) * weight[number]
     norm = np.sqrt(np.bincount(row, w * w, len(ids)))
-    w = np.divide(w, norm[row], out=np.zeros(len(w)), where=norm[row] > 0)
+    norm[norm == 0] = 1
+    w /= norm[row]
 
     # examples with the same strongest term share blocks, which keeps the block maxima telling
-    strongest = np.full(len(ids), -1, np.int64)
-    by_weight = np.argsort(w, kind="stable")
-    strongest[row[by_weight]] = number[by_weight]
+    strongest, best = np.full(len(ids), -1, np.int64), np.zeros(len(ids))
+    np.maximum.at(best, row, w)
+    top = np.flatnonzero(w == best[row])
+    strongest[row[top]] = number[top]
     order = np.lexsort((ids, strongest))
-    place = np.empty(len(ids), np.int64)
-    place[order] = np.arange(len(ids))
+    place = np.empty(len(ids), np.int32)
+    place[order] = np.arange(len(ids), dtype=np.int32)
     row = place[row]
 
     blocks = -(-len(ids) // BLOCK)
-    often = np.bincount(number, minlength=len(held))
     frequent = np.sort(np.argsort(-often, kind="stable")[:FREQUENT])
-    slot = np.full(len(held), -1, np.int64)
+    slot = np.full(total_numbers, -1, np.int64)
     slot[frequent] = np.arange(len(frequent))
     dense = np.zeros((blocks, len(frequent), BLOCK))
     own = slot[number] >= 0
     dense[row[own] // BLOCK, slot[number[own]], row[own] % BLOCK] = w[own]
 
-    rest = np.flatnonzero(~own)
-    rest = rest[np.lexsort((row[rest], number[rest]))]
-    cuts = np.searchsorted(number[rest], np.arange(len(held) + 1))
+    row, number, w = row[~own], number[~own], w[~own]
+    rest = np.argsort(number.astype(np.int64) * len(ids) + row)
     return BlockMaxIndex(
-        numbers.reshape(len(LEVELS), size),
+        numbers,
         weight,
-        cuts,
-        row[rest].astype(np.int32),
+        np.append(0, np.cumsum(np.bincount(number, minlength=total_numbers))),
+        row[rest],
         w[rest],
         slot,
         dense,
@@ -308,54 +332,57 @@ def build_index(
     )
 
 
-def fit(documents: DataFrame, labels: DataFrame, text_col: str) -> tuple[object, DataFrame, tuple[str, str]]:
-    """(broadcast index, the documents with their terms and counts, the names of these columns).
+def fit(
+    documents: DataFrame, labels: DataFrame, text_col: str, keep: list[str]
+) -> tuple[object, DataFrame, tuple[str, str]]:
+    """(broadcast index, columns of the documents with their terms and counts, these two's names).
 
     Texts are split into terms once; what the index knows of them rests in the shared folder.
     """
     sc = documents.sparkSession.sparkContext
     docs = documents.select("doc_id", F.col(text_col).alias("text"))
     examples, prior = labelled_examples(docs, labels)
-    names = ("terms", "counts")
     found = (
         examples.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int"), "stands_for", "text")
         .mapInArrow(
-            _terms(None, 3, names),
-            "doc_id long, toxic int, stands_for double, text string, terms array<long>, counts array<int>",
+            _example_terms,
+            "doc_id long, toxic int, stands_for double, terms array<string>, counts array<int>",
         )
-        .drop("text")
         .orderBy("doc_id")
         .toArrow()
+        .combine_chunks()
     )
-    terms, counts = (found[c].combine_chunks() for c in names)
-    hashes, term = np.unique(terms.flatten().to_numpy().view(np.uint64), return_inverse=True)
-    row = np.repeat(np.arange(len(found)), terms.value_lengths().to_numpy(zero_copy_only=False))
-    vocabulary = sc.broadcast(dict(zip(hashes.tolist(), range(len(hashes)), strict=True)))
+    terms, counts = (found[c].chunk(0) if len(found) else pa.array([], pa.list_(pa.string())) for c in ("terms", "counts"))
+    row = np.repeat(
+        np.arange(len(found), dtype=np.int32), terms.value_lengths().to_numpy(zero_copy_only=False)
+    )
+    tf = np.array(counts.flatten(), np.int32)
+    coded = terms.flatten().dictionary_encode()
+    heads = [found[c].to_numpy() for c in ("doc_id", "toxic", "stands_for")]
+    del found, terms, counts
+    names_of = coded.dictionary.to_pylist()
+    size, term = len(names_of), coded.indices.to_numpy()
+    vocabulary = sc.broadcast(dict(zip(names_of, range(size), strict=True)))
+    del coded, names_of
 
+    names = ("terms", "counts")
     while set(names) & set(documents.columns):
         names = tuple(f"_{n}" for n in names)
     lists = [StructField(n, ArrayType(IntegerType())) for n in names]
-    schema = StructType([*documents.schema.fields, *lists])
-    at = documents.columns.index(text_col)
-    split = stored(documents.mapInArrow(_terms(vocabulary, at, names), schema), "terms")
+    schema = StructType([*(documents.schema[c] for c in keep), *lists])
+    at = documents.columns.index
+    split = stored(documents.mapInArrow(_terms(vocabulary, at(text_col), list(map(at, keep)), names), schema), "terms")
     held = (
         split.select(*names)
-        .mapInArrow(_count_documents(len(hashes), 0), "term long, n long")
+        .mapInArrow(_count_documents(size, 0), "term long, n long")
         .groupBy("term")
         .agg(F.sum("n").alias("n"))
         .toArrow()
     )
-    seen = np.zeros(len(LEVELS) * len(hashes), np.int64)
+    seen = np.zeros(len(LEVELS) * size, np.int64)
     seen[held["term"].to_numpy()] = held["n"].to_numpy()
-    index = build_index(
-        found["doc_id"].to_numpy(),
-        found["toxic"].to_numpy(),
-        found["stands_for"].to_numpy(),
-        prior,
-        (row, term, counts.flatten().to_numpy()),
-        seen.reshape(len(LEVELS), len(hashes)),
-        split.count(),
-    )
+    del held
+    index = build_index(*heads, prior, (row, term, tf), seen.reshape(len(LEVELS), size), split.count())
     return sc.broadcast(index), split, names
 
 
@@ -390,8 +417,8 @@ def score(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     ``labels`` has doc_id and toxic (0 or 1).
     """
     number = F.col(id_col).cast("bigint").alias("doc_id")
-    # only what the index needs is kept beside the terms
-    model, split, names = fit(documents.select(number, F.col(text_col).alias("text")), labels, "text")
+    docs = documents.select(number, F.col(text_col).alias("text"))
+    model, split, names = fit(docs, labels, "text", ["doc_id"])
     return split.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), *names).mapInArrow(
         _score(model, names),
         "doc_id long, held_out boolean, score double, predicted int, nearest array<long>, "
@@ -411,5 +438,5 @@ def _keep(model, names: tuple[str, str], width: int):
 
 def keep_harmless(documents: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows not predicted toxic, all columns."""
-    model, split, names = fit(documents, labels, text_col)
+    model, split, names = fit(documents, labels, text_col, documents.columns)
     return split.mapInArrow(_keep(model, names, len(documents.columns)), documents.schema)
