@@ -9,8 +9,8 @@
    tells nothing up to 1. Vectors have length 1.
 3. The inverted index keeps the postings of all but the most frequent terms; a document adds up
    its own. The FREQUENT ones are laid out by blocks of BLOCK examples with the largest weight of
-   each block, which bounds what they can add there. Blocks are visited from the highest bound
-   down until no block can enter the NEIGHBOURS best, whose cosines are exact.
+   each block, which bounds what they can add there. A block is opened only for documents whose
+   bound there reaches the NEIGHBOURS best of their postings; cosines in open blocks are exact.
 4. Neighbours vote with the square of their cosine, times the number of labelled documents that
    an example stands for, beside PRIOR votes at the rate of toxic labels. That rate is the score of
    a document without any known term. Evidence: the nearest examples and cosines.
@@ -37,7 +37,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ordermill.llm.rows import stored
 
-EXAMPLES = 4096
+EXAMPLES = 2048
 BEGINNINGS = (4, 6)
 LEVELS = (1, 2, 3, 5)
 FLOOR = 0.05
@@ -45,7 +45,8 @@ CLEAR_Z = 5.0
 PRIOR = 0.5
 NEIGHBOURS = 25
 BLOCK = 64
-FREQUENT = 128
+FREQUENT = 1024
+TOGETHER = 64
 REMEMBERED = 200_000
 
 _words = re.compile(r"\w+").findall
@@ -212,43 +213,48 @@ class BlockMaxIndex:
         numbers, weights = numbers[held], weights[held]
         return numbers, weights / np.linalg.norm(weights) if len(weights) else weights
 
-    def nearest(self, numbers: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine above zero, ties by index order, and their cosines."""
-        n, blocks = len(self.ids), len(self.dense)
-        slots = self.slot[numbers]
-        rare, frequent = slots < 0, slots >= 0
-        begins = self.cuts[numbers[rare]]
-        sizes = self.cuts[numbers[rare] + 1] - begins
-        at = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        sums = np.bincount(
-            self.rows[at], np.repeat(weights[rare], sizes) * self.weights[at], blocks * BLOCK
-        ).reshape(blocks, BLOCK)
-        slots, own = slots[frequent], weights[frequent]
-        bounds = sums.max(1, initial=0) + own @ self.most[slots]
-        best_rows, best = np.empty(0, np.int64), np.empty(0)
-        # what the postings alone give bounds the last of the best from below
-        least = np.partition(sums.ravel(), -k)[-k] if sums.size > k else 0.0
-        for block in np.argsort(-bounds, kind="stable"):
-            # rounding may lift a sum above its bound by a little
-            if bounds[block] <= 0 or bounds[block] < least - 1e-9:
-                break
-            exact = sums[block] + own @ self.dense[block, slots]
-            hits = np.flatnonzero(exact > max(0.0, least - 1e-9))
-            rows = hits + block * BLOCK
-            best_rows = np.concatenate([best_rows, rows[rows < n]])
-            best = np.concatenate([best, exact[hits][rows < n]])
-            if len(best) > k:
-                order = np.lexsort((best_rows, -best))[:k]
-                best_rows, best = best_rows[order], best[order]
-                least = max(least, best[-1])
-        order = np.lexsort((best_rows, -best))
-        return best_rows[order], best[order]
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list, list]:
-        rows, cosines = self.nearest(*self.vector(terms, counts), NEIGHBOURS)
-        power = cosines**2 * self.votes[rows]
-        score = (PRIOR * self.prior + power @ self.toxic[rows]) / (PRIOR + power.sum())
-        return float(min(max(score, 0.0), 1.0)), self.ids[rows].tolist(), cosines.tolist()
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k examples of highest cosine above zero, ties by index order, and
+        their cosines. Vectors that reach a block are compared with it together."""
+        blocks, slots = len(self.dense), self.most.shape[0]
+        sums = np.zeros((len(vectors), blocks * BLOCK))
+        own = np.zeros((len(vectors), slots))
+        for i, (numbers, weights) in enumerate(vectors):
+            slot = self.slot[numbers]
+            own[i, slot[slot >= 0]] = weights[slot >= 0]
+            rare = slot < 0
+            begins = self.cuts[numbers[rare]]
+            sizes = self.cuts[numbers[rare] + 1] - begins
+            at = np.arange(sizes.sum()) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
+            each = np.repeat(weights[rare], sizes) * self.weights[at]
+            sums[i] = np.bincount(self.rows[at], each, blocks * BLOCK)
+        # what the postings alone give bounds the last of the best from below; rounding may lift a
+        # sum above its bound by a little
+        k = min(k, sums.shape[1])
+        least = np.partition(sums, sums.shape[1] - k, axis=1)[:, sums.shape[1] - k] if k else np.zeros(len(vectors))
+        by_block = sums.reshape(len(vectors), blocks, BLOCK)
+        bounds = by_block.max(2, initial=0) + own @ self.most
+        in_reach = (bounds > 0) & (bounds >= least[:, None] - 1e-9)
+        for block in range(blocks):
+            asking = np.flatnonzero(in_reach[:, block])
+            by_block[asking, block] += own[asking] @ self.dense[block]
+        by_block[~in_reach] = 0
+        out = []
+        for row in sums:
+            last = np.partition(row, len(row) - k)[len(row) - k] if k else 0
+            hits = np.flatnonzero((row >= last) & (row > 0))
+            hits = hits[np.lexsort((hits, -row[hits]))][:k]
+            out.append((hits, row[hits]))
+        return out
+
+    def scores(self, documents: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list, list]]:
+        """(score, nearest examples, cosines) for the terms and counts of each document."""
+        for at in range(0, len(documents), TOGETHER):
+            vectors = [self.vector(*d) for d in documents[at : at + TOGETHER]]
+            for rows, cosines in self.nearest(vectors, NEIGHBOURS):
+                power = cosines**2 * self.votes[rows]
+                score = (PRIOR * self.prior + power @ self.toxic[rows]) / (PRIOR + power.sum())
+                yield float(min(max(score, 0.0), 1.0)), self.ids[rows].tolist(), cosines.tolist()
 
 
 def clearness(bad: np.ndarray, good: np.ndarray, toxic: int, clean: int) -> np.ndarray:
@@ -320,7 +326,7 @@ def build_index(
         numbers,
         weight,
         np.append(0, np.cumsum(np.bincount(number, minlength=total_numbers))),
-        row[rest],
+        row[rest].astype(np.int64),
         w[rest],
         slot,
         dense,
@@ -388,8 +394,8 @@ def fit(
 
 def _scores(batch: pa.RecordBatch, index: BlockMaxIndex, names: tuple[str, str]) -> Iterator[tuple]:
     lists = [batch.column(batch.schema.names.index(n)) for n in names]
-    for terms, counts in zip(*lists, strict=True):
-        yield index.score(*(x.values.to_numpy() for x in (terms, counts)))
+    pairs = zip(*lists, strict=True)
+    yield from index.scores([tuple(x.values.to_numpy() for x in pair) for pair in pairs])
 
 
 def _score(model, names: tuple[str, str]):
