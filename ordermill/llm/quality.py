@@ -6,7 +6,8 @@ its documents. A document is rejected if the Jensen-Shannon distance (square roo
 divergence to base 2, 0 to 1) of either histogram exceeds its limit. Short texts have noisy
 histograms: a text of fewer than MIN_WORDS words is judged by the base rules alone, and so is a
 text whose language has fewer than MIN_REFERENCE words in the corpus or is null. The limits
-grow towards short texts by the distance that sampling alone explains (``SLACK``).
+grow towards short texts with the distance that sampling alone explains; how much was chosen by
+where good texts of each length end. Samples are code points for classes, words for words.
 
 Defined cases: a null or blank text has no words and fails the base rules. Every row gets its
 own result; null ids are kept. Other input columns are ignored. An empty table gives no rows.
@@ -31,9 +32,9 @@ WINDOW = 5
 COMMON = 50
 MIN_WORDS = 50
 MIN_REFERENCE = 1000
-CLASS_LIMIT = 0.16
-WORD_LIMIT = 0.06
-SLACK = 2.0
+# Limits for long texts, and how many times the distance that sampling alone explains is added
+CLASS_LIMIT, CLASS_SLACK = 0.12, 3.0
+WORD_LIMIT, WORD_SLACK = 0.18, 0.63
 # More languages than there are codes for: the column then holds something else.
 MOST_LANGUAGES = 10_000
 FLUSH = 200_000
@@ -93,10 +94,17 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(parts.sum() / 2, 0)))
 
 
-def limit(base: float, cells: int, n: int) -> float:
+def limit(base: float, slack: float, cells: int, n: int) -> float:
     """The limit for a sample of n. Sampling alone moves a histogram of so many cells by about
     sqrt(cells / n / 8 / ln 2) in this distance."""
-    return base + SLACK * float(np.sqrt(cells / (8 * np.log(2) * n)))
+    return base + slack * float(np.sqrt(cells / (8 * np.log(2) * n)))
+
+
+def within(by_class: float, by_word: float, points: int, words: int, cells: int) -> bool:
+    """Whether a text of so many code points and words is near enough to its language."""
+    return by_class <= limit(CLASS_LIMIT, CLASS_SLACK, len(CLASSES), points) and by_word <= limit(
+        WORD_LIMIT, WORD_SLACK, cells, words
+    )
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +211,7 @@ def _verdicts(known: dict):
         for word, times in Counter(data.lower().split()).items():
             counted[at.get(word, -1)] += times
         by_class, by_word = distance(classes, of_classes), distance(counted, of_words)
-        fine = by_class <= limit(CLASS_LIMIT, len(CLASSES), n) and by_word <= limit(
-            WORD_LIMIT, len(counted), n
-        )
+        fine = within(by_class, by_word, int(classes.sum()), n, len(counted))
         return *base, by_class, by_word, bool(fine and not base[-1])
 
     return one
@@ -346,8 +352,9 @@ WITH d AS (
     + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS far
   FROM share GROUP BY doc_id, kind
 ), verdict AS (
-  SELECT doc_id, bool_and(far <= CASE kind WHEN 'class' THEN {CLASS_LIMIT} ELSE {WORD_LIMIT} END
-    + {SLACK} * sqrt(cells / (8 * ln(2) * n_words))) AS fine
+  SELECT doc_id, bool_and(far <= CASE kind
+    WHEN 'class' THEN {CLASS_LIMIT} + {CLASS_SLACK} * sqrt(cells / (8 * ln(2) * length(t)))
+    ELSE {WORD_LIMIT} + {WORD_SLACK} * sqrt(cells / (8 * ln(2) * n_words)) END) AS fine
   FROM distance JOIN base USING (doc_id) GROUP BY doc_id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -1,8 +1,10 @@
+import math
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ordermill.llm import quality
 
@@ -80,8 +82,9 @@ def test_verdicts_equal_brute_force(given):
         by_class = quality.distance(shape(r.text), classes[r.lang])
         assert mine.word_distance == pytest.approx(by_word)
         assert mine.class_distance == pytest.approx(by_class)
-        fine = by_class <= quality.limit(quality.CLASS_LIMIT, 8, n) and by_word <= quality.limit(
-            quality.WORD_LIMIT, len(top) + 1, n
+        cells = len(top) + 1
+        fine = by_class <= 0.12 + 3.0 * math.sqrt(8 / (8 * math.log(2) * len(r.text))) and by_word <= (
+            0.18 + 0.63 * math.sqrt(cells / (8 * math.log(2) * n))
         )
         assert mine.kept == (fine and not failed)
     assert judged > 100
@@ -96,9 +99,13 @@ def test_labelled_junk_goes_and_good_text_stays(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     judged = quality.judge(docs).filter("NOT base_failed").join(labels, "doc_id")
-    kept = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
-    assert kept.get((1, False), 0) <= 0.002 * kept[1, True]
-    assert kept[0, False] > 3 * kept[0, True]
+    judged = judged.withColumn("size", F.expr("CASE WHEN n_words < 50 THEN 0 WHEN n_words < 150 THEN 1 ELSE 2 END"))
+    found = Counter()
+    for r in judged.groupBy("size", "quality", "kept").count().collect():
+        found[r["size"], r.quality, r.kept] = r["count"]
+    assert found[1, 1, False] + found[2, 1, False] <= 0.002 * (found[1, 1, True] + found[2, 1, True])
+    for size in (1, 2):
+        assert found[size, 0, False] >= 0.9 * (found[size, 0, False] + found[size, 0, True])
 
 
 def test_kept_rows_keep_their_columns(odd_documents):
