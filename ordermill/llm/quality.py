@@ -35,8 +35,9 @@ MIN_REFERENCE = 1000
 # Limits for long texts, and how many times the distance that sampling alone explains is added
 CLASS_LIMIT, CLASS_SLACK = 0.12, 3.0
 WORD_LIMIT, WORD_SLACK = 0.18, 0.63
-# More languages than there are codes for: the column then holds something else.
+# Languages whose references are broadcast, some 2 KB each
 MOST_LANGUAGES = 10_000
+_REFERENCE = "_reference_of_language"
 FLUSH = 200_000
 
 CLASSES = ["lower", "upper", "digit", "space", "stop", "symbol", "other", "beyond_ascii"]
@@ -144,11 +145,12 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(name, "class", list(zip([c.encode() for c in CLASSES], counted, strict=True)))
 
 
-def references(documents: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict:
-    """language -> (common words, their counts and all others', counts of the classes).
+def references(documents: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[dict, DataFrame | None]:
+    """(language -> common words, their counts and all others', counts of the classes; the rest).
 
-    Words are counted over all documents; only the common ones of each language reach the
-    driver, cut before the shuffle by the rank filter.
+    Words are counted over all documents; only the common ones of each language go on, cut before
+    the shuffle by the rank filter. The MOST_LANGUAGES with most words come to the driver, which
+    broadcasts them; any others stay a table, which is joined.
     """
     counts = (
         documents.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -168,28 +170,49 @@ def references(documents: DataFrame, lang_col: str = "lang", text_col: str = "te
         .filter(F.col("rank") <= COMMON)
         .drop("rank")
     )
-    spoken_words = {r.lang: r.n_words for r in spoken.limit(MOST_LANGUAGES + 1).collect()}
-    if len(spoken_words) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: {lang_col} holds something else")
-    kept = counts.filter("kind = 'class'").union(top).join(spoken.select("lang"), "lang")
+    kept = counts.filter("kind = 'class'").union(top)
+    first = spoken.orderBy(F.desc("n_words"), "lang").limit(MOST_LANGUAGES)
+    spoken_words = {r.lang: r.n_words for r in first.collect()}
     found: dict[str, dict] = {lang: {"word": {}, "class": {}} for lang in spoken_words}
-    for row in kept.orderBy("lang", "kind", F.desc("n"), "term").collect():
+    of_first = kept.join(F.broadcast(first.select("lang")), "lang")
+    for row in of_first.orderBy("lang", "kind", F.desc("n"), "term").collect():
         found[row.lang][row.kind][bytes(row.term)] = row.n
-    out = {}
-    for lang, parts in found.items():
-        common = list(parts["word"])
-        counted = [parts["word"][w] for w in common]
-        rest = spoken_words[lang] - sum(counted)
-        classes = [parts["class"].get(c.encode(), 0) for c in CLASSES]
-        out[lang] = (common, np.array([*counted, rest], float), np.array(classes, float))
-    return out
+    known = {lang: _reference(parts, spoken_words[lang]) for lang, parts in found.items()}
+    if len(known) < MOST_LANGUAGES:
+        return known, None
+    others = spoken.join(F.broadcast(first.select("lang")), "lang", "left_anti")
+    pairs = F.collect_list(F.struct("kind", "term", "n"))
+    rest = kept.join(others, "lang").groupBy("lang", "n_words").agg(pairs.alias("pairs"))
+    return known, rest
+
+
+def _reference(parts: dict, n_words: int) -> tuple[list, np.ndarray, np.ndarray]:
+    common = list(parts["word"])
+    counted = [parts["word"][w] for w in common]
+    classes = [parts["class"].get(c.encode(), 0) for c in CLASSES]
+    return common, np.array([*counted, n_words - sum(counted)], float), np.array(classes, float)
+
+
+def _joined_reference(row: dict) -> tuple[list, np.ndarray, np.ndarray]:
+    parts: dict[str, dict] = {"word": {}, "class": {}}
+    for pair in sorted(row["pairs"], key=lambda p: (-p["n"], p["term"])):
+        parts[pair["kind"]][pair["term"]] = pair["n"]
+    return _reference(parts, row["n_words"])
+
+
+def _with_references(documents: DataFrame, rest: DataFrame | None, lang: str) -> DataFrame:
+    """One more last column: the reference of a row whose language is not among the broadcast ones."""
+    if rest is None:
+        return documents.withColumn(_REFERENCE, F.lit(None).cast("struct<n_words: bigint, pairs: array<struct<kind: string, term: binary, n: bigint>>>"))
+    other = rest.select(F.col("lang").alias(f"{_REFERENCE}_lang"), F.struct("n_words", "pairs").alias(_REFERENCE))
+    return documents.join(other, F.col(f"`{lang}`") == F.col(f"{_REFERENCE}_lang"), "left").drop(f"{_REFERENCE}_lang")
 
 
 def _verdicts(known: dict):
     """A function of (lang, text, word hashes) to the columns of ``judge`` behind the id."""
     places = {lang: {w: i for i, w in enumerate(ref[0])} for lang, ref in known.items()}
 
-    def one(lang: str | None, text: str | None, hashes: WordHashes) -> tuple:
+    def one(lang: str | None, text: str | None, own: dict | None, hashes: WordHashes) -> tuple:
         data = (text or "").encode("utf-8", "surrogatepass")
         words = data.split()
         classes = class_counts(data)
@@ -204,10 +227,14 @@ def _verdicts(known: dict):
             repeat,
             n < 10 or 100 * repeat > 20 * n,
         )
-        if lang not in known or n < MIN_WORDS:
+        if (lang not in known and own is None) or n < MIN_WORDS:
             return *base, None, None, not base[-1]
-        common, of_words, of_classes = known[lang]
-        at, counted = places[lang], np.zeros(len(of_words))
+        if lang in known:
+            (_, of_words, of_classes), at = known[lang], places[lang]
+        else:
+            common, of_words, of_classes = _joined_reference(own)
+            at = {w: i for i, w in enumerate(common)}
+        counted = np.zeros(len(of_words))
         for word, times in Counter(data.lower().split()).items():
             counted[at.get(word, -1)] += times
         by_class, by_word = distance(classes, of_classes), distance(counted, of_words)
@@ -223,8 +250,8 @@ def _judge(known: dict):
         types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
         for batch in batches:
             rows = [
-                one(lang.as_py(), text.as_py(), hashes)
-                for lang, text in zip(batch.column(1), batch.column(2), strict=True)
+                one(lang.as_py(), text.as_py(), own.as_py(), hashes)
+                for lang, text, own in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True)
             ]
             columns = zip(*rows, strict=True) if rows else [[]] * len(types)
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
@@ -237,9 +264,10 @@ def _keep(known: dict, lang_at: int, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, hashes = _verdicts(known), WordHashes()
         for batch in batches:
-            pairs = zip(batch.column(lang_at), batch.column(text_at), strict=True)
-            kept = [one(lang.as_py(), text.as_py(), hashes)[-1] for lang, text in pairs]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            rows = zip(*(batch.column(i) for i in (lang_at, text_at, -1)), strict=True)
+            kept = [one(lang.as_py(), text.as_py(), own.as_py(), hashes)[-1] for lang, text, own in rows]
+            found = batch.filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(found.columns[:-1], found.schema.names[:-1])
 
     return run
 
@@ -262,12 +290,13 @@ def judge(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """Per row: the base counts, both distances (null where not judged by them), and kept."""
-    known = references(documents, lang_col, text_col)
-    return documents.select(
+    known, rest = references(documents, lang_col, text_col)
+    docs = documents.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.col(lang_col).alias("lang"),
         F.col(text_col).alias("text"),
-    ).mapInArrow(
+    )
+    return _with_references(docs, rest, "lang").mapInArrow(
         _judge(known),
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
         "n_repeat_words long, base_failed boolean, class_distance double, word_distance double, "
@@ -278,8 +307,9 @@ def judge(
 def keep_good(documents: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows that are kept, all columns."""
     at = documents.columns.index
-    return documents.mapInArrow(
-        _keep(references(documents, lang_col, text_col), at(lang_col), at(text_col)), documents.schema
+    known, rest = references(documents, lang_col, text_col)
+    return _with_references(documents, rest, lang_col).mapInArrow(
+        _keep(known, at(lang_col), at(text_col)), documents.schema
     )
 
 
