@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ordermill.llm.rows import numbered
+from ordermill.llm.rows import numbered, stored
 from ordermill.llm.words import lower_ascii, words_between
 
 WINDOW = 13
 # everything in ASCII but digits and letters separates words
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Distinct benchmark windows up to which their table is broadcast (some 200 bytes each);
-# beyond, the lookup is a shuffled join with the same result.
+# beyond, anchors and then windows are looked up by shuffled joins with the same result.
 BROADCAST_WINDOWS = 500_000
 
 
@@ -97,27 +97,41 @@ def _candidates_by_anchor(words: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def _every_window(words: DataFrame, sizes: list[int]) -> DataFrame:
-    """As ``_candidates_by_anchor``, but with all windows of the given sizes."""
-
-    def cut(size: int) -> Column:
-        starts = F.when(
-            F.col("n_words") >= size, F.sequence(F.lit(0), F.col("n_words") - F.lit(size))
-        )
-        one = lambda i: F.struct(
-            i.alias("start"),
-            F.lit(size).alias("size"),
-            F.array_join(F.slice("words", i + 1, F.lit(size)), " ").alias("gram"),
-        )
-        return F.transform(F.coalesce(starts, F.array().cast("array<int>")), one)
+def _candidates_by_join(words: DataFrame, windows: DataFrame) -> DataFrame:
+    """As ``_candidates_by_anchor``, for anchors too many to broadcast.
 
+    Words meet the anchors as hashes with their places, without any text. The starts found go back
+    to their documents, where the few windows around anchors are cut.
+    """
+    words = stored(words, "words")
+    anchors = windows.select(F.xxhash64("anchor").alias("key"), "anchor_at", "size").distinct()
+    places = words.select("row", F.posexplode("words").alias("at", "word")).select(
+        "row", "at", F.xxhash64("word").alias("key")
+    )
+    start = (F.col("at") - F.col("anchor_at")).alias("start")
+    # no more starts than a document has words, for each size
+    starts = (
+        places.join(anchors, "key")
+        .select("row", start, "size")
+        .filter("start >= 0")
+        .groupBy("row")
+        .agg(F.collect_set(F.struct("start", "size")).alias("starts"))
+    )
+    fits = F.filter("starts", lambda x: x["start"] + x["size"] <= F.col("n_words"))
+    grams = F.transform(
+        F.coalesce(fits, F.array().cast("array<struct<start:int,size:int>>")),
+        lambda x: F.struct(
+            x["start"].alias("start"),
+            x["size"].alias("size"),
+            F.array_join(F.slice("words", x["start"] + 1, x["size"]), " ").alias("gram"),
+        ),
+    )
     nothing = F.array(F.lit(None).cast("struct<start:int,size:int,gram:string>"))
-    return words.select(
-        "row",
-        "doc_id",
-        "n_words",
-        F.explode_outer(F.concat(*map(cut, sizes), nothing)).alias("cut"),
-    ).select("row", "doc_id", "n_words", "cut.*")
+    return (
+        words.join(starts, "row", "left")
+        .select("row", "doc_id", "n_words", F.explode_outer(F.concat(grams, nothing)).alias("cut"))
+        .select("row", "doc_id", "n_words", "cut.*")
+    )
 
 
 def find_hits(
@@ -145,8 +159,7 @@ def find_hits(
     if grams.limit(broadcast_windows + 1).count() <= broadcast_windows:
         cut = _candidates_by_anchor(words, windows).join(F.broadcast(grams), "gram", "left")
     else:
-        sizes = [r[0] for r in windows.select("size").distinct().collect()]  # 13 at most
-        every = _every_window(words, sizes)
+        every = _candidates_by_join(words, windows)
         # the closing rows stay out of the shuffle, where their null key would meet in one task
         cut = (
             every.filter("gram IS NOT NULL")
@@ -235,16 +248,14 @@ def remove_spans(
 ) -> DataFrame:
     """(doc_id, text, n_removed): each text without its hit words and what stands before them."""
     piece = r"(?s)[\x00-\x2F\x3A-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|.+"
-    texts = documents.select(
-        F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")
-    )
-    found = find_hits(documents, benchmark, id_col, text_col)
+    rows, row = numbered(documents)
+    found = find_hits(rows, benchmark, row, text_col).select(F.col("doc_id").alias(row), "hits")
 
     def outside(_: Column, i: Column) -> Column:
         return ~F.exists("hits", lambda h: (i >= h["start"]) & (i < h["start"] + h["size"]))
 
-    pieces = F.regexp_extract_all("text", F.lit(f"({piece})"), F.lit(1))
-    return texts.join(found, "row").select(
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"({piece})"), F.lit(1))
+    return rows.select(row, F.col(id_col).alias("doc_id"), F.col(text_col)).join(found, row).select(
         "doc_id",
         F.array_join(F.filter(pieces, outside), "").alias("text"),
         covered_words(F.col("hits")).alias("n_removed"),
