@@ -24,12 +24,12 @@ def numbered(documents: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(found.schema).parquet(path), row
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
+def stored(frame: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows through a table in the shared folder.
 
     Like a checkpoint it cuts the lineage; unlike one it does not hand on size estimates, which
     multiply with every join of an iteration.
     """
     path = scratch_path(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.option("compression", compression).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

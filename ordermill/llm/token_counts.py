@@ -17,6 +17,8 @@ Two deterministic transducers give the count that the tokenizer's library would
 Defined cases: null and empty texts have no tokens and no bytes. Texts of any length are read
 whole, in blocks cut at white space. Every row gets its own result; null ids are kept. Other
 input columns are ignored. The strings of special tokens inside a text count as one token each.
+Classes of letters are the library's, which is asked for them; texts that hold a letter whose
+lower or composed form it knows otherwise than this process does are counted by the library itself.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 LIMIT = 2048
 BLOCK = 1 << 20
@@ -248,11 +251,52 @@ class PieceCounts(dict):
         return value
 
 
+@functools.lru_cache(maxsize=2)
+def library_letters(path: str) -> tuple[np.ndarray, np.ndarray, str]:
+    """Where the tokenizer's library follows another version of Unicode than this process does:
+    code points and their classes there, and the letters whose lower or composed form differs.
+
+    Only planes that hold any signs are asked.
+    """
+    library = Tokenizer.from_file(path)
+    points = np.array([*range(0x80, 0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE0200)])
+    own, theirs, odd = _classes(), [], []
+    for at in range(0, len(points), 1 << 15):
+        some = points[at : at + (1 << 15)]
+        # a letter joins letters around it, any other sign but a digit joins signs
+        probes = [f"a{chr(p)}a !{chr(p)}!\n" for p in some]
+        ends = np.cumsum([len(p) for p in probes])
+        found = library.pre_tokenizer.pre_tokenize_str("".join(probes))
+        begins = np.array([begin for _, (begin, _) in found])
+        of = np.searchsorted(ends, begins, "right")
+        within = begins - np.append(0, ends)[of]
+        letters = np.bincount(of[within < 3], minlength=len(some)) == 1
+        others = np.bincount(of[within > 3], minlength=len(some)) == 1
+        rest = np.where(own[some] == SPACE, SPACE, DIGIT)
+        theirs.append(np.where(letters, LETTER, np.where(others, OTHER, rest)))
+        # no sign composes with the bar between them
+        lower = library.normalizer.normalize_str("".join(f"|{chr(p)}" for p in some)).split("|")[1:]
+        mine = (_normalised(chr(p)) for p in some)
+        odd += [chr(p) for p, a, b in zip(some, lower, mine, strict=True) if a != b and own[p] != SPACE]
+    theirs = np.concatenate(theirs).astype(np.uint8)
+    other = np.flatnonzero(theirs != own[points])
+    return points[other], theirs[other], "".join(odd)
+
+
 class TokenCounter:
-    """Counts tokens of texts, many at a time. ``path`` is a tokenizer's JSON file."""
+    """Counts tokens of texts, many at a time. ``path`` is a tokenizer's JSON file.
 
-    def __init__(self, path: str) -> None:
+    ``letters`` are the library's (``library_letters``); texts that hold one of those whose
+    lower or composed form differs are counted by the library.
+    """
+
+    def __init__(self, path: str, letters: tuple[np.ndarray, np.ndarray, str] | None = None) -> None:
         merger = Merger(path)
+        points, classes, odd = letters or library_letters(path)
+        self.classes = _classes().copy()
+        self.classes[points] = classes
+        self.odd = regex.compile(f"[{odd}]") if odd else None
+        self.library = Tokenizer.from_file(path)
         self.pieces = PieceCounts(merger)
         special = [t["content"] for t in merger.spec["added_tokens"]]
         self.special = (
@@ -280,6 +324,9 @@ class TokenCounter:
         for i, text in enumerate(texts):
             if not text:
                 continue
+            if self.odd and not text.isascii() and self.odd.search(text):
+                totals[i] = len(self.library.encode(text, add_special_tokens=False).ids)
+                continue
             if self.special:
                 text, found = self.special.subn(" ", text)
                 totals[i] += found
@@ -297,7 +344,7 @@ class TokenCounter:
     def _add(self, blocks: list[str], owner: list[int], totals: np.ndarray) -> None:
         joined = "\n".join(blocks) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        start, end = piece_bounds(_classes()[points])
+        start, end = piece_bounds(self.classes[points])
         if not len(start):
             return
         ends = np.cumsum([len(b) + 1 for b in blocks])
@@ -319,15 +366,15 @@ def _normalised(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
-@functools.lru_cache(maxsize=2)
-def _counter(path: str) -> TokenCounter:
-    """One per Python worker, so tasks that follow each other share the compiled states."""
-    return TokenCounter(path)
+# One per Python worker, so tasks that follow each other share the compiled states
+_counters: dict[str, TokenCounter] = {}
 
 
-def _count(path: str):
+def _count(path: str, letters: tuple[np.ndarray, np.ndarray, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(path)
+        counter = _counters.get(path)
+        if counter is None:
+            counter = _counters[path] = TokenCounter(path, letters)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -355,6 +402,6 @@ def count_tokens(
             F.octet_length(text).cast("bigint").alias("n_bytes"),
             text.alias("text"),
         )
-        .mapInArrow(_count(tokenizer_path), "doc_id long, n_bytes long, n_tokens long")
+        .mapInArrow(_count(tokenizer_path, library_letters(tokenizer_path)), "doc_id long, n_bytes long, n_tokens long")
         .withColumn("over_limit", F.col("n_tokens") > limit)
     )

@@ -237,7 +237,10 @@ class BlockMaxIndex:
         in_reach = (bounds > 0) & (bounds >= least[:, None] - 1e-9)
         for block in range(blocks):
             asking = np.flatnonzero(in_reach[:, block])
-            by_block[asking, block] += own[asking] @ self.dense[block]
+            if len(asking) == len(own):
+                by_block[:, block] += own @ self.dense[block]
+            elif len(asking):
+                by_block[asking, block] += own[asking] @ self.dense[block]
         by_block[~in_reach] = 0
         out = []
         for row in sums:
@@ -377,7 +380,8 @@ def fit(
     lists = [StructField(n, ArrayType(IntegerType())) for n in names]
     schema = StructType([*(documents.schema[c] for c in keep), *lists])
     at = documents.columns.index
-    split = stored(documents.mapInArrow(_terms(vocabulary, at(text_col), list(map(at, keep)), names), schema), "terms")
+    found = documents.mapInArrow(_terms(vocabulary, at(text_col), list(map(at, keep)), names), schema)
+    split = stored(found, "terms", "zstd")
     held = (
         split.select(*names)
         .mapInArrow(_count_documents(size, 0), "term long, n long")

@@ -71,3 +71,14 @@ def test_odd_rows(library, odd_documents, word_bpe):
     for r in odd_documents.filter("text IS NOT NULL").collect():
         assert rows[r.doc_id, len(r.text.encode())] == expected(library, [r.text])[0]
     assert tc.count_tokens(odd_documents.limit(0), word_bpe).count() == 0
+
+
+def test_every_letter_counts_as_in_the_library(library, counter, word_bpe):
+    points = [*range(0x80, 0xD800), *range(0xE000, 0x34000), *range(0xE0000, 0xE0200)]
+    texts = [f"it's{chr(p)}ab {chr(p)}! {chr(p)}1" for p in points]
+    wanted = [len(e.ids) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert counter(texts).tolist() == wanted
+    *_, odd = tc.library_letters(word_bpe)
+    assert 0 < len(odd) < 200
+    texts = [f"x {c} y Q{c.upper()}" for c in odd]
+    assert counter(texts).tolist() == expected(library, texts)
