@@ -4,6 +4,13 @@ The first four return the columns of ``documents``: rejected by the quality rule
 toxic, second of a near-duplicate group, contaminated by the benchmark - each goes. The last
 returns the pieces of the packed sequences. Between stages the documents rest as Parquet in the
 shared folder, so a lost executor costs no more than the stage at work.
+
+Defined cases: rows go or stay each on its own. A null or blank text fails the base rules and goes
+in the first stage; the later stages take such rows as well. Of a near-duplicate group the row of
+the smallest id stays, with rows that repeat its id and text; null ids come last and are linked like
+any other. Rows that share an id with one that goes are not taken along. Texts of any length are
+read whole. Further columns, whatever their names, reach the last stage, which returns its own. An
+empty table gives no pieces.
 """
 
 from __future__ import annotations
