@@ -5,7 +5,9 @@ text, null equal to null). It is rendered once as the prompt; the turns after it
 two completions. A completion's mask lists the character ranges a loss may use, end excluded:
 the texts of its assistant turns and the closing sign behind each. Built-in functions only.
 
-Rendering: ``<|role|>`` newline, text, ``<|end|>`` newline. Turns are ordered by turn number,
+Rendering: ``<|role|>`` newline, text, ``<|end|>`` newline. Where a role or text holds ``<|`` itself,
+with backslashes between or not, it gets one backslash more there, so no turn can look like the end of
+another, and what was written can be read back. Turns are ordered by turn number,
 null first, ties by role and text, so equal rows keep the result stable. An example is one
 output row, so a conversation is gathered in one row by nature; nothing else is.
 
@@ -35,12 +37,18 @@ def gather(turns: DataFrame, id_col: str, name: str) -> DataFrame:
     )
 
 
+def _plain(value: Column) -> Column:
+    """A role or text as it is rendered."""
+    text = F.coalesce(value, F.lit(""))
+    return F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")).otherwise(text)
+
+
 def _head(turn: Column) -> Column:
-    return F.concat(F.lit("<|"), F.coalesce(turn["role"], F.lit("")), F.lit("|>\n"))
+    return F.concat(F.lit("<|"), _plain(turn["role"]), F.lit("|>\n"))
 
 
 def _body(turn: Column) -> Column:
-    return F.concat(F.coalesce(turn["text"], F.lit("")), F.lit("<|end|>\n"))
+    return F.concat(_plain(turn["text"]), F.lit("<|end|>\n"))
 
 
 def render(turns: Column) -> Column:
@@ -157,10 +165,10 @@ WITH turns AS (
   FROM pair
 ), rendered AS (
   SELECT pair_id, n, good, bad, good[n + 1:] AS after_good, bad[n + 1:] AS after_bad,
-    list_transform(good, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10)) AS good_head,
-    list_transform(good, lambda t: coalesce(t.text, '') || '<|end|>' || chr(10)) AS good_body,
-    list_transform(bad, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10)) AS bad_head,
-    list_transform(bad, lambda t: coalesce(t.text, '') || '<|end|>' || chr(10)) AS bad_body
+    list_transform(good, lambda t: '<|' || regexp_replace(coalesce(t.role, ''), '<(\\*)\|', '<\\\1|', 'g') || '|>' || chr(10)) AS good_head,
+    list_transform(good, lambda t: regexp_replace(coalesce(t.text, ''), '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10)) AS good_body,
+    list_transform(bad, lambda t: '<|' || regexp_replace(coalesce(t.role, ''), '<(\\*)\|', '<\\\1|', 'g') || '|>' || chr(10)) AS bad_head,
+    list_transform(bad, lambda t: regexp_replace(coalesce(t.text, ''), '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10)) AS bad_body
   FROM cut
 ), texts AS (
   SELECT *, list_transform(range(1, len(good) + 1), lambda i: good_head[i] || good_body[i]) AS g,

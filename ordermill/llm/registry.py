@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from ordermill.llm import (
     chat_pairs,
     conversation_repair,
@@ -108,7 +107,6 @@ QUERIES: dict[str, Query] = {
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_ngram_join": op12_ngram_join,
         "op13_conversation_repair": op13_conversation_repair,
-        "pipeline": corpus_pipeline.run,
     }.items()
 }
 ORACLES: dict[str, str] = {

@@ -47,6 +47,8 @@ NEIGHBOURS = 25
 BLOCK = 64
 FREQUENT = 1024
 TOGETHER = 64
+# frequent terms and sums are kept in single precision
+ROUNDING = 1e-5
 REMEMBERED = 200_000
 
 _words = re.compile(r"\w+").findall
@@ -107,8 +109,9 @@ class Words(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
             self.clear()
-        known = self.vocabulary
-        found = self[word] = tuple(known[t] for t in terms_of(word) if t in known)
+        get = self.vocabulary.get
+        own = (get(word), *(get(word[:k] + "-") for k in BEGINNINGS if len(word) > k))
+        found = self[word] = tuple(t for t in own if t is not None)
         return found
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -217,16 +220,18 @@ class BlockMaxIndex:
         """For each vector the k examples of highest cosine above zero, ties by index order, and
         their cosines. Vectors that reach a block are compared with it together."""
         blocks, slots = len(self.dense), self.most.shape[0]
-        sums = np.zeros((len(vectors), blocks * BLOCK))
-        own = np.zeros((len(vectors), slots))
+        sums = np.zeros((len(vectors), blocks * BLOCK), np.float32)
+        own = np.zeros((len(vectors), slots), np.float32)
         for i, (numbers, weights) in enumerate(vectors):
             slot = self.slot[numbers]
             own[i, slot[slot >= 0]] = weights[slot >= 0]
             rare = slot < 0
             begins = self.cuts[numbers[rare]]
             sizes = self.cuts[numbers[rare] + 1] - begins
-            at = np.arange(sizes.sum()) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
-            each = np.repeat(weights[rare], sizes) * self.weights[at]
+            at = np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
+            at += np.arange(len(at))
+            each = self.weights[at]
+            each *= np.repeat(weights[rare], sizes)
             sums[i] = np.bincount(self.rows[at], each, blocks * BLOCK)
         # what the postings alone give bounds the last of the best from below; rounding may lift a
         # sum above its bound by a little
@@ -234,7 +239,7 @@ class BlockMaxIndex:
         least = np.partition(sums, sums.shape[1] - k, axis=1)[:, sums.shape[1] - k] if k else np.zeros(len(vectors))
         by_block = sums.reshape(len(vectors), blocks, BLOCK)
         bounds = by_block.max(2, initial=0) + own @ self.most
-        in_reach = (bounds > 0) & (bounds >= least[:, None] - 1e-9)
+        in_reach = (bounds > 0) & (bounds >= least[:, None] - ROUNDING)
         for block in range(blocks):
             asking = np.flatnonzero(in_reach[:, block])
             if len(asking) == len(own):
@@ -319,7 +324,7 @@ def build_index(
     frequent = np.sort(np.argsort(-often, kind="stable")[:FREQUENT])
     slot = np.full(total_numbers, -1, np.int64)
     slot[frequent] = np.arange(len(frequent))
-    dense = np.zeros((blocks, len(frequent), BLOCK))
+    dense = np.zeros((blocks, len(frequent), BLOCK), np.float32)
     own = slot[number] >= 0
     dense[row[own] // BLOCK, slot[number[own]], row[own] % BLOCK] = w[own]
 

@@ -19,10 +19,16 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    numbers = {n.split("_")[0] for n in QUERIES if n != "pipeline"}
+    numbers = {n.split("_")[0] for n in QUERIES}
     assert numbers == {f"op{i}" for i in range(1, 14)}
 
 
+def test_entry_has_the_operators_and_the_pipeline():
+    import __spark_entry__ as entry
+
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
+
+
 @pytest.mark.parametrize("missing", ["ordermill.llm", "corpus_pipeline"])
 def test_entry_without_the_optional_part(missing):
     code = (
