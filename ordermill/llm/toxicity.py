@@ -104,14 +104,26 @@ class Words(dict):
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
         super().__init__()
-        self.vocabulary = vocabulary
+        parts: list[dict[str, int]] = [{}, *({} for _ in BEGINNINGS)]
+        for term, number in vocabulary.items():
+            if term.endswith("-"):
+                parts[1 + BEGINNINGS.index(len(term) - 1)][term[:-1]] = number
+            else:
+                parts[0][term] = number
+        self.whole = parts[0].get
+        self.beginnings = [(k, part.get) for k, part in zip(BEGINNINGS, parts[1:], strict=True)]
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
             self.clear()
-        get = self.vocabulary.get
-        own = (get(word), *(get(word[:k] + "-") for k in BEGINNINGS if len(word) > k))
-        found = self[word] = tuple(t for t in own if t is not None)
+        number, size = self.whole(word), len(word)
+        found = () if number is None else (number,)
+        for k, get in self.beginnings:
+            if size > k:
+                number = get(word[:k])
+                if number is not None:
+                    found += (number,)
+        self[word] = found
         return found
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
