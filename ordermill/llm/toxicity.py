@@ -37,7 +37,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ordermill.llm.rows import stored
 
-EXAMPLES = 2048
+EXAMPLES = 1024
 BEGINNINGS = (4, 6)
 LEVELS = (1, 2, 3, 5)
 FLOOR = 0.05
@@ -49,7 +49,7 @@ FREQUENT = 1024
 TOGETHER = 64
 # frequent terms and sums are kept in single precision
 ROUNDING = 1e-5
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 _words = re.compile(r"\w+").findall
 
@@ -102,16 +102,10 @@ def labelled_examples(documents: DataFrame, labels: DataFrame) -> tuple[DataFram
 class Words(dict):
     """word -> numbers of its terms in a vocabulary, for a bounded number of words."""
 
-    def __init__(self, vocabulary: dict[str, int]) -> None:
+    def __init__(self, vocabulary: list[dict[str, int]]) -> None:
         super().__init__()
-        parts: list[dict[str, int]] = [{}, *({} for _ in BEGINNINGS)]
-        for term, number in vocabulary.items():
-            if term.endswith("-"):
-                parts[1 + BEGINNINGS.index(len(term) - 1)][term[:-1]] = number
-            else:
-                parts[0][term] = number
-        self.whole = parts[0].get
-        self.beginnings = [(k, part.get) for k, part in zip(BEGINNINGS, parts[1:], strict=True)]
+        self.whole = vocabulary[0].get
+        self.beginnings = [(k, part.get) for k, part in zip(BEGINNINGS, vocabulary[1:], strict=True)]
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
@@ -133,6 +127,17 @@ class Words(dict):
         return np.unique(found, return_counts=True)
 
 
+def _by_length(terms: list[str]) -> list[dict[str, int]]:
+    """term -> number: whole words, then beginnings of each length."""
+    parts: list[dict[str, int]] = [{}, *({} for _ in BEGINNINGS)]
+    for number, term in enumerate(terms):
+        if term.endswith("-"):
+            parts[1 + BEGINNINGS.index(len(term) - 1)][term[:-1]] = number
+        else:
+            parts[0][term] = number
+    return parts
+
+
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, toxic, stands_for and, for the text, its terms and their counts."""
     for batch in batches:
@@ -388,7 +393,7 @@ def fit(
     del found, terms, counts
     names_of = coded.dictionary.to_pylist()
     size, term = len(names_of), coded.indices.to_numpy()
-    vocabulary = sc.broadcast(dict(zip(names_of, range(size), strict=True)))
+    vocabulary = sc.broadcast(_by_length(names_of))
     del coded, names_of
 
     names = ("terms", "counts")
@@ -456,9 +461,11 @@ def score(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 def _keep(model, names: tuple[str, str], width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [s < 0.5 for s, _, _ in _scores(batch, model.value, names)]
-            rows = batch.filter(pa.array(kept, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(rows.columns[:width], rows.schema.names[:width])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                kept = [s < 0.5 for s, _, _ in _scores(part, model.value, names)]
+                rows = pa.RecordBatch.from_arrays(part.columns[:width], part.schema.names[:width])
+                yield rows.filter(pa.array(kept, pa.bool_()))
 
     return run
 
