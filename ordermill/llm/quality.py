@@ -33,8 +33,8 @@ COMMON = 50
 MIN_WORDS = 50
 MIN_REFERENCE = 1000
 # Limits for long texts, and how many times the distance that sampling alone explains is added
-CLASS_LIMIT, CLASS_SLACK = 0.18, 3.0
-WORD_LIMIT, WORD_SLACK = 0.22, 0.63
+CLASS_LIMIT, CLASS_SLACK = 0.20, 3.0
+WORD_LIMIT, WORD_SLACK = 0.24, 0.63
 # Languages whose references are broadcast, some 2 KB each
 MOST_LANGUAGES = 10_000
 _REFERENCE = "_reference_of_language"
