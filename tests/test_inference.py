@@ -55,3 +55,17 @@ def test_landing_with_inference_keeps_broken_lines_and_zeros(spark, raw_folder,
     kept = {r.raw_text for r in layers.read(spark, REJECTS).filter("table_name = 'products'").collect()}
     assert kept == {"p2,1,2", "p3"}
     assert layers.read(spark, PRODUCTS).filter("product_id = 'p1'").first().code == "007"
+
+
+def test_the_code_of_a_scan_does_not_grow_with_the_columns(spark, tmp_path):
+    names = [f"c{i}" for i in range(7)]
+    lines = [names, [str(i) for i in range(7)], ["x"] * 7]
+    (tmp_path / "c.csv").write_text("\n".join(map(",".join, lines)) + "\n")
+    # code that is too long for a method fails instead of running slowly
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        _, account = read_inferred_csv(spark, str(tmp_path / "c.csv"), "t")
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    got = [(r.data_type, r.cells, r.widening_cell) for r in account.collect()]
+    assert got == [("string", {"int": 1, "string": 1}, "x")] * 7
