@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermill.contracts import (
@@ -45,12 +45,12 @@ ITEM = ("order_id", "order_item_id", "product_id", "price", "freight_value")
 SUMS = ("line_count", "cents", "priced", "quantity")
 
 
-def _of(kind: str, rows: DataFrame) -> DataFrame:
-    """Rows in the shape of the state."""
+def _of(kind: str | None, rows: DataFrame) -> DataFrame:
+    """Rows in the shape of the state; without ``kind`` they tell theirs."""
     return rows.select(
         *[
             F.lit(kind).alias("kind")
-            if f.name == "kind"
+            if f.name == "kind" and kind
             else (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in MART_STATE.schema
         ]
@@ -64,59 +64,66 @@ def _kind(state: DataFrame, kind: str) -> DataFrame:
 def partials(
     orders: DataFrame, items: DataFrame, products: DataFrame, old: DataFrame, status: str
 ) -> DataFrame:
-    """What new items, and those that waited in ``old``, add to the state."""
+    """What new items, and those that waited in ``old``, add to the state, line by line.
+
+    Rows are summed up where they meet the old state, so a task of a join holds no totals that
+    another step holds again. ``waits`` tells rows that are kept as they are.
+    """
     waited = _kind(old, ORDERLESS).select(*ITEM)
     candidates = items.select(*[F.col(c).cast(waited.schema[c].dataType) for c in ITEM]).union(waited)
     known = orders.select(F.col("order_id").cast("string"))
-    placed = candidates.join(known, "order_id", "left_semi")
     sold = delivered(orders, status).select(
         F.col("order_id").cast("string"),
         F.col("customer_id").cast("string"),
         F.col("order_purchase_timestamp").cast("timestamp").alias("order_time"),
         sale_date().alias("sale_date"),
     )
-    lines = order_lines(sold, placed).withColumn("cents", line_cents())
-    per_day = lines.groupBy(*KEYS[DAYS]).agg(
-        F.count(F.lit(1)).alias("line_count"), F.sum("cents").alias("cents"), F.count("cents").alias("priced")
-    )
-    per_product = (
-        items_of(sold, placed)
-        .groupBy(*KEYS[PRODUCTS])
-        .agg(
-            F.sum("order_item_id").alias("quantity"),
-            F.sum(price_cents()).alias("cents"),
-            F.count("price").alias("priced"),
-        )
+    lines = order_lines(sold, candidates).withColumn("cents", line_cents())
+    one = F.lit(1)
+
+    def priced(value: str) -> Column:
+        return F.when(F.col(value).isNotNull(), one).otherwise(0).alias("priced")
+
+    per_day = lines.select(*KEYS[DAYS], one.alias("line_count"), "cents", priced("cents"))
+    per_product = items_of(sold, candidates).select(
+        *KEYS[PRODUCTS], F.col("order_item_id").alias("quantity"), price_cents().alias("cents"), priced("price")
     )
     line = ("customer_id", "order_id", "order_time", "product_id", "cents")
     details = lines.select(*line).union(_kind(old, PRODUCTLESS).select(*line))
     categories = products.select(
         F.col("product_id").cast("string"), F.col("product_category_name").alias("category")
     )
-    listed = details.join(categories, "product_id")
-    per_order = listed.groupBy(*KEYS[ORDERS]).agg(
-        F.sum("cents").alias("cents"), F.min("order_time").alias("order_time")
+    # a line counts for its order and for its category
+    counted = (
+        ("kind", F.lit(ORDERS), F.lit(CATEGORIES)),
+        ("order_id", F.col("order_id"), F.lit(None)),
+        ("category", F.lit(None), F.col("category")),
+        ("cents", F.col("cents"), F.lit(None)),
+        ("order_time", F.col("order_time"), F.lit(None)),
+        ("line_count", F.lit(None), one),
     )
-    per_category = listed.groupBy(*KEYS[CATEGORIES]).agg(F.count(F.lit(1)).alias("line_count"))
-    parts = {
-        DAYS: per_day,
-        PRODUCTS: per_product,
-        ORDERS: per_order,
-        CATEGORIES: per_category,
-        ORDERLESS: candidates.join(known, "order_id", "left_anti"),
-        PRODUCTLESS: details.join(categories, "product_id", "left_anti"),
-    }
-    return reduce(DataFrame.union, [_of(kind, rows) for kind, rows in parts.items()])
+    types = {f.name: f.dataType for f in MART_STATE.schema}
+    both = [F.struct(*[c[i].cast(types[c[0]]).alias(c[0]) for c in counted]) for i in (1, 2)]
+    per_customer = details.join(categories, "product_id").select("customer_id", F.inline(F.array(*both)))
+    parts = [
+        _of(DAYS, per_day),
+        _of(PRODUCTS, per_product),
+        _of(None, per_customer),
+        _of(ORDERLESS, candidates.join(known, "order_id", "left_anti")),
+        _of(PRODUCTLESS, details.join(categories, "product_id", "left_anti")),
+    ]
+    return reduce(DataFrame.union, [rows.withColumn("waits", F.lit(i >= 3)) for i, rows in enumerate(parts)])
 
 
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row per key of each kind; waiting rows are those of ``new``, which has tried them all."""
     keys = sorted({c for columns in KEYS.values() for c in columns})
-    both = old.filter(F.col("kind").isin(*KEYS)).union(new.filter(F.col("kind").isin(*KEYS)))
+    added = new.filter(~F.col("waits")).drop("waits")
+    both = old.filter(F.col("kind").isin(*KEYS)).union(added)
     totals = both.groupBy("kind", *keys).agg(
         *[F.sum(c).alias(c) for c in SUMS], F.min("order_time").alias("order_time")
     )
-    rest = new.filter(F.col("kind").isin(ORDERLESS, PRODUCTLESS)).union(_kind(old, APPLIED))
+    rest = new.filter("waits").drop("waits").union(_kind(old, APPLIED))
     columns = [
         (F.col(f.name) if f.name in totals.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in MART_STATE.schema

@@ -81,3 +81,13 @@ def test_an_empty_state_gives_empty_marts(spark, tmp_path, products):
     assert carried_marts.write_marts(spark, products, target) == {
         CUSTOMER_METRICS.name: 0, DAILY_SALES.name: 0, PRODUCT_PERFORMANCE.name: 0,
     }
+
+
+def test_new_lines_are_summed_up_once(spark, tmp_path, orders, items, products):
+    """One aggregation, where lines meet the old state: its memory is not taken twice in a task."""
+    target = PathLayers(str(tmp_path))
+    carried_marts.carry_on("a", orders, items.limit(5), products, target)
+    state = carried_marts.stored_state(spark, target)
+    new = carried_marts.partials(orders, items, products, state, "delivered")
+    plan = carried_marts.merged(state, new)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
