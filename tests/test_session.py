@@ -17,6 +17,17 @@ def test_adapt_keeps_what_the_caller_chose(spark):
             assert other.conf.get(name) == value
 
 
+def test_a_task_reads_a_bounded_share(spark):
+    """Few tasks could share a large stage; what each reads, and so holds, stays small all the same."""
+    other = spark.newSession()
+    most = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": 32, "spark.sql.files.maxPartitionBytes": 32}
+    for key in most:
+        other.conf.unset(key)
+    adapt(other)
+    for key, mb in most.items():
+        assert int(other.conf.get(key).removesuffix("MB")) <= mb
+
+
 def test_initial_partitions_are_a_choice_at_the_start(spark):
     other = spark.newSession()
     assert adapt(other).conf.get(INITIAL_PARTITIONS, None) == spark.conf.get(INITIAL_PARTITIONS, None)
