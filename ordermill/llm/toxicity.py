@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -458,19 +458,21 @@ def score(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     )
 
 
-def _keep(model, names: tuple[str, str], width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                kept = [s < 0.5 for s, _, _ in _scores(part, model.value, names)]
-                rows = pa.RecordBatch.from_arrays(part.columns[:width], part.schema.names[:width])
-                yield rows.filter(pa.array(kept, pa.bool_()))
+def _is_harmless(model) -> Callable:
+    """Whether terms and counts score below the threshold; no other column leaves the JVM."""
 
-    return run
+    @F.arrow_udf("boolean")
+    def harmless(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for terms, counts in batches:
+            pairs = [
+                (t.values.to_numpy(), n.values.to_numpy()) for t, n in zip(terms, counts, strict=True)
+            ]
+            yield pa.array([s < 0.5 for s, _, _ in model.value.scores(pairs)], pa.bool_())
+
+    return harmless
 
 
 def keep_harmless(documents: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows not predicted toxic, all columns."""
     model, split, names = fit(documents, labels, text_col, documents.columns)
-    return split.mapInArrow(_keep(model, names, len(documents.columns)), documents.schema)
+    return split.filter(_is_harmless(model)(*[F.col(f"`{n}`") for n in names])).drop(*names)

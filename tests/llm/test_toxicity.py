@@ -200,3 +200,11 @@ def test_rows_that_share_a_labelled_id_are_one_example(spark, given):
     assert sorted(map(tuple, again.select("doc_id", "text").collect())) == sorted(
         map(tuple, found.select("doc_id", "text").collect())
     )
+
+
+def test_texts_stay_out_of_python_when_rows_are_kept(odd_documents, given):
+    """Only terms and counts are sent to the workers, whatever else a row holds."""
+    kept = toxicity.keep_harmless(odd_documents, given("labels"))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    assert kept.columns == odd_documents.columns
